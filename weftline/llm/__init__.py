@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftline.llm import ppm
+    from weftline.llm import jaccard_join, ppm, quality_kn
 
-    return (ppm,)
+    return ppm, jaccard_join, quality_kn
 
 
 def queries() -> dict:

@@ -8,13 +8,16 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import ship
 
 #: Bytes of text that numpy works on at once; bounds a Python worker's memory, not what is processed.
 PIECE = 2 << 20
+#: Bytes of rows that a task packs at once.
+PACK = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +82,45 @@ def n_blocks(total: int, block_bytes: int) -> int:
     return max(1, math.ceil(total / block_bytes))
 
 
+def packed(df: DataFrame, block: Column, parts: int) -> DataFrame:
+    """Rows as (_block int, _z binary): all rows of a task and block in one compressed Arrow stream, shuffled by _block."""
+    names = df.columns
+
+    def f(batches):
+        held, size = [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            b = t.column("_block").to_numpy()
+            o = np.argsort(b, kind="stable")
+            t, b = t.select(names).take(pa.array(o)), b[o]
+            at = np.flatnonzero(np.diff(b, prepend=-1))
+            z = []
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(b)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_table(t.slice(i, j - i).combine_chunks())
+                z.append(sink.getvalue().to_pybytes())
+            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int32()), pa.array(z, pa.binary())], names=["_block", "_z"])
+
+        for r in batches:
+            if r.num_rows:
+                held.append(r)
+                size += r.nbytes
+                if size > PACK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return df.withColumn("_block", block.cast("int")).mapInArrow(f, "_block int, _z binary").repartition(parts, "_block")
+
+
+def unpack(t: pa.Table) -> pa.Table:
+    """The rows that packed() put into a table's streams."""
+    return pa.concat_tables([pa.ipc.open_stream(z.as_buffer()).read_all() for z in t.column("_z")])
+
+
 # ------------------------------------------------------------------ bytes
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import byte_grams, count_sorted, encode, find, n_blocks, pieces, text_bytes
+from weftline.llm.common import byte_grams, count_sorted, encode, find, n_blocks, packed, pieces, text_bytes, unpack
 
 BLOCK_BYTES = 32 << 20
 
@@ -31,14 +31,13 @@ def _grams_by(order: int, n_pid: int):
             parts = held[key]
             held[key] = [count_sorted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
 
-        for b in batches:
-            blocks = b.column("_block").to_numpy()
+        for block, b in ((k.as_py(), unpack(pa.table({"_z": pa.array([z])}))) for r in batches for k, z in zip(r.column("_block"), r.column("_z"))):
             grp = np.array(["" if g is None else g for g in b.column("_grp").to_pylist()], object)
             texts = encode(b.column("_text").to_pylist())
             rows: dict[tuple, list] = {}
             for i, t in enumerate(texts):
                 if t:
-                    rows.setdefault((int(blocks[i]), grp[i]), []).append(t)
+                    rows.setdefault((block, grp[i]), []).append(t)
             for key, ts in rows.items():
                 parts = held.setdefault(key, [])
                 for group in pieces(ts, order):
@@ -79,18 +78,17 @@ class Low:
 
 
 def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES):
-    """docs: _text, and the group's column grp if any. Returns (blocked documents with _block, costs by _block, _grp, _gram, _n, _bits).
+    """docs: _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block, _grp, _gram, _n, _bits).
 
     summarize(grams, counts) -> [(tag, key, value)]: what is to be summed over the corpus for a group and fold; tag 0 fills Low.pair.
     costs(query grams, model grams, model counts, Low) -> bits of each query gram under the model.
     """
     n = n_blocks(text_bytes(docs, "_text"), block_bytes)
-    n_pid = max(4, n)
+    n_pid = max(8, n)
     h = F.xxhash64(*[F.col(c) for c in docs.columns if c in ("_id", "_text")])
-    x = docs.withColumn("_grp", F.col(grp) if grp else F.lit("")).withColumn(
-        "_block", (F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))).cast("int")).repartition(max(n, 2), "_block")
-    e = x.select("_block", "_grp", "_text", *[c for c in x.columns if c not in ("_block", "_grp", "_text")]).mapInArrow(
-        _grams_by(order, n_pid), "_pid int, _block int, _grp string, _gram long, _n long").repartition(n_pid, "_pid")
+    block = F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
+    x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), block, max(n, 2))
+    e = x.mapInArrow(_grams_by(order, n_pid), "_pid int, _block int, _grp string, _gram long, _n long").repartition(n_pid, "_pid")
 
     def folds(t: pa.Table):
         fold = t.column("_block").to_numpy() & 1

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import count_sorted, find, pick, table
+from weftline.llm.common import count_sorted, find, pick, table, unpack
 from weftline.llm.gram_exchange import BLOCK_BYTES, Low, exchange, score
 
 ORDER = 4
@@ -83,7 +83,8 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     x, c, _ = exchange(pick(docs, _id=id_col, _text=text_col), None, order, _summarize, ppm_bits(order), block_bytes)
     run = score(order)
 
-    def rate(d: pa.Table, costs: pa.Table) -> pa.Table:
+    def rate(z: pa.Table, costs: pa.Table) -> pa.Table:
+        d = unpack(z)
         size, bits = run(d, costs)
         null = d.column("_text").is_null().to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
