@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,7 +119,26 @@ def packed(df: DataFrame, block: Column, parts: int) -> DataFrame:
 
 def unpack(t: pa.Table) -> pa.Table:
     """The rows that packed() put into a table's streams."""
-    return pa.concat_tables([pa.ipc.open_stream(z.as_buffer()).read_all() for z in t.column("_z")])
+    z = sorted(t.column("_z").to_pylist())  # the order in which a shuffle brings them may differ between two reads
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in z])
+
+
+def squeezed(a: np.ndarray) -> bytes:
+    """An array of numbers, compressed by byte planes; ascending integers are best given as differences."""
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 3)
+
+
+def expanded(z: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(z), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def squeezed_sorted(a: np.ndarray) -> bytes:
+    return squeezed(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def expanded_sorted(z: bytes, kind) -> np.ndarray:
+    return np.cumsum(expanded(z, kind), dtype=kind)
 
 
 # ------------------------------------------------------------------ bytes

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import byte_grams, count_sorted, encode, find, n_blocks, packed, pieces, text_bytes, unpack
+from weftline.llm.common import (byte_grams, count_sorted, encode, expanded, expanded_sorted, n_blocks, packed, pieces, squeezed,
+                                 squeezed_sorted, text_bytes, unpack)
 
 BLOCK_BYTES = 32 << 20
 
@@ -49,13 +50,15 @@ def _grams_by(order: int, n_pid: int):
             squeeze(key)
             g, n = held.pop(key)[0]
             pair = ((g >> 8) & 0xFFFF).astype(np.uint64)
-            pid = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_pid)
-            for a in range(0, len(g), 200_000):
-                s = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(pid[s].astype(np.int32)), pa.array(np.full(len(g[s]), key[0], np.int32)),
-                    pa.array([key[1]], pa.string()).take(pa.array(np.zeros(len(g[s]), np.int32))),
-                    pa.array(g[s]), pa.array(n[s].astype(np.int64))], names=["_pid", "_block", "_grp", "_gram", "_n"])
+            pid = (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_pid)).astype(np.int32)
+            o = np.argsort(pid, kind="stable")
+            g, n, pid = g[o], n[o], pid[o]
+            at = np.flatnonzero(np.diff(pid, prepend=-1))
+            cut = list(zip(at.tolist(), [*at[1:].tolist(), len(g)]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(pid[at]), pa.array([key[0]] * len(at), pa.int32()), pa.array([key[1]] * len(at), pa.string()),
+                pa.array([squeezed_sorted(g[i:j]) for i, j in cut], pa.binary()), pa.array([squeezed(n[i:j].astype(np.uint32)) for i, j in cut], pa.binary())],
+                names=["_pid", "_block", "_grp", "_grams", "_ns"])
 
     return f
 
@@ -78,29 +81,35 @@ class Low:
 
 
 def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES):
-    """docs: _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block, _grp, _gram, _n, _bits).
+    """docs: _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block and _grp: _grams, _bits, both squeezed, and what the block spends
+    on them: _spent bits for _count bytes).
 
     summarize(grams, counts) -> [(tag, key, value)]: what is to be summed over the corpus for a group and fold; tag 0 fills Low.pair.
     costs(query grams, model grams, model counts, Low) -> bits of each query gram under the model.
     """
     n = n_blocks(text_bytes(docs, "_text"), block_bytes)
     n_pid = max(8, n)
-    h = F.xxhash64(*[F.col(c) for c in docs.columns if c in ("_id", "_text")])
+    h = F.xxhash64("_id", "_text")
     block = F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
     x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), block, max(n, 2))
-    e = x.mapInArrow(_grams_by(order, n_pid), "_pid int, _block int, _grp string, _gram long, _n long").repartition(n_pid, "_pid")
+    e = x.mapInArrow(_grams_by(order, n_pid), "_pid int, _block int, _grp string, _grams binary, _ns binary").repartition(n_pid, "_pid")
 
     def folds(t: pa.Table):
-        fold = t.column("_block").to_numpy() & 1
-        gram, cnt = t.column("_gram").to_numpy(), t.column("_n").to_numpy()
-        for name, rows in _by_group(t):
-            for f in (0, 1):
-                yield name, f, rows[fold[rows] == f], gram, cnt
+        """Each group and fold with its rows' numbers, grams and counts."""
+        rows: dict[tuple, list] = {}
+        for i, (name, block, g, c) in enumerate(zip(*(t.column(k).to_pylist() for k in ("_grp", "_block", "_grams", "_ns")))):
+            rows.setdefault((name, block & 1), []).append((i, expanded_sorted(g, np.int64), expanded(c, np.uint32).astype(np.int64)))
+        return rows
+
+    def merged(rows):
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return count_sorted(np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]))
 
     def sums(t: pa.Table) -> pa.Table:
         out = []
-        for name, f, rows, gram, cnt in folds(t):
-            g, c = count_sorted(gram[rows], cnt[rows])
+        for (name, f), rows in folds(t).items():
+            g, c = merged(rows)
             for tag, key, val in summarize(g, c):
                 out.append(pa.table({"_grp": pa.array([name] * len(key), pa.string()), "_fold": np.full(len(key), f, np.int32), "_tag": np.full(len(key), tag, np.int32), "_key": key.astype(np.int64), "_val": val.astype(np.int64)}))
         return pa.concat_tables(out) if out else pa.table({"_grp": pa.array([], pa.string()), "_fold": pa.array([], pa.int32()), "_tag": pa.array([], pa.int32()), "_key": pa.array([], pa.int64()), "_val": pa.array([], pa.int64())})
@@ -122,17 +131,20 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
                         lo.pair[lkey[r]] = lval[r]
                     else:
                         lo.tags[int(tag)] = dict(zip(lkey[r].tolist(), lval[r].tolist()))
-        bits = np.zeros(t.num_rows)
-        parts = {(name, f): (rows, *count_sorted(gram[rows], cnt[rows])) for name, f, rows, gram, cnt in folds(t)} if t.num_rows else {}
-        gram = t.column("_gram").to_numpy()
-        for (name, f), (rows, g, _) in parts.items():
-            _, mg, mc = parts[name, 1 - f]
-            if len(rows):
-                b = costs(g, mg, mc, lows.get((name, 1 - f)) or Low())
-                bits[rows] = b[find(g, gram[rows])[0]]
-        return t.select(["_block", "_grp", "_gram", "_n"]).append_column("_bits", pa.array(bits.astype(np.float32)))
-
-    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _grp string, _gram long, _n long, _bits float")
+        rows = folds(t)
+        out: list = [None] * t.num_rows
+        spent, count = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
+        for (name, f), own in rows.items():
+            g, _ = merged(own)
+            b = costs(g, *merged(rows.get((name, 1 - f))), lows.get((name, 1 - f)) or Low())
+            for i, gram, n in own:
+                at = np.searchsorted(g, gram)
+                out[i] = squeezed(b[at].astype(np.float32))
+                spent[i], count[i] = (b[at] * n).sum(), n.sum()
+        return pa.table({"_block": t.column("_block"), "_grp": t.column("_grp"), "_grams": t.column("_grams"), "_bits": pa.array(out, pa.binary()),
+                         "_spent": spent, "_count": count})
+
+    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _grp string, _grams binary, _bits binary, _spent double, _count long")
     return x, c.repartition(max(n, 2), "_block"), n
 
 
@@ -144,10 +156,13 @@ def score(order: int):
         grp = np.array(["" if g is None else g for g in docs.column("_grp").to_pylist()], object)
         size = np.array([len(t or b"") for t in texts], np.int64)
         bits = np.zeros(len(texts))
-        gram, cost = costs.column("_gram").to_numpy(), costs.column("_bits").to_numpy()
-        for name, rows in _by_group(costs) if costs.num_rows else ():
-            o = rows[np.argsort(gram[rows])]
-            keys, vals = gram[o], cost[o].astype(np.float64)
+        by: dict[str, list] = {}
+        for name, g, b in zip(*(costs.column(k).to_pylist() for k in ("_grp", "_grams", "_bits"))):
+            by.setdefault(name, []).append((expanded_sorted(g, np.int64), expanded(b, np.float32)))
+        for name, parts in by.items():
+            keys, vals = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.float64)
+            o = np.argsort(keys)
+            keys, vals = keys[o], vals[o]
             own = np.flatnonzero((grp == name) & (size > 0))
             for group in pieces([texts[i] for i in own], order):
                 g, idx, lens = byte_grams(group, order)

@@ -3,8 +3,8 @@
 1. How many documents have each n-gram (df) is counted over all documents: blocks send their sorted gram hashes to the hash's owner,
    packed, and get df back in the same order. A document with fewer than t*|A| grams that others have too can't have a partner.
 2. The rest keep their shared grams in the global order (df, hash), rarest first, and equal sets become one.
-3. Sets whose prefixes (the first |A| - ceil(t*|A|) + 1 grams) share a gram are linked, and links become components: any pair with
-   Jaccard of t or more lies within one. Large components are cut into slices, and each pair of slices is one task.
+3. Sets whose prefixes (the first |A| - ceil(t*|A|) + 1 grams) share a gram, and whose sizes and remaining shared grams leave a pair
+   possible, are linked, and links become components: any pair with Jaccard of t or more lies within one. Large components are cut into slices, and each pair of slices is one task.
 4. A task puts one slice's sets into a trie and walks it depth first with the overlap of every set of the other slice, shared by all
    that lies below a node; a subtree is left when no overlap can reach the bound with the grams that remain.
 """
@@ -116,38 +116,62 @@ def jaccard_sets(docs: DataFrame, n: int, t: float, block_bytes: int) -> DataFra
                                F.xxhash64("_sig", "_size").alias("key")), "sets")
 
 
+_FAR = 1 << 32
+
+
 def _links(sets: DataFrame, t: float, buckets: int) -> DataFrame:
-    """Distinct (a, b) keys of sets: each set that shares a prefix gram with others is linked to the least of them."""
+    """Distinct (a, b) keys of sets that connect any two sets with Jaccard t or more, by the first gram that they have in common.
+
+    At that gram a set A can still overlap in its `rest` shared grams only, so a partner's size is at most rest * (1 + t) / t - |A|, its
+    reach. Of a pair, at least one reaches its own size. Of one gram's sets, those that do are chained while reaches cover the next size,
+    and each other set joins the chains with sizes that it reaches; documents that share a passage but little else stay apart.
+    """
 
     def tokens(batches):
         for r in batches:
-            size, key = r.column("size").to_numpy(), r.column("key").to_numpy()
+            size, key = r.column("size").to_numpy().astype(np.int64), r.column("key").to_numpy()
             gs = [np.frombuffer(b, np.uint64) for b in r.column("grams").to_pylist()]
             # grams that no other document has come first in the global order, and take their places in the prefix
             pre = [max(0, s - math.ceil(t * s - 1e-9) + 1 - (s - len(g))) for s, g in zip(size.tolist(), gs)]
             if not sum(pre):
                 continue
             g = np.concatenate([a[:p] for a, p in zip(gs, pre)])
-            k = np.repeat(key, pre)
+            k, n = np.repeat(key, pre), np.repeat(size, pre)
+            rest = np.concatenate([len(a) - np.arange(p) for a, p in zip(gs, pre)])
+            reach = np.minimum(np.floor(rest * ((1 + t) / t) + 1e-6).astype(np.int64) - n, np.floor(n / t + 1e-6).astype(np.int64))
+            ok = reach >= np.ceil(t * n - 1e-6)
+            g, k, n, reach = g[ok], k[ok], n[ok], reach[ok]
             b = _owner(g, buckets).astype(np.int32)
             o = np.argsort(b)
-            g, k, b = g[o], k[o], b[o]
-            at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
-            end = np.append(at[1:], len(b))
-            yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array([g[i:j].tobytes() for i, j in zip(at, end)], pa.binary()),
-                                              pa.array([k[i:j].tobytes() for i, j in zip(at, end)], pa.binary())], names=["_b", "_g", "_k"])
+            g, k, n, reach, b = g[o].astype(np.uint32), k[o], n[o].astype(np.int32), reach[o].astype(np.int32), b[o]
+            at = np.flatnonzero(np.diff(b, prepend=-1))
+            cut = list(zip(at.tolist(), [*at[1:].tolist(), len(b)]))
+            yield pa.RecordBatch.from_arrays([pa.array(b[at]), *[pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (g, k, n, reach)]],
+                                             names=["_b", "_g", "_k", "_n", "_r"])
 
     def link(d: pa.Table) -> pa.Table:
-        g = np.frombuffer(b"".join(d.column("_g").to_pylist()), np.uint64)
-        k = np.frombuffer(b"".join(d.column("_k").to_pylist()), np.int64)
-        o = np.lexsort((k, g))
-        g, k = g[o], k[o]
-        first = np.concatenate(([True], g[1:] != g[:-1]))
-        a = k[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        e = np.unique(np.stack([a[a != k], k[a != k]], 1), axis=0)
+        g, k, n, reach = (np.frombuffer(b"".join(d.column(c).to_pylist()), kind) for c, kind in (("_g", np.uint32), ("_k", np.int64), ("_n", np.int32), ("_r", np.int32)))
+        o = np.lexsort((k, n, g))
+        g, k, n, reach = g[o].astype(np.int64), k[o], n[o].astype(np.int64), reach[o].astype(np.int64)
+        full = reach >= n
+        fg, fk, fn = g[full], k[full], n[full]
+        far = np.maximum.accumulate(fg * _FAR + reach[full])
+        place = fg * _FAR + fn
+        new = np.ones(len(fg), bool)
+        new[1:] = place[1:] > far[:-1]
+        chain = np.cumsum(new) - 1
+        head = np.minimum.reduceat(fk, np.flatnonzero(new)) if len(fk) else fk
+        pg, pk = g[~full], k[~full]
+        lo = np.searchsorted(place, pg * _FAR + np.ceil(t * n[~full] - 1e-6).astype(np.int64))
+        hi = np.searchsorted(place, pg * _FAR + reach[~full], side="right")
+        pk, lo, hi = pk[hi > lo], lo[hi > lo], hi[hi > lo]
+        first, many = chain[lo], chain[hi - 1] - chain[lo] + 1 if len(lo) else lo
+        to = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum()) if len(lo) else lo
+        a, b = np.concatenate([head[chain], head[to]]), np.concatenate([fk, np.repeat(pk, many)])
+        e = np.unique(np.stack([a[a != b], b[a != b]], 1), axis=0)
         return pa.table({"a": e[:, 0].copy(), "b": e[:, 1].copy()})
 
-    return sets.mapInArrow(tokens, "_b int, _g binary, _k binary").groupBy("_b").applyInArrow(link, "a long, b long").distinct()
+    return sets.mapInArrow(tokens, "_b int, _g binary, _k binary, _n binary, _r binary").groupBy("_b").applyInArrow(link, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import count_sorted, find, flat, table, unpack
-from weftline.llm.gram_exchange import BLOCK_BYTES, Low, exchange, score
+from weftline.llm.common import count_sorted, find, flat, pick, table, unpack
+from weftline.llm.gram_exchange import Low, exchange, score
 
 ORDER = 4
+BLOCK_BYTES = 64 << 20
 #: Widths of the band in bits a byte, and what short texts get besides, over the root of their bytes.
 LOWER, UPPER, SLACK = 0.12, 0.10, 3.0
 #: Languages with fewer bytes than this have no band: nothing could be said about their documents.
@@ -84,37 +85,32 @@ def kn_bits(order: int):
     return f
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, lang_col: str, order: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
-    """All columns as _c0... with _size, _rate (bits a byte), _centre and _train (the language's bytes)."""
-    f, at = flat(docs)
-    back = {at[text_col]: "_text", at[id_col]: "_id"}
-    cols = [back.get(c, c) for c in f.columns]
-    f = f.toDF(*cols).withColumn("_lang", F.coalesce(F.col(at[lang_col]).cast("string"), F.lit("")))
-    x, c, _ = exchange(f, "_lang", order, kn_summary(order), kn_bits(order), block_bytes)
+def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """docs: _id, _text, _lang and others. Returns its packed blocks, and for each row of a block, by _block and _row: _id, _grp, _size,
+    _rate (bits a byte), the bounds _lo and _hi, null where the language has no band, and _keep."""
+    x, c, n = exchange(docs, "_lang", order, kn_summary(order), kn_bits(order), block_bytes)
     run = score(order)
-    kinds = {n: f.schema[n].dataType.simpleString() for n in cols} | {"_grp": "string"}
-    names = list(kinds)
 
     def rate(z: pa.Table, costs: pa.Table) -> pa.Table:
         d = unpack(z)
         size, bits = run(d, costs)
         with np.errstate(divide="ignore", invalid="ignore"):
             per = bits / size
-        return d.select(names).append_column("_size", pa.array(size)).append_column("_rate", pa.array(per, mask=size == 0))
+        blank = [not (t or "").strip() for t in d.column("_text").to_pylist()]
+        return pa.table({"_block": pa.array([z.column("_block")[0].as_py()] * len(size), pa.int32()), "_row": pa.array(np.arange(len(size), dtype=np.int32)), "_id": d.column("_id"),
+                         "_grp": d.column("_grp"), "_size": pa.array(size), "_rate": pa.array(per, mask=size == 0), "_blank": pa.array(blank)})
 
-    schema = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _size long, _rate double"
-    r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, schema)
-    centre = c.groupBy("_grp").agg((F.sum(F.col("_n") * F.col("_bits")) / F.sum("_n")).alias("_centre"), F.sum("_n").alias("_train"))
-    return r.join(centre, "_grp", "left"), cols
+    kind = docs.schema["_id"].dataType.simpleString()
+    r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_block int, _row int, _id {kind}, _grp string, _size long, _rate double, _blank boolean")
+    centre = c.groupBy("_grp").agg((F.sum("_spent") / F.sum("_count")).alias("_centre"), F.sum("_count").alias("_train")).filter(F.col("_train") >= least)
+    r = r.join(centre, "_grp", "left")
+    side = F.lit(float(slack)) / F.sqrt(F.nullif(F.col("_size"), F.lit(0)))
+    r = r.withColumn("_lo", F.col("_centre") - lower - side).withColumn("_hi", F.col("_centre") + upper + side)
+    return x, r.withColumn("_keep", ~F.col("_blank") & F.coalesce(F.col("_rate").between(F.col("_lo"), F.col("_hi")), F.lit(True)))
 
 
-def _band(r: DataFrame, lower: float, upper: float, slack: float, least: int) -> DataFrame:
-    """With _lo and _hi, null where the language has no band, and _keep."""
-    side = F.lit(float(slack)) / F.sqrt(F.col("_size"))
-    banded = (F.col("_train") >= least) & (F.col("_size") > 0)
-    r = r.withColumn("_lo", F.when(banded, F.col("_centre") - lower - side)).withColumn("_hi", F.when(banded, F.col("_centre") + upper + side))
-    blank = F.coalesce(F.length(F.trim(F.regexp_replace("_text", "\\s+", " "))), F.lit(0)) == 0
-    return r.withColumn("_keep", ~blank & F.coalesce(F.col("_rate").between(F.col("_lo"), F.col("_hi")), F.lit(True)))
+def _lang(col: str):
+    return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
 def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, lower: float = LOWER,
@@ -124,8 +120,8 @@ def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null, empty and blank texts are rejected, with null figures where there are no bytes. A null language counts as one of its own.
     Languages of fewer than least_bytes have null bounds and keep all. Repeated rows are judged each.
     """
-    r, _ = _scored(docs, id_col, text_col, lang_col, order, block_bytes)
-    r = _band(r, lower, upper, slack, least_bytes)
+    d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
+    _, r = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes)
     two = lambda c: F.round(F.pow(F.lit(2.0), F.col(c)), 6)
     return r.select(F.col("_id").alias("doc_id"), F.when(F.col("_grp") != "", F.col("_grp")).alias("lang"), F.col("_size").alias("n_bytes"), two("_rate").alias("perplexity"),
                     two("_lo").alias("lower"), two("_hi").alias("upper"), F.col("_keep").alias("keep"))
@@ -134,9 +130,18 @@ def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **kw) -> DataFrame:
     """The rows of docs, all columns, that quality_bands keeps."""
     p = {"order": ORDER, "lower": LOWER, "upper": UPPER, "slack": SLACK, "least_bytes": LEAST_BYTES, "block_bytes": BLOCK_BYTES} | kw
-    r, cols = _scored(docs, id_col, text_col, lang_col, p["order"], p["block_bytes"])
-    r = _band(r, p["lower"], p["upper"], p["slack"], p["least_bytes"])
-    return r.filter("_keep").select(*cols).toDF(*docs.columns)
+    f, at = flat(docs)
+    back = {at[text_col]: "_text", at[id_col]: "_id"}
+    cols = [back.get(c, c) for c in f.columns]
+    f = f.toDF(*cols)
+    x, r = _judged(f.withColumn("_lang", _lang(at[lang_col])), p["order"], p["lower"], p["upper"], p["slack"], p["least_bytes"], p["block_bytes"])
+
+    def keep(z: pa.Table, kept: pa.Table) -> pa.Table:
+        d = unpack(z).select(cols)
+        return d.take(kept.column("_row").sort() if kept.num_rows else pa.array([], pa.int32()))
+
+    kept = r.filter("_keep").select("_block", "_row")
+    return x.groupBy("_block").cogroup(kept.groupBy("_block")).applyInArrow(keep, f.schema).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
