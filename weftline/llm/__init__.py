@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftline.llm import jaccard_join, ppm, quality_kn
+    from weftline.llm import decontam, jaccard_join, pii, ppm, quality_kn
 
-    return ppm, jaccard_join, quality_kn
+    return ppm, pii, jaccard_join, quality_kn, decontam
 
 
 def queries() -> dict:
