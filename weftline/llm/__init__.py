@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftline.llm import decontam, jaccard_join, pii, ppm, quality_kn
+    from weftline.llm import cotrain, decontam, jaccard_join, pii, ppm, quality_kn, toxicity
 
-    return ppm, pii, jaccard_join, quality_kn, decontam
+    return ppm, toxicity, pii, jaccard_join, quality_kn, decontam, cotrain
 
 
 def queries() -> dict:
