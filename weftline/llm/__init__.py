@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftline.llm import cotrain, decontam, jaccard_join, pii, ppm, quality_kn, toxicity
+    from weftline.llm import bpe, cotrain, decontam, jaccard_join, pii, ppm, quality_kn, toxicity
 
-    return ppm, toxicity, pii, jaccard_join, quality_kn, decontam, cotrain
+    return ppm, toxicity, pii, bpe, jaccard_join, quality_kn, decontam, cotrain
 
 
 def queries() -> dict:
