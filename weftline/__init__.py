@@ -6,6 +6,10 @@ import os
 from pathlib import Path
 
 
+#: Large arrays go back to the system when a Python worker frees them, so that idle workers hold little.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark) -> None:
     """Lets Python workers that see this folder import the package; where they don't, install it or pass it with --py-files."""
     env = spark.sparkContext.environment
@@ -13,3 +17,5 @@ def ship(spark) -> None:
     known = env.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, here]))
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
