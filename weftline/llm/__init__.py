@@ -7,9 +7,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from weftline.llm import bpe, cotrain, decontam, jaccard_join, pii, ppm, quality_kn, token_counts, toxicity
+    from weftline.llm import bpe, cotrain, decontam, html_runs, jaccard_join, pii, ppm, quality_kn, token_counts, toxicity
 
-    return ppm, toxicity, pii, token_counts, bpe, jaccard_join, quality_kn, decontam, cotrain
+    return ppm, toxicity, html_runs, pii, token_counts, bpe, jaccard_join, quality_kn, decontam, cotrain
 
 
 def queries() -> dict:
