@@ -1,5 +1,53 @@
-"""placeholder until its operators are there"""
-STAGES = []
+"""From raw documents to tokens: quality rules, near duplicates, benchmark leaks, personal data, BPE. Each stage works on all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet to the shared folder and read again as the
+next one's docs. All but the last return the columns of documents. SQL can't express the stages; tests hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.llm.bpe import bpe_encode
+from weftline.llm.common import table, written
+from weftline.llm.decontam import decontaminate
+from weftline.llm.jaccard_join import near_dedup
+from weftline.llm.pii import redacted
+from weftline.llm.quality_kn import quality_filter
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside their language's perplexity band go."""
+    return quality_filter(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least id stays."""
+    return near_dedup(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts become [KIND]."""
+    return redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds tokens and n_tokens."""
+    return bpe_encode(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_decontamination", benchmark_decontamination), ("pii", personal_data), ("bpe", tokens)]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
