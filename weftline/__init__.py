@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 
@@ -19,3 +20,17 @@ def ship(spark) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, here]))
     for name, value in WORKER_ENV.items():
         env.setdefault(name, value)
+
+
+def shared_dir(spark) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; one is made and set only where that is unset."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        d = known.get() if known.isDefined() else None
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="weftline-")
+        spark.sparkContext.setCheckpointDir(d)
+    return d.rstrip("/")
