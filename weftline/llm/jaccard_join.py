@@ -152,7 +152,8 @@ def _links(sets: DataFrame, t: float, buckets: int) -> DataFrame:
     def link(d: pa.Table) -> pa.Table:
         g, k, n, reach = (np.frombuffer(b"".join(d.column(c).to_pylist()), kind) for c, kind in (("_g", np.uint32), ("_k", np.int64), ("_n", np.int32), ("_r", np.int32)))
         o = np.lexsort((k, n, g))
-        g, k, n, reach = g[o].astype(np.int64), k[o], n[o].astype(np.int64), reach[o].astype(np.int64)
+        g, k, n, reach = g[o], k[o], n[o].astype(np.int64), reach[o].astype(np.int64)
+        g = np.cumsum(np.concatenate(([0], g[1:] != g[:-1])), dtype=np.int64)  # small numbers in the grams' order, so that places fit
         full = reach >= n
         fg, fk, fn = g[full], k[full], n[full]
         far = np.maximum.accumulate(fg * _FAR + reach[full])
