@@ -28,7 +28,7 @@ from weftline.llm.common import flat, n_blocks, packed, pick, table, text_bytes,
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: A boundary follows a byte whose window of WINDOW bytes hashes to a value with MASK_BITS zero bits; chunks of up to LONGEST bytes.
 WINDOW, MASK_BITS, LONGEST = 32, 9, 1 << 14
 
@@ -166,7 +166,7 @@ def encode_documents(docs: DataFrame, text: str, vocabulary: str, block_bytes: i
     names = docs.columns
     n = n_blocks(text_bytes(docs, text), block_bytes)
     buckets = max(8, n // 4)
-    x = packed(docs, F.pmod(F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")]), F.lit(n)), max(n, 2))
+    x = packed(docs, F.pmod(F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")]), F.lit(n)), max(n // 4, 2))
     kind = codec(vocabulary).kind
 
     def send(z: pa.Table) -> pa.Table:
@@ -275,7 +275,9 @@ def bpe_decode(df: DataFrame, tokens_col: str = "tokens", to: str = "decoded", v
     def f(batches):
         c = codec(vocabulary)
         for r in batches:
-            yield r.append_column("_text", pa.array([None if t is None else c.decode(t).decode("utf-8", "replace") for t in r.column(src).to_pylist()], pa.string()))
+            col = r.column(src)
+            values, at, there = col.values.to_numpy(), col.offsets.to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
+            yield r.append_column("_text", pa.array([c.decode(values[a:b].tolist()).decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1], at[1:], there)], pa.string()))
 
     return d.mapInArrow(f, T.StructType([*d.schema.fields, T.StructField("_text", T.StringType())])).toDF(*df.columns, to)
 
