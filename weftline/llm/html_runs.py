@@ -4,8 +4,9 @@
 2. A host's pages, one copy of each stream, are concatenated and their suffixes sorted by prefix doubling to a depth of MIN_TOKENS: deeper
    order can't change which places lie in a repeat of that length. Neighbours in the array that agree to the full depth and come from
    distinct pages mark their tokens as boilerplate, so that every maximal repeat of MIN_TOKENS or more is covered whole.
-3. A host of more than BLOCK_BYTES is sorted in slices (by the stream's hash, equal streams together). The slices of a host exchange the
-   hashes of their distinct full-depth prefixes through the hashes' owners, which return those of several slices.
+3. A host of more than BLOCK_BYTES is sorted in slices (by the stream's hash, equal streams together). The slices of a host exchange what
+   tells their full-depth prefixes apart, in two steps: first 32 bits of each distinct minimizer (one for some four tokens), which leaves
+   the prefixes whose minimizer another slice has too; then the hashes of those alone. Owners of hashes return those of several slices.
 """
 
 from __future__ import annotations
@@ -77,6 +78,17 @@ class Host:
         """Hashes of the distinct prefixes of full depth."""
         return mix(shingles(self.h, self.depth)[self.suffixes[self.first]] ^ self.seed) if len(self.first) else np.zeros(0, np.uint64)
 
+    def minimizers(self) -> np.ndarray:
+        """Of each distinct prefix of full depth the least hash of its runs of half that length: equal prefixes have equal ones."""
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        half = (self.depth + 1) // 2
+        g = mix(shingles(self.h, half) ^ self.seed)
+        m = g[:len(self.h) - self.depth + 1].copy()
+        for j in range(1, self.depth - half + 1):
+            np.minimum(m, g[j:j + len(m)], out=m)
+        return m[self.suffixes[self.first]]
+
     def covered(self, elsewhere: np.ndarray | None = None) -> list[np.ndarray]:
         """For each stream, which tokens lie in a repeat. elsewhere: sorted keys that other slices have too."""
         hit = self.repeated
@@ -140,24 +152,41 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             seed = int(word_hashes([key[0].encode("utf-8", "replace") or b"-"])[0].sum())
             yield u, key, rows, which, Host([s.encode("utf-8", "replace") for s in of], min_tokens, seed)
 
-    def send(z: pa.Table) -> pa.Table:
-        found = [(key[1], h.keys()) for _, key, _, _, h in groups(z, True)]
-        out: dict[int, list] = {"_b": [], "_s": [], "_h": []}
-        for s, keys in found:
-            keys = np.sort(keys)
-            b = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    def owner(keys: np.ndarray) -> np.ndarray:
+        return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+    def addressed(block: int, slices: list[tuple[int, np.ndarray]], low: bool) -> pa.Table:
+        out: dict[str, list] = {"_b": [], "_s": [], "_h": []}
+        for s, keys in slices:
+            keys = np.unique(keys)
+            b = owner(keys)
             at = np.flatnonzero(np.diff(b, prepend=-1))
             for i, j in zip(at.tolist(), [*at[1:].tolist(), len(b)]):
                 out["_b"].append(int(b[i]))
                 out["_s"].append(s)
-                out["_h"].append(keys[i:j].tobytes())
-        return pa.table({"_b": pa.array(out["_b"], pa.int32()), "_block": pa.array([z.column("_block")[0].as_py()] * len(out["_b"]), pa.int32()), "_s": pa.array(out["_s"], pa.int32()), "_h": pa.array(out["_h"], pa.binary())})
+                out["_h"].append((keys[i:j].astype(np.uint32) if low else keys[i:j]).tobytes())
+        return pa.table({"_b": pa.array(out["_b"], pa.int32()), "_block": pa.array([block] * len(out["_b"]), pa.int32()), "_s": pa.array(out["_s"], pa.int32()), "_h": pa.array(out["_h"], pa.binary())})
 
-    def shared(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v, np.uint64) for v in t.column("_h").to_pylist()]
-        s = np.sort(np.concatenate(parts))
-        twice = np.unique(s[1:][s[1:] == s[:-1]])  # each slice sends a key once
-        return pa.table({"_block": t.column("_block"), "_h": pa.array([p[np.isin(p, twice)].tobytes() for p in parts], pa.binary())})
+    def send(z: pa.Table) -> pa.Table:
+        return addressed(z.column("_block")[0].as_py(), [(key[1], h.minimizers()) for _, key, _, _, h in groups(z, True)], True)
+
+    def shared(kind):
+        def f(t: pa.Table) -> pa.Table:
+            parts = [np.frombuffer(v, kind) for v in t.column("_h").to_pylist()]
+            s = np.sort(np.concatenate(parts))
+            twice = np.unique(s[1:][s[1:] == s[:-1]])  # each slice sends a key once
+            return pa.table({"_block": t.column("_block"), "_b": t.column("_b"), "_h": pa.array([p[np.isin(p, twice)].tobytes() for p in parts], pa.binary())})
+
+        return f
+
+    def send_full(z: pa.Table, near: pa.Table) -> pa.Table:
+        rows = list(zip(near.column("_b").to_pylist(), near.column("_h").to_pylist()))
+        known = np.unique(np.concatenate([np.frombuffer(v, np.uint32).astype(np.int64) | (b << 32) for b, v in rows])) if rows else np.zeros(0, np.int64)
+        found = []
+        for _, key, _, _, h in groups(z, True) if z.num_rows and len(known) else ():
+            m = h.minimizers()
+            found.append((key[1], h.keys()[np.isin(m.astype(np.uint32).astype(np.int64) | (owner(m).astype(np.int64) << 32), known)]))
+        return addressed(z.column("_block")[0].as_py() if z.num_rows else 0, found, False)
 
     def finish(z: pa.Table, more: pa.Table) -> pa.Table:
         elsewhere = np.unique(np.frombuffer(b"".join(more.column("_h").to_pylist()), np.uint64))
@@ -178,7 +207,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 kept.append(done[w][1])
         return pa.table({"page_id": u.column("_id").take(pa.array(order, pa.int64())), "host": pa.array(hosts, pa.string()), "text": pa.array(texts, pa.string()), "n_tokens": pa.array(sizes, pa.int32()), "n_kept": pa.array(kept, pa.int32())})
 
-    keys = x.groupBy("_block").applyInArrow(send, "_b int, _block int, _s int, _h binary").groupBy("_b").applyInArrow(shared, "_block int, _h binary")
+    to, back = "_b int, _block int, _s int, _h binary", "_block int, _b int, _h binary"
+    near = x.groupBy("_block").applyInArrow(send, to).groupBy("_b").applyInArrow(shared(np.uint32), back)
+    keys = x.groupBy("_block").cogroup(near.groupBy("_block")).applyInArrow(send_full, to).groupBy("_b").applyInArrow(shared(np.uint64), back)
     return x.groupBy("_block").cogroup(keys.groupBy("_block")).applyInArrow(finish, f"page_id {id_type}, host string, text string, n_tokens int, n_kept int")
 
 
