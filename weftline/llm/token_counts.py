@@ -30,8 +30,8 @@ _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 _SPLIT = regex.compile(PATTERN)
 #: The usual unit: letters, perhaps with one blank or line end before and marks behind.
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z").match
-#: Units remembered by a worker, and the most bytes of a piece whose beginnings are remembered.
-REMEMBERED, LONG = 500_000, 64
+#: Units and beginnings of pieces remembered by a worker, and the most bytes of a piece whose beginnings are remembered.
+REMEMBERED, BEGINNINGS, LONG = 1_000_000, 2_000_000, 64
 
 
 class Prefixes(dict):
@@ -153,7 +153,7 @@ class Prefixes(dict):
         """What each character adds to the token count of the prefix that ends with it."""
         if len(self.starts) > REMEMBERED:
             self.clear()
-        if len(self.state) > 3 * REMEMBERED:
+        if len(self.state) > BEGINNINGS:
             self.state = {b"": 0}
         units = _UNIT.findall(text)
         if not units:
