@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import math
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline import ship
+from weftline import shared_dir, ship
 
 #: Bytes of text that numpy works on at once; bounds a Python worker's memory, not what is processed.
 PIECE = 2 << 20
@@ -43,21 +42,6 @@ def flat(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), {c: n for c, n in reversed(list(zip(df.columns, names)))}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one is made and set only where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jsc = spark.sparkContext._jsc.sc()
-        known = jsc.getCheckpointDir()
-        d = known.get() if known.isDefined() else None
-        if not d:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            d = tempfile.mkdtemp(prefix="weftline-")
-            spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors. Gone when Python ends."""
     spark = df.sparkSession
