@@ -40,7 +40,7 @@ def within_budget(df: DataFrame, key: str, order: list[str], size: str, max_item
 def first_seen(df: DataFrame, content_hash: Column, order: str, name: str) -> DataFrame:
     """Adds hash, duplicate and duplicate_of (name of the first row with the hash). Rows of a null hash are never duplicates."""
     d = df.withColumn("hash", content_hash)
-    w = Window.partitionBy("hash").orderBy(order)
+    w = Window.partitionBy("hash", F.when(F.col("hash").isNull(), F.col(order))).orderBy(order)  # rows without a hash don't gather in one task
     first = F.first(name).over(w)
     dup = F.col("hash").isNotNull() & (F.row_number().over(w) > 1)
     return d.withColumn("duplicate", dup).withColumn("duplicate_of", F.when(dup, first))
