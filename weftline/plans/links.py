@@ -121,10 +121,10 @@ QUERIES = {
  WHEN extension IN ('.js','.css','.gif','.png','.jpg','.zip','.pdf') THEN 'blocked_extension' WHEN extension NOT IN ('','.html','.htm') THEN 'extension_not_allowed' WHEN query LIKE '%utm_source=%' THEN 'blocked_parameter' END AS reason FROM e)
  SELECT *, reason IS NULL AS allowed FROM f"""),
     "url_scope": (url_scope, f"SELECT page_id, netloc = 'ththon.example.com' AS internal, netloc = 'ththon.example.com' AND path LIKE '/en/%' AS under_path FROM ({_PARTS})"),
-    "url_labels": (url_labels, rf"""SELECT page_id, CASE WHEN regexp_matches(lower(path),'^/$|^/index[.]html$|^/home$') THEN 'home' WHEN regexp_matches(lower(path),'/about|/company|/who-we-are') THEN 'about'
- WHEN regexp_matches(lower(path),'/contact|/reach-us|/get-in-touch') THEN 'contact' WHEN regexp_matches(lower(path),'/product|/item|/shop') THEN 'product' WHEN regexp_matches(lower(path),'/blog|/news|/articles') THEN 'blog'
- WHEN regexp_matches(lower(path),'/login|/signin|/account') THEN 'login' WHEN regexp_matches(lower(path),'/faq|/help|/support') THEN 'faq' WHEN regexp_matches(lower(path),'/search|/find') THEN 'search'
- WHEN regexp_matches(lower(path),'/category|/cat|/department') THEN 'category' ELSE 'other' END AS page_type, nullif(regexp_extract(lower(url),'/(en|es|fr|de)/',1),'') AS language,
+    "url_labels": (url_labels, rf"""SELECT page_id, CASE WHEN regexp_matches(lower(path),'^/$|^/index[.]html$|^/home$') THEN 'home' WHEN regexp_matches(lower(path),'/who-we-are|/company|/about') THEN 'about'
+ WHEN regexp_matches(lower(path),'/get-in-touch|/reach-us|/contact') THEN 'contact' WHEN regexp_matches(lower(path),'/shop|/item|/product') THEN 'product' WHEN regexp_matches(lower(path),'/articles|/news|/blog') THEN 'blog'
+ WHEN regexp_matches(lower(path),'/account|/signin|/login') THEN 'login' WHEN regexp_matches(lower(path),'/support|/help|/faq') THEN 'faq' WHEN regexp_matches(lower(path),'/find|/search') THEN 'search'
+ WHEN regexp_matches(lower(path),'/department|/cat|/category') THEN 'category' ELSE 'other' END AS page_type, nullif(regexp_extract(lower(url),'/(en|es|fr|de)/',1),'') AS language,
  CASE WHEN contains(url,'#') OR query = '' THEN url || '&token=x1&a=2' ELSE url || '&token=REDACTED&a=2' END AS logged, replace(url,'&','&amp;') AS href, lower(netloc) AS domain, md5(url) AS cache_key,
  replace(netloc,'.','_') || '_' || substr(regexp_replace(regexp_replace(replace(path,'/','_'),'[^A-Za-z0-9_\-]','','g'),'^_+|_+$','','g'),1,50) || '_depth1' AS file_name FROM ({_PARTS})"""),
     "page_links": (page_links, _P + "SELECT page_id, link FROM edges"),
