@@ -20,7 +20,7 @@ from weftline.llm.gram_exchange import Low, exchange, score
 ORDER = 4
 BLOCK_BYTES = 64 << 20
 #: Widths of the band in bits a byte, and what short texts get besides, over the root of their bytes.
-LOWER, UPPER, SLACK = 0.20, 0.20, 3.0
+LOWER, UPPER, SLACK = 0.15, 0.15, 3.0
 #: Languages with fewer bytes than this have no band: nothing could be said about their documents.
 LEAST_BYTES = 20_000
 
