@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from weftline import shared_dir, ship
 
 #: Bytes of text that numpy works on at once; bounds a Python worker's memory, not what is processed.
-PIECE = 2 << 20
+PIECE = 512 << 10
 #: Bytes of rows that a task packs at once.
-PACK = 48 << 20
+PACK = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

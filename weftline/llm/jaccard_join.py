@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import flat, mix, n_blocks, packed, pick, shingles, table, text_bytes, unpack, word_groups, word_hashes, written
 
 N, THRESHOLD = 3, 0.5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Sets in a slice of a component; larger components become more pairs of slices.
 SLICE = 1024
 
