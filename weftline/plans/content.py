@@ -109,13 +109,13 @@ _HASH = r"SELECT doc_id, CASE WHEN length(text) >= 100 THEN sha256(trim(regexp_r
 _DUP = f"SELECT doc_id, h IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY h) AS duplicate, CASE WHEN h IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY h) THEN min(doc_id) OVER (PARTITION BY h) END AS duplicate_of, h FROM ({_HASH})"
 _ENT = lambda c: f"replace(replace(replace({c},'&quot;','\"'),'&copy;','©'),'&amp;','&')"
 QUERIES = {
-    "page_content": (page_content, rf"""SELECT page_id, trim({_ENT("regexp_extract(html,'<title>(.*?)</title>',1)")}) AS title, regexp_extract(html,'<html lang="([a-z]+)"',1) AS language, len(regexp_extract_all(html,'<h[1-6]>')) AS headings,
+    "page_content": (page_content, rf"""SELECT page_id, trim({_ENT("regexp_extract(html,'<title>(.*?)</title>',1)")}) AS title, regexp_extract(html,'<html lang="([a-z]+)"',1) AS language, len(regexp_extract_all(html,'<h[1-6]>'))::INT AS headings,
  trim({_ENT("regexp_extract(html,'<h1>(.*?)</h1>',1)")}) AS h1, CAST(NULL AS VARCHAR) AS description FROM pages"""),
     "heading_counts": (heading_counts, "SELECT 1 AS level, sum(len(regexp_extract_all(html,'<h1>')))::BIGINT AS n FROM pages"),
     "page_languages": (page_languages, r"SELECT page_id, regexp_extract(html,'<html lang=\"([a-z]+)\"',1) AS html_lang, nullif(regexp_extract(lower(url),'/(en|es|fr|de)/',1),'') AS url_lang FROM pages".replace('\\"', '"')),
     "language_votes": (language_votes, None),
     "page_keywords": (page_keywords, None),
-    "document_keywords": (document_keywords, f"WITH {_KW} SELECT doc_id, rank, keyword, n, round(n / total, 9) AS score FROM k WHERE rank <= 20"),
+    "document_keywords": (document_keywords, f"WITH {_KW} SELECT doc_id, rank::INT AS rank, keyword, n, round(n / total, 9) AS score FROM k WHERE rank <= 20"),
     "keyword_report": (keyword_report, f"WITH {_KW} SELECT keyword, count(*) AS documents FROM k WHERE rank <= 20 GROUP BY keyword"),
     "bigram_counts": (bigram_counts, f"""WITH {_TOK.split(' WHERE len(')[0]}), g AS (SELECT doc_id, unnest(list_transform(range(len(t) - 1), lambda i: t[i + 1] || ' ' || t[i + 2])) AS phrase FROM t WHERE len(t) >= 2)
  SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY phrase HAVING count(*) > 1"""),

@@ -129,14 +129,14 @@ QUERIES = {
  replace(netloc,'.','_') || '_' || substr(regexp_replace(regexp_replace(replace(path,'/','_'),'[^A-Za-z0-9_\-]','','g'),'^_+|_+$','','g'),1,50) || '_depth1' AS file_name FROM ({_PARTS})"""),
     "page_links": (page_links, _P + "SELECT page_id, link FROM edges"),
     "host_link_counts": (host_link_counts, _P + "SELECT netloc AS host, count(*) AS links, count(DISTINCT link) AS targets FROM edges JOIN parts USING (page_id) GROUP BY netloc"),
-    "anchor_counts": (anchor_counts, r"SELECT page_id, len(regexp_extract_all(html,'<a href=')) AS anchors, replace(replace(replace(regexp_extract(html,'<title>(.*?)</title>',1),'&quot;','\"'),'&copy;','©'),'&amp;','&') AS title FROM pages".replace('\\"', '"')),
+    "anchor_counts": (anchor_counts, r"SELECT page_id, len(regexp_extract_all(html,'<a href='))::INT AS anchors, replace(replace(replace(regexp_extract(html,'<title>(.*?)</title>',1),'&quot;','\"'),'&copy;','©'),'&amp;','&') AS title FROM pages".replace('\\"', '"')),
     "relative_links": (relative_links, _P + "SELECT page_id, link FROM edges"),
     "crawl_levels": (crawl_levels, _P + """, p AS (SELECT n.page_id, n.url, netloc AS host FROM norm n JOIN parts USING (page_id)), seeds AS (SELECT host, min(url) AS url FROM p GROUP BY host),
  e AS (SELECT p.url AS f, link AS t FROM edges JOIN p USING (page_id) UNION SELECT s.url, p.url FROM p JOIN seeds s USING (host)), l0 AS (SELECT DISTINCT url, 0 AS depth, CAST(NULL AS VARCHAR) AS discovered_from FROM seeds),
  l1 AS (SELECT t AS url, 1 AS depth, min(f) AS discovered_from FROM e JOIN l0 ON f = l0.url WHERE t NOT IN (SELECT url FROM l0) GROUP BY t), s1 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
  l2 AS (SELECT t AS url, 2 AS depth, min(f) AS discovered_from FROM e JOIN l1 ON f = l1.url WHERE t NOT IN (SELECT url FROM s1) GROUP BY t) SELECT * FROM s1 UNION ALL SELECT * FROM l2"""),
     "unvisited_links": (unvisited_links, _P + "SELECT DISTINCT link AS url FROM edges WHERE link NOT IN (SELECT url FROM norm)"),
-    "frontier_order": (frontier_order, rf"""SELECT page_id, host, priority, position FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority, page_id) AS position FROM
+    "frontier_order": (frontier_order, rf"""SELECT page_id, host, priority::DOUBLE AS priority, position FROM (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY priority, page_id))::INT AS position FROM
  (SELECT page_id, netloc AS host, len(string_split(path,'/')) * CASE WHEN url LIKE '%/en/%' THEN 0.5 WHEN url LIKE '%utm_source%' THEN 2.0 ELSE 1.0 END AS priority FROM ({_PARTS}))) WHERE position <= 20"""),
     "robots_check": (robots_check, f"SELECT page_id, CASE WHEN path LIKE '/fr/1%' THEN false WHEN path LIKE '/fr%' THEN true WHEN path LIKE '/de/%' THEN false ELSE true END AS allowed, 2.5::DOUBLE AS delay, 'https://' || netloc || '/sitemap.xml' AS sitemap FROM ({_PARTS})"),
     "sitemap_entries": (sitemap_entries, f"WITH parts AS ({_PARTS}), norm AS ({_NORM}) SELECT netloc AS host, n.url AS loc, CAST(NULL AS VARCHAR) AS lastmod, '0.' || (page_id % 10) AS priority FROM norm n JOIN parts USING (page_id)"),

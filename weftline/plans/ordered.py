@@ -78,7 +78,7 @@ QUERIES = {
     "request_waits": (request_waits, f"SELECT event_id, round(greatest(0.0, coalesce(3600.0 - (t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id)), 0.0)), 3) AS wait FROM ({_T})"),
     "rolling_response": (rolling_response, "SELECT event_id, round(CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END, 6) AS rolling FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING)"),
     "budget_prefix": (budget_prefix, "SELECT event_id, user_id FROM (SELECT event_id, user_id, count(*) OVER w AS n, coalesce(sum(event_id) OVER w, 0) AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n < 25 AND s < 200000"),
-    "proxy_rotation": (proxy_rotation, "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 7 AS slot FROM events"),
+    "proxy_rotation": (proxy_rotation, "SELECT event_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 7)::INT AS slot FROM events"),
     "adapted_delays": (adapted_delays, None),
     "retry_decisions": (retry_decisions, """SELECT event_id, CASE k WHEN 0 THEN 408 WHEN 1 THEN 503 WHEN 2 THEN 310 WHEN 3 THEN s ELSE 500 END AS status, (CASE k WHEN 2 THEN false WHEN 3 THEN s >= 500 ELSE true END) AND tries < 3 AS again, least(pow(2.0, tries), 32.0) AS wait
  FROM (SELECT event_id, event_id % 6 AS k, CASE WHEN event_id % 4 = 1 THEN 404 ELSE 502 END AS s, event_id % 5 AS tries FROM events)"""),
