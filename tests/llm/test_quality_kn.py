@@ -88,3 +88,23 @@ def test_discounts():
     assert np.allclose(discounts(0, 0, 0, 0), [0, 0.5, 1, 1.5])
     y = 100 / 160
     assert np.allclose(discounts(100, 30, 10, 5), [0, 1 - 2 * y * 0.3, 2 - 3 * y / 3, 3 - 4 * y * 0.5])
+
+
+def prose(seed, n, words=400):
+    import random
+
+    rng = random.Random(seed)
+    syl = ["ba", "rin", "to", "mel", "ku", "sa", "dor", "vi", "lan", "pe"]
+    vocabulary = ["".join(random.Random(i).choice(syl) for _ in range(1 + i % 3)) for i in range(words)]
+    return [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(n)]
+
+
+def test_thousands_of_copies_are_kept(spark):
+    texts = prose(1, 200)
+    good = prose(2, 2)
+    docs = list(enumerate(texts)) + [(10_000 + i, good[0]) for i in range(2000)] + [(20_000 + i, f"{good[1]} v{i}") for i in range(300)]
+    rows = quality_bands(spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")).collect()
+    assert len(rows) == len(docs)
+    kept = {r.doc_id for r in rows if r.keep}
+    assert {i for i, _ in docs if i >= 10_000} <= kept and len(kept & set(range(200))) > 190
+    assert len({r.perplexity for r in rows if 10_000 <= r.doc_id < 20_000}) == 1

@@ -27,6 +27,7 @@ def _grams_by(order: int, n_pid: int):
 
     def f(batches):
         held: dict[tuple, list] = {}
+        seen: dict[tuple, set] = {}
 
         def squeeze(key):
             parts = held[key]
@@ -35,14 +36,24 @@ def _grams_by(order: int, n_pid: int):
         for block, b in ((k.as_py(), unpack(pa.table({"_z": pa.array([z])}))) for r in batches for k, z in zip(r.column("_block"), r.column("_z"))):
             grp = np.array(["" if g is None else g for g in b.column("_grp").to_pylist()], object)
             texts = encode(b.column("_text").to_pylist())
+            once = zip(b.column("_once").to_pylist(), b.column("_h").to_pylist()) if "_once" in b.column_names else None
             rows: dict[tuple, list] = {}
             for i, t in enumerate(texts):
+                counts = True
+                if once is not None:
+                    counts, h = next(once)
+                    if counts and t:
+                        had = seen.setdefault((block, grp[i]), set())
+                        counts = h not in had
+                        had.add(h)
                 if t:
-                    rows.setdefault((block, grp[i]), []).append(t)
-            for key, ts in rows.items():
+                    rows.setdefault((block, grp[i], counts), []).append(t)
+            for (*key, counts), ts in rows.items():
+                key = tuple(key)
                 parts = held.setdefault(key, [])
                 for group in pieces(ts, order):
-                    parts.append(count_sorted(byte_grams(group, order)[0]))
+                    g, n = count_sorted(byte_grams(group, order)[0])
+                    parts.append((g, n if counts else np.zeros_like(n)))
                     if len(parts) >= 16:
                         squeeze(key)
                         parts = held[key]
@@ -86,11 +97,13 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
 
     summarize(grams, counts) -> [(tag, key, value)]: what is to be summed over the corpus for a group and fold; tag 0 fills Low.pair.
     costs(query grams, model grams, model counts, Low) -> bits of each query gram under the model.
+    docs may have _h, a row's hash, with _fold, its fold, and _once: where false, or where a row of the same hash and group came before,
+    the row is scored but counts neither in the model nor in _spent and _count.
     """
     n = n_blocks(text_bytes(docs, "_text"), block_bytes)
     n_pid = max(8, n)
     h = F.xxhash64("_id", "_text")
-    block = F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
+    block = F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + (F.col("_fold") if "_fold" in docs.columns else F.pmod(h, F.lit(2)))
     x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), block, max(n, 2))
     e = x.mapInArrow(_grams_by(order, n_pid), "_pid int, _block int, _grp string, _grams binary, _ns binary").repartition(n_pid, "_pid")
 
@@ -106,10 +119,14 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return count_sorted(np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]))
 
+    def model(rows):
+        g, c = merged(rows)
+        return (g, c) if (c > 0).all() else (g[c > 0], c[c > 0])
+
     def sums(t: pa.Table) -> pa.Table:
         out = []
         for (name, f), rows in folds(t).items():
-            g, c = merged(rows)
+            g, c = model(rows)
             for tag, key, val in summarize(g, c):
                 out.append(pa.table({"_grp": pa.array([name] * len(key), pa.string()), "_fold": np.full(len(key), f, np.int32), "_tag": np.full(len(key), tag, np.int32), "_key": key.astype(np.int64), "_val": val.astype(np.int64)}))
         return pa.concat_tables(out) if out else pa.table({"_grp": pa.array([], pa.string()), "_fold": pa.array([], pa.int32()), "_tag": pa.array([], pa.int32()), "_key": pa.array([], pa.int64()), "_val": pa.array([], pa.int64())})
@@ -136,7 +153,7 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
         spent, count = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
         for (name, f), own in rows.items():
             g, _ = merged(own)
-            b = costs(g, *merged(rows.get((name, 1 - f))), lows.get((name, 1 - f)) or Low())
+            b = costs(g, *model(rows.get((name, 1 - f))), lows.get((name, 1 - f)) or Low())
             for i, gram, n in own:
                 at = np.searchsorted(g, gram)
                 out[i] = squeezed(b[at].astype(np.float32))
