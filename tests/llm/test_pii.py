@@ -73,3 +73,19 @@ def test_against_brute_force_and_rows(spark):
     assert all(by[i].text == redact(t) and by[i].n_chars == (len(by[i].text) if by[i].text != t else 0) for i, t in docs)
     assert not any(naive(by[i].text) for i, _ in docs)
     assert redacted(df.limit(0)).count() == 0 and pii_spans(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text,want", [
+    ("4111 1111 1111 1111 12/25", [("CREDIT_CARD", "4111 1111 1111 1111")]),
+    ("4111111111111111 123", [("CREDIT_CARD", "4111111111111111")]),
+    ("7 4111111111111111", [("CREDIT_CARD", "4111111111111111")]),
+    ("4111111111111111 5500-0055-5555-5559 3", [("CREDIT_CARD", "4111111111111111"), ("CREDIT_CARD", "5500-0055-5555-5559")]),
+    ("4111111111111111.5 and 4111111111111111.", [("CREDIT_CARD", "4111111111111111")]),
+    ("DE89370400440532013000 BIC COBADEFFXXX", [("IBAN", "DE89370400440532013000")]),
+    ("DE89 3704 0044 0532 0130 00 EUR 500", [("IBAN", "DE89 3704 0044 0532 0130 00")]),
+    ("REF AB12 DE89370400440532013000 GB82WEST12345698765432 EUR", [("IBAN", "DE89370400440532013000"), ("IBAN", "GB82WEST12345698765432")]),
+    ("DE893704004405320130001 AND " + "A1" * 3000, []),
+])
+def test_values_within_longer_spans(text, want):
+    assert [(k, text[a:b]) for a, b, k, _ in find_pii(text)] == want
+    assert all(text[a:b] not in redact(text) for a, b, _, _ in find_pii(text) if text.count(text[a:b]) == 1)

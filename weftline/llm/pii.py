@@ -50,16 +50,56 @@ _IBAN_LENGTH = {k: int(v) for k, v in (x.split(":") for x in (
     "PT:25 QA:29 RO:24 RS:22 SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20").split())}
 
 
-def _card(m: re.Match) -> bool:
-    d = re.sub(r"\D", "", m[0])
+def _card(v: str) -> bool:
+    d = re.sub(r"\D", "", v)
     return len(set(d)) > 1 and luhn(d)
 
 
-def _iban(m: re.Match) -> bool:
-    s = m[0].replace(" ", "").upper()
+def _iban(v: str) -> bool:
+    s = v.replace(" ", "")
     return len(s) == _IBAN_LENGTH.get(s[:2], 0) and mod97(s)
 
 
+def _cards(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """Cards in a run of digits with single spaces or dashes: from a group's start to a group's end, the first start first, then the longest."""
+    groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer(r"[0-9]+", m[0])]
+    out, i = [], 0
+    while i < len(groups):
+        a, n, ends = groups[i][0], 0, []
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13 and not re.match(r"\.[0-9]", text[groups[j][1]:groups[j][1] + 2]):
+                ends.append(j)
+        j = next((j for j in reversed(ends) if _card(text[a:groups[j][1]])), None)
+        if j is None:
+            i += 1
+        else:
+            out.append((a, groups[j][1]))
+            i = j + 1
+    return out
+
+
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+
+
+def _ibans(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """IBANs in a run of upper-case letters and digits with single spaces: exactly the country's length, up to a border."""
+    out, at = [], 0
+    for x in _IBAN_START.finditer(text, m.start(), m.end()):
+        a, need, b = x.start(), _IBAN_LENGTH.get(x[0][:2], 0), x.start()
+        if a < at:
+            continue
+        while need and b < m.end():
+            need -= text[b] != " "
+            b += 1
+        if not need and b > a and not re.match(r"[A-Za-z0-9]", text[b:b + 1]) and _iban(text[a:b]):
+            out.append((a, b))
+            at = b
+    return out
+
+
 def _ssn(m: re.Match) -> bool:
     a, g, s = m[0].split("-")
     return a not in ("000", "666") and a < "900" and g != "00" and s != "0000"
@@ -91,8 +131,8 @@ def _secret(m: re.Match) -> bool:
 #: kind, pattern, check, score before context, words that raise it, words that lower it
 _KINDS = [
     ("EMAIL", re.compile(r"(?<![\w.+-])[\w.+%-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![\w-])"), _email, 0.9, r"mail|contact|write", r"(?!)"),
-    ("IBAN", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban, 0.9, r"iban|bank|account|konto|compte|cuenta", r"(?!)"),
-    ("CREDIT_CARD", re.compile(r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])"), _card, 0.7, r"card|visa|master|amex|credit|pay|karte|carte|tarjeta", r"isbn|order|invoice|tracking|serial"),
+    ("IBAN", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])+"), _ibans, 0.9, r"iban|bank|account|konto|compte|cuenta", r"(?!)"),
+    ("CREDIT_CARD", re.compile(r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,}"), _cards, 0.7, r"card|visa|master|amex|credit|pay|karte|carte|tarjeta", r"isbn|order|invoice|tracking|serial"),
     ("US_SSN", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _ssn, 0.6, r"ssn|social|security", r"part|order|serial|version"),
     ("PHONE", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)[0-9]{2,4}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\w-]|\.[0-9])|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-]|\.[0-9])|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w.-])"),
      _phone, 0.7, r"phone|tel|call|mobile|fax|whatsapp|tele", r"isbn|version|order"),
@@ -103,6 +143,8 @@ _KINDS = [
     ("SECRET", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk-[A-Za-z0-9_-]{20,250}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"), _secret, 0.9, r"key|secret|token", r"(?!)"),
 ]
 _KINDS = [(k, p, f, s, re.compile(up, re.I), re.compile(down, re.I)) for k, p, f, s, up, down in _KINDS]
+#: Kinds whose check finds the values within a proposed span.
+_WITHIN = {"CREDIT_CARD", "IBAN"}
 _WORTH = re.compile(r"[0-9@]|::")
 
 
@@ -113,13 +155,15 @@ def find_pii(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int,
     found = []
     for rank, (kind, pattern, check, score, up, down) in enumerate(_KINDS):
         for m in pattern.finditer(text):
-            if not check(m):
-                continue
-            a, b = m.span(m.lastindex or 0)
-            near = text[max(0, m.start() - CONTEXT):m.start()] + " " + text[m.end():m.end() + CONTEXT]
-            s = score + 0.1 * bool(up.search(near)) - 0.25 * bool(down.search(near))
-            if s >= threshold:
-                found.append((-round(min(s, 1.0), 2), a - b, rank, a, b, kind))
+            if kind in _WITHIN:
+                spans = [(a, b, a, b) for a, b in check(text, m)]
+            else:
+                spans = [(*m.span(m.lastindex or 0), *m.span())] if check(m) else []
+            for a, b, start, end in spans:
+                near = text[max(0, start - CONTEXT):start] + " " + text[end:end + CONTEXT]
+                s = score + 0.1 * bool(up.search(near)) - 0.25 * bool(down.search(near))
+                if s >= threshold:
+                    found.append((-round(min(s, 1.0), 2), a - b, rank, a, b, kind))
     out: list[tuple[int, int, str, float]] = []
     for s, _, _, a, b, kind in sorted(found):
         if all(b <= x or a >= y for x, y, _, _ in out):
