@@ -89,3 +89,10 @@ def test_against_brute_force_and_rows(spark):
 def test_values_within_longer_spans(text, want):
     assert [(k, text[a:b]) for a, b, k, _ in find_pii(text)] == want
     assert all(text[a:b] not in redact(text) for a, b, _, _ in find_pii(text) if text.count(text[a:b]) == 1)
+
+
+@pytest.mark.parametrize("before", ["token=", "password: \"", "xoxb-", "ghp_", "sk-"])
+def test_secrets_run_to_their_end(before):
+    rnd = random.Random(8)
+    value = "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(4000))
+    assert redact(f"x {before}{value} y") in (f"x {before}[SECRET] y", "x [SECRET] y")

@@ -139,8 +139,8 @@ _KINDS = [
     ("IPV4", re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"), _ip, 0.6, r"\bip\b|address|host|server|login", r"version|release|section|chapter"),
     ("IPV6", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"), _ip, 0.6, r"\bip(?:v6)?\b|address|host|server", r"time|clock"),
     ("MAC", re.compile(r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])"), lambda m: True, 0.6, r"mac|device|ether", r"time"),
-    ("SECRET", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,512})"), _secret, 0.8, r"key|secret|token|password|credential", r"example|dummy"),
-    ("SECRET", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk-[A-Za-z0-9_-]{20,250}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"), _secret, 0.9, r"key|secret|token", r"(?!)"),
+    ("SECRET", re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_=.-]{12,})"), _secret, 0.8, r"key|secret|token|password|credential", r"example|dummy"),
+    ("SECRET", re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"), _secret, 0.9, r"key|secret|token", r"(?!)"),
 ]
 _KINDS = [(k, p, f, s, re.compile(up, re.I), re.compile(down, re.I)) for k, p, f, s, up, down in _KINDS]
 #: Kinds whose check finds the values within a proposed span.
