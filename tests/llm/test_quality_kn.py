@@ -108,3 +108,17 @@ def test_thousands_of_copies_are_kept(spark):
     kept = {r.doc_id for r in rows if r.keep}
     assert {i for i, _ in docs if i >= 10_000} <= kept and len(kept & set(range(200))) > 190
     assert len({r.perplexity for r in rows if 10_000 <= r.doc_id < 20_000}) == 1
+
+
+def test_small_languages_are_judged(spark):
+    import random
+
+    rng = random.Random(3)
+    junk = "".join(chr(33 + rng.randrange(90)) for _ in range(1200))
+    docs = [(i, t, "en") for i, t in enumerate(prose(1, 100))] + [(500 + i, t, "rare") for i, t in enumerate(prose(4, 6))] + [(600, junk, "xx"), (601, junk[::-1], "rare")]
+    r = {x.doc_id: x for x in quality_bands(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert not r[600].keep and not r[601].keep and r[600].upper is not None
+    assert all(r[500 + i].keep for i in range(6)) and sum(r[i].keep for i in range(100)) > 95
+    table = [(i, t, "en") for i, t in enumerate(prose(1, 12))] + [(600, junk, "en")]
+    r = {x.doc_id: x for x in quality_bands(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert not r[600].keep and sum(r[i].keep for i in range(12)) >= 11

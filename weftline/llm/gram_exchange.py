@@ -20,6 +20,8 @@ from weftline.llm.common import (byte_grams, count_sorted, encode, expanded, exp
                                  squeezed_sorted, text_bytes, unpack)
 
 BLOCK_BYTES = 32 << 20
+#: Stands for all groups together.
+POOL = "\0"
 
 
 def _grams_by(order: int, n_pid: int):
@@ -91,12 +93,14 @@ class Low:
         self.tags: dict[int, dict[int, int]] = {}
 
 
-def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES):
+def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES, least: int = 0):
     """docs: _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block and _grp: _grams, _bits, both squeezed, and what the block spends
-    on them: _spent bits for _count bytes).
+    on them: _spent and _pooled bits for _count bytes).
 
     summarize(grams, counts) -> [(tag, key, value)]: what is to be summed over the corpus for a group and fold; tag 0 fills Low.pair.
     costs(query grams, model grams, model counts, Low) -> bits of each query gram under the model.
+    Groups of fewer than least bytes that count are scored with the model of all groups. With least, _pooled is what every block and
+    group would spend under that model.
     docs may have _h, a row's hash, with _fold, its fold, and _once: where false, or where a row of the same hash and group came before,
     the row is scored but counts neither in the model nor in _spent and _count.
     """
@@ -123,9 +127,17 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
         g, c = merged(rows)
         return (g, c) if (c > 0).all() else (g[c > 0], c[c > 0])
 
+    def pooled(rows):
+        if least:
+            for f in (0, 1):
+                both = [r for (_, fold), own in rows.items() if fold == f for r in own]
+                if both:
+                    rows[POOL, f] = both
+        return rows
+
     def sums(t: pa.Table) -> pa.Table:
         out = []
-        for (name, f), rows in folds(t).items():
+        for (name, f), rows in pooled(folds(t)).items():
             g, c = model(rows)
             for tag, key, val in summarize(g, c):
                 out.append(pa.table({"_grp": pa.array([name] * len(key), pa.string()), "_fold": np.full(len(key), f, np.int32), "_tag": np.full(len(key), tag, np.int32), "_key": key.astype(np.int64), "_val": val.astype(np.int64)}))
@@ -148,20 +160,27 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
                         lo.pair[lkey[r]] = lval[r]
                     else:
                         lo.tags[int(tag)] = dict(zip(lkey[r].tolist(), lval[r].tolist()))
-        rows = folds(t)
+        rows = pooled(folds(t))
         out: list = [None] * t.num_rows
-        spent, count = np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
+        spent, pool, count = np.zeros(t.num_rows), np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
         for (name, f), own in rows.items():
+            small = name != POOL and sum(lows[name, x].pair.sum() for x in (0, 1) if (name, x) in lows) < least
+            if small:
+                continue
             g, _ = merged(own)
             b = costs(g, *model(rows.get((name, 1 - f))), lows.get((name, 1 - f)) or Low())
             for i, gram, n in own:
                 at = np.searchsorted(g, gram)
+                if name == POOL:
+                    pool[i] = (b[at] * n).sum()
+                    if out[i] is not None:
+                        continue
                 out[i] = squeezed(b[at].astype(np.float32))
                 spent[i], count[i] = (b[at] * n).sum(), n.sum()
         return pa.table({"_block": t.column("_block"), "_grp": t.column("_grp"), "_grams": t.column("_grams"), "_bits": pa.array(out, pa.binary()),
-                         "_spent": spent, "_count": count})
+                         "_spent": spent, "_pooled": pool, "_count": count})
 
-    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _grp string, _grams binary, _bits binary, _spent double, _count long")
+    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _grp string, _grams binary, _bits binary, _spent double, _pooled double, _count long")
     return x, c.repartition(max(n, 2), "_block"), n
 
 

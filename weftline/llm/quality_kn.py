@@ -7,6 +7,11 @@ counts in the model and the centre: copies don't predict each other, and the num
 A language's centre is the mean bits a byte over that text; the band around it is
 [centre - LOWER - SLACK/sqrt(bytes), centre + UPPER + SLACK/sqrt(bytes)]: below lies repeated or formulaic text, above it junk.
 Perplexity is 2 to the bits a byte.
+
+Documents of small languages (fewer than LEAST_BYTES that count) are scored with the model of all languages together. Their centre is
+the language's mean under it, drawn towards the mean of all text as if PRIOR_BYTES of that had been seen too; the band is wider by
+twice the languages' spread around that mean, as far as the language's own bytes leave it open, and by what PRIOR_BYTES of junk at
+8 bits a byte would shift the mean of all text.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ ORDER = 4
 BLOCK_BYTES = 32 << 20
 #: Widths of the band in bits a byte, and what short texts get besides, over the root of their bytes.
 LOWER, UPPER, SLACK = 0.15, 0.15, 3.0
-#: Languages with fewer bytes than this have no band: nothing could be said about their documents.
-LEAST_BYTES = 20_000
+#: Languages with fewer bytes than this are judged under the model of all languages, with a centre that weighs like PRIOR_BYTES of other text.
+LEAST_BYTES, PRIOR_BYTES = 20_000, 4_000
 
 
 def _levels(g: np.ndarray, c: np.ndarray, order: int):
@@ -103,8 +108,8 @@ def _copies(docs: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """docs: _id, _text, _lang and others. Returns its packed blocks, and for each row of a block, by _block and _row: _id, _grp, _size,
-    _rate (bits a byte), the bounds _lo and _hi, null where the language has no band, and _keep."""
-    x, c, n = exchange(_copies(docs), "_lang", order, kn_summary(order), kn_bits(order), block_bytes)
+    _rate (bits a byte), the bounds _lo and _hi, null where there are no bytes, and _keep."""
+    x, c, n = exchange(_copies(docs), "_lang", order, kn_summary(order), kn_bits(order), block_bytes, max(least, 1))
     run = score(order)
 
     def rate(z: pa.Table, costs: pa.Table) -> pa.Table:
@@ -118,11 +123,16 @@ def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: floa
 
     kind = docs.schema["_id"].dataType.simpleString()
     r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_block int, _row int, _id {kind}, _grp string, _size long, _rate double, _blank boolean")
-    centre = c.groupBy("_grp").agg((F.sum("_spent") / F.sum("_count")).alias("_centre"), F.sum("_count").alias("_train")).filter(F.col("_train") >= least)
+    by = c.groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train")).withColumn("_under", F.col("_pooled") / F.col("_train"))
+    mean = by.agg((F.sum("_pooled") / F.sum("_train")).alias("_mean"), F.sum("_train").alias("_all"), F.sum(F.col("_under") * F.col("_pooled")).alias("_sq")).select(
+        "_mean", "_all", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("_all") - F.col("_mean") * F.col("_mean"))).alias("_spread"))
+    own, small = F.col("_train") / (F.col("_train") + PRIOR_BYTES), F.col("_train") < least
+    centre = by.crossJoin(mean).select("_grp", F.when(small, own * F.col("_under") + (1 - own) * F.col("_mean")).otherwise(F.col("_spent") / F.col("_train")).alias("_centre"),
+                                       F.when(small, 2 * F.col("_spread") * F.sqrt(1 - own) + 8 * PRIOR_BYTES / (F.col("_all") + PRIOR_BYTES)).otherwise(0.0).alias("_wider"))
     r = r.join(centre, "_grp", "left")
-    side = F.lit(float(slack)) / F.sqrt(F.nullif(F.col("_size"), F.lit(0)))
+    side = F.lit(float(slack)) / F.sqrt(F.nullif(F.col("_size"), F.lit(0))) + F.col("_wider")
     r = r.withColumn("_lo", F.col("_centre") - lower - side).withColumn("_hi", F.col("_centre") + upper + side)
-    return x, r.withColumn("_keep", ~F.col("_blank") & F.coalesce(F.col("_rate").between(F.col("_lo"), F.col("_hi")), F.lit(True)))
+    return x, r.withColumn("_keep", ~F.col("_blank") & F.col("_rate").between(F.col("_lo"), F.col("_hi")))
 
 
 def _lang(col: str):
@@ -134,7 +144,7 @@ def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, lang, n_bytes, perplexity, lower, upper and keep for every row.
 
     Null, empty and blank texts are rejected, with null figures where there are no bytes. A null language counts as one of its own.
-    Languages of fewer than least_bytes have null bounds and keep all. Repeated rows are judged each.
+    Languages of fewer than least_bytes are judged under the model of all languages. Repeated rows are judged each.
     """
     d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
     _, r = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes)
