@@ -2,7 +2,7 @@
 
 kind          proposed by                                  confirmed by
 EMAIL         local part @ domain with a letter top level  length limits of the parts
-CREDIT_CARD   13 to 19 digits, single spaces or dashes     Luhn, an issuer's first digits and length
+CREDIT_CARD   13 to 19 digits, single spaces or dashes     Luhn, digits that differ; any issuer
 IBAN          country, check digits, 11 to 30 characters   mod-97 and the country's length
 US_SSN        3-2-4 digits with dashes                     areas, groups and serials that exist
 PHONE         + or parentheses or dashes, 8 to 15 digits   number of digits
