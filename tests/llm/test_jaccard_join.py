@@ -1,8 +1,10 @@
 import random
+import sys
+from collections import Counter
 
 import numpy as np
 import pytest
-from weftline.llm.jaccard_join import components, jaccard_join, near_dedup, trie_join
+from weftline.llm.jaccard_join import N, components, jaccard_join, jaccard_pairs, near_dedup, trie_join
 
 
 def grams(text, n):
@@ -16,14 +18,14 @@ def brute(rows, n, t):
             if x and y and a != b and len(x & y) / len(x | y) >= t}
 
 
-def expand(rows):
-    out = {}
-    for r in rows:
-        for a in r.ids_a:
-            for b in r.ids_b:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r.jaccard
-    return out
+def classes(rows, pairs):
+    """(doc_id, class_id, n_copies, n_links) of every row; ids are distinct but for wholly repeated rows and null ones."""
+    text, low = {i: x for i, x in rows if i is not None}, {i: i for i, _ in rows}
+    for _ in text:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    links, copies = Counter(x for p in pairs for x in p), Counter(x for p, j in pairs.items() if grams(text[p[0]], N) == grams(text[p[1]], N) for x in p)
+    return sorted(((i, low[i], copies[i], links[i]) for i, _ in rows), key=str)
 
 
 def corpus(seed=1, docs=120):
@@ -45,16 +47,26 @@ def corpus(seed=1, docs=120):
 
 
 @pytest.mark.parametrize("n,t,cut", [(3, 0.5, 1024), (3, 0.8, 7), (1, 0.6, 16), (2, 1.0, 5)])
-def test_equals_brute_force(spark, n, t, cut):
+def test_equals_brute_force(spark, monkeypatch, n, t, cut):
     rows = corpus() + [(500, None), (501, ""), (502, " \n "), (503, "a"), (504, "A "), (None, "a"), (505, "x " * 3000), (506, "x " * 2990)]
     df = spark.createDataFrame([(i, x, "k", "s", 1) for i, x in rows], "doc_id long, text string, key string, set_id string, DOC_ID int")
-    got = expand(jaccard_join(df, n=n, threshold=t, block_bytes=2000, slice_sets=cut).collect())
-    assert got == brute(rows, n, t)
+    want = brute(rows, n, t)
+    got = jaccard_join(df, n=n, threshold=t, block_bytes=2000, slice_sets=cut)
+    monkeypatch.setattr(sys.modules[__name__], "N", n)
+    assert sorted(map(tuple, got.collect()), key=str) == classes(rows, want)
+    text, found = dict(rows), {}
+    for r in jaccard_pairs(df, n=n, threshold=t, block_bytes=2000, slice_sets=cut).collect():
+        assert (r.doc_a, r.doc_b) not in found
+        found[r.doc_a, r.doc_b] = r.jaccard
+    first = {}
+    for i, x in sorted((r for r in rows if r[0] is not None)):
+        first.setdefault(frozenset(grams(x, n)), i)
+    assert found == {p: j for p, j in want.items() if all(first[frozenset(grams(text[i], n))] == i for i in p)}
 
 
 def test_empty_repeated_and_dedup(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert jaccard_join(empty).count() == 0 and near_dedup(empty).count() == 0
+    assert jaccard_join(empty).count() == 0 and jaccard_pairs(empty).count() == 0 and near_dedup(empty).count() == 0
     rows = [(7, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (9, "a b c d e f"), (1, "other words in here now"), (None, "a b c d e"), (4, None), (5, ""), (6, None)]
     df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
     kept = near_dedup(df)
@@ -62,6 +74,27 @@ def test_empty_repeated_and_dedup(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, 1), (True, 3), (True, 3), (True, 4), (True, 5), (True, 6)]
 
 
+def test_copies_show_in_every_row(spark):
+    rows = [(i, "six equal documents of some words") for i in range(6)] + [(5, "six equal documents of some words"), (8, "something else altogether here")]
+    got = sorted(map(tuple, jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(i, 0, 5, 5) for i in range(6)] + [(5, 0, 5, 5), (8, 8, 0, 0)])
+
+
+def test_one_id_on_two_texts(spark):
+    x, y = "a b c d e f", "one two three four five"
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, y), (11, "alone with its words"), (7, "alone with other words now and then")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup(df).collect())) == sorted([(3, x), (5, y), rows[5], rows[6]])
+    got = sorted(map(tuple, jaccard_join(df).collect()))
+    assert got == sorted([(3, 3, 1, 1), (5, 3, 1, 1), (5, 5, 2, 2), (7, 5, 2, 2), (9, 5, 2, 2), (11, 11, 0, 0), (7, 7, 0, 0)])
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "w1 w2 w3")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join(df).collect())) == [(1, 1, 0, 1), (2, 1, 0, 1), (3, 3, 0, 0)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

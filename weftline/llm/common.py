@@ -48,7 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes what written() wrote for df; nothing may read it any more."""
+    _drop(df.sparkSession, df.written_at)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -67,8 +74,11 @@ def n_blocks(total: int, block_bytes: int) -> int:
     return max(1, math.ceil(total / block_bytes))
 
 
-def packed(df: DataFrame, block: Column, parts: int) -> DataFrame:
-    """Rows as (_block int, _z binary): all rows of a task and block in one compressed Arrow stream, shuffled by _block."""
+def packed(df: DataFrame, block: Column, parts: int, once: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as (_block int, _z binary): all rows of a task and block in one compressed Arrow stream, shuffled by _block.
+
+    once: columns; of the rows of a task that are equal in them, at least those that are packed together become one.
+    """
     names = df.columns
 
     def f(batches):
@@ -76,6 +86,9 @@ def packed(df: DataFrame, block: Column, parts: int) -> DataFrame:
 
         def flush():
             t = pa.Table.from_batches(held)
+            if once:
+                first = t.select(list(once)).append_column("_n", pa.array(np.arange(t.num_rows))).group_by(list(once)).aggregate([("_n", "min")]).column("_n_min")
+                t = t.take(first) if len(first) < t.num_rows else t
             b = t.column("_block").to_numpy()
             o = np.argsort(b, kind="stable")
             t, b = t.select(names).take(pa.array(o)), b[o]

@@ -2,11 +2,14 @@
 
 1. How many documents have each n-gram (df) is counted over all documents: blocks send their sorted gram hashes to the hash's owner,
    packed, and get df back in the same order. A document with fewer than t*|A| grams that others have too can't have a partner.
-2. The rest keep their shared grams in the global order (df, hash), rarest first, and equal sets become one.
+2. The rest keep their shared grams in the global order (df, hash), rarest first, and equal sets become one
+   (members keep the rows of each set).
 3. Sets whose prefixes (the first |A| - ceil(t*|A|) + 1 grams) share a gram, and whose sizes and remaining shared grams leave a pair
    possible, are linked, and links become components: any pair with Jaccard of t or more lies within one. Large components are cut into slices, and each pair of slices is one task.
 4. A task puts one slice's sets into a trie and walks it depth first with the overlap of every set of the other slice, shared by all
    that lies below a node; a subtree is left when no overlap can reach the bound with the grams that remain.
+5. The result is one row a document with its class (what pairs connect) and its number of links. Tasks sum their pairs before anything is
+   shuffled, so that what is moved and returned is linear in the documents, however large a group of copies or near copies is.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import flat, mix, n_blocks, packed, pick, shingles, table, text_bytes, unpack, word_groups, word_hashes, written
+from weftline.llm.common import dropped, flat, mix, n_blocks, packed, pick, shingles, table, text_bytes, unpack, word_groups, word_hashes, written
 
 N, THRESHOLD = 3, 0.5
 BLOCK_BYTES = 16 << 20
@@ -64,12 +67,15 @@ def _sorted_block(texts: list[bytes], n: int, buckets: int):
     return g, doc, sizes, np.searchsorted(_owner(g, buckets), np.arange(buckets + 1))
 
 
-def jaccard_sets(docs: DataFrame, n: int, t: float, block_bytes: int) -> DataFrame:
-    """Distinct gram sets that may have a partner or have several documents: set_id, ids, size, grams (packed, in global order)."""
-    spark = docs.sparkSession
+def jaccard_sets(docs: DataFrame, n: int, t: float, block_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """docs: _id, _text. Returns members, sets and a number of buckets that follows the bytes.
+
+    members: key (of a gram set), _id, _th (hash of the text) of the rows that may have a partner or share their set, each once.
+    sets: key, first (the least (_id, _th) of its members), copies (how many they are), size, grams (packed, in global order).
+    """
     blocks = n_blocks(text_bytes(docs, "_text"), block_bytes)
     buckets = max(8, 2 * blocks)
-    x = packed(docs, F.pmod(F.xxhash64("_id", "_text"), F.lit(2 * blocks)), max(2, blocks))
+    x = packed(docs.withColumn("_th", F.xxhash64("_text")), F.pmod(F.xxhash64("_id", "_text"), F.lit(2 * blocks)), max(2, blocks), once=("_id", "_th"))
 
     def send(z: pa.Table) -> pa.Table:
         d = unpack(z)
@@ -101,19 +107,24 @@ def jaccard_sets(docs: DataFrame, n: int, t: float, block_bytes: int) -> DataFra
         ok = (sizes > 0) & (shared >= need) & ~d.column("_id").is_null().to_numpy()
         sig = np.zeros(len(sizes), np.uint64)
         np.add.at(sig, doc, mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))  # tells whole sets apart, grams that nobody shares included
-        keep = ok[doc] & (c > 1)
+        key = mix(sig ^ (sizes.astype(np.uint64) << np.uint64(40))).view(np.int64)
+        ids = np.flatnonzero(ok)
+        once = np.zeros(len(sizes), bool)
+        once[ids[np.unique(key[ids], return_index=True)[1]]] = True  # one row of a block carries the grams of its set
+        keep = once[doc] & (c > 1)
         g, doc, c = g[keep], doc[keep], c[keep]
         o = np.lexsort((g, c, doc))
-        g, c = g[o], c[o]
+        g = g[o]
         ends = np.cumsum(np.bincount(doc, minlength=len(sizes)))
-        ids = np.flatnonzero(ok)
-        return pa.table({"_id": d.column("_id").take(pa.array(ids)), "_size": pa.array(sizes[ids], pa.int32()), "_sig": pa.array(sig[ids].view(np.int64)),
-                         "_grams": pa.array([g[ends[i] - shared[i]:ends[i]].tobytes() for i in ids], pa.binary())})
+        return pa.table({"_id": d.column("_id").take(pa.array(ids)), "_th": d.column("_th").take(pa.array(ids)), "key": pa.array(key[ids]), "size": pa.array(sizes[ids], pa.int32()),
+                         "grams": pa.array([g[ends[i] - shared[i]:ends[i]].tobytes() if once[i] else None for i in ids], pa.binary())})
 
-    cand = x.groupBy("_block").cogroup(df.groupBy("_block")).applyInArrow(order, f"_id {docs.schema['_id'].dataType.simpleString()}, _size int, _sig long, _grams binary")
-    sets = cand.groupBy("_sig", "_size").agg(F.array_sort(F.collect_set("_id")).alias("ids"), F.first("_grams").alias("grams"))
-    return written(sets.select(F.col("ids")[0].alias("set_id"), "ids", F.col("_size").alias("size"), "grams",
-                               F.xxhash64("_sig", "_size").alias("key")), "sets")
+    kind = docs.schema["_id"].dataType.simpleString()
+    cand = written(x.groupBy("_block").cogroup(df.groupBy("_block")).applyInArrow(order, f"_id {kind}, _th long, key long, size int, grams binary"), "candidates")
+    members = cand.select("key", "_id", "_th").distinct()
+    count_of = members.groupBy("key").agg(F.min(F.struct("_id", "_th")).alias("first"), F.count("*").alias("copies"))
+    grams = cand.filter("grams is not null").groupBy("key").agg(F.first("size").alias("size"), F.first("grams").alias("grams"))
+    return members, count_of.join(grams, "key"), buckets
 
 
 _FAR = 1 << 32
@@ -175,9 +186,41 @@ def _links(sets: DataFrame, t: float, buckets: int) -> DataFrame:
     return sets.mapInArrow(tokens, "_b int, _g binary, _k binary, _n binary, _r binary").groupBy("_b").applyInArrow(link, "a long, b long").distinct()
 
 
+def _least(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The least node that the edges (x, y) connect each of n nodes with."""
+    low = np.arange(n)
+    while len(x):
+        old = low.copy()
+        m = np.minimum(low[x], low[y])
+        for z in (x, y):
+            np.minimum.at(low, low[z], m)
+            np.minimum.at(low, z, m)
+        low = low[low]
+        if (old == low).all():
+            break
+    return low
+
+
+def _stars(batches):
+    """The edges (a, b) of each batch as edges from the least node of what they connect."""
+    for r in batches:
+        a, b = r.column("a").to_numpy(), r.column("b").to_numpy()
+        u, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = _least(at[:len(a)], at[len(a):], len(u))
+        leaf = np.flatnonzero(low != np.arange(len(u)))
+        yield pa.RecordBatch.from_arrays([pa.array(u[low[leaf]]), pa.array(u[leaf])], names=["a", "b"])
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(node, comp): the least node of each connected component of edges (a, b), by alternating large-star and small-star steps."""
-    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
+    """(node, comp): the least node of each connected component of edges (a, b).
+
+    Edges that a task has at hand become stars before anything is shuffled; then large-star and small-star steps alternate. Each step is
+    written to the shared folder, and the table before it goes.
+    """
+    local = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").mapInArrow(_stars, "a long, b long")
+    e = written(local.distinct(), name)
+    sums = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
+    p = sums(e)
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -185,17 +228,22 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         large = written(large, name)
         # small star: every node's neighbours that are not greater, and itself, to the least of them
         m = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(m, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
-        small = written(small, name)
-        s = small.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        p = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        e = small
-        if s == p:
+        small = written(large.join(m, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct(), name)
+        dropped(large)
+        dropped(e)
+        e, before, p = small, p, sums(small)
+        if p == before:
             return e.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(e.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
 def trie_join(tree: list[np.ndarray], sizes_t: np.ndarray, query: list[np.ndarray], sizes_q: np.ndarray, t: float, same: bool):
-    """(i, j, Jaccard) of all pairs of a set of the tree and a query with Jaccard t or more; j > i if both are the same slice.
+    """(i, j, Jaccard) of the pairs of trie_rows."""
+    for i, js, jac in trie_rows(tree, sizes_t, query, sizes_q, t, same):
+        yield from ((i, int(j), float(v)) for j, v in zip(js, jac))
+
+
+def trie_rows(tree: list[np.ndarray], sizes_t: np.ndarray, query: list[np.ndarray], sizes_q: np.ndarray, t: float, same: bool):
+    """(i, all j, their Jaccard) of all pairs of a set of the tree and a query with Jaccard t or more; j > i if both are the same slice.
 
     Sets are ascending ranks of the global order without the grams that nobody shares; sizes count those too.
     """
@@ -251,77 +299,114 @@ def trie_join(tree: list[np.ndarray], sizes_t: np.ndarray, query: list[np.ndarra
                 with np.errstate(divide="ignore", invalid="ignore"):
                     jac = now / both
                 good = np.flatnonzero((jac >= t - 1e-12) & (now > 0))
-                for j in good[good > o[i]] if same else good:
-                    yield o[i], int(j), float(jac[j])
+                if same:
+                    good = good[good > o[i]]
+                if len(good):
+                    yield o[i], good, jac[good]
             stack.append((d, now))
         i = skip
 
 
-def jaccard_pairs(sets: DataFrame, t: float, slice_sets: int = SLICE) -> DataFrame:
-    """(a, b, jaccard) of the keys of all pairs of different sets with Jaccard t or more."""
-    n = sets.sparkSession
-    buckets = max(8, int(n.conf.get("spark.sql.shuffle.partitions")))
+def _cells(sets: DataFrame, t: float, buckets: int, slice_sets: int) -> DataFrame:
+    """Sets by pairs of slices of their components: key, comp, i, j, s (its own slice: i or j), copies, size, grams."""
     comp = components(_links(sets, t, buckets), "links")
     size = comp.groupBy("comp").agg(F.count("*").alias("members"))
     own = comp.join(size, "comp").withColumn("k", F.ceil(F.col("members") / F.lit(slice_sets)).cast("int")).withColumn(
         "s", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     cells = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         F.col("node").alias("key"), "comp", "s", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"))
+    return cells.join(sets.select("key", "copies", "size", "grams"), "key")
+
+
+def _cell_pairs(d: pa.Table, t: float):
+    """(row, rows, Jaccards) of the pairs that a cell has to find."""
+    i, j, s = (d.column(c).to_numpy() for c in ("i", "j", "s"))
+    gs = [np.frombuffer(b, np.uint64) for b in d.column("grams").to_pylist()]
+    size = d.column("size").to_numpy().astype(np.int64)
+    # the trie's global order: rarest first among the sets of this task, which makes for early leaving
+    flat_g = np.concatenate(gs)
+    u = np.unique(flat_g)
+    freq = np.bincount(np.searchsorted(u, flat_g), minlength=len(u))
+    rank = np.empty(len(u), np.int64)
+    rank[np.lexsort((u, freq))] = np.arange(len(u))
+    ranked = [np.sort(rank[np.searchsorted(u, g)]) for g in gs]
+    a, b = int(i[0]), int(j[0])
+    left = np.flatnonzero(s == a)
+    right = left if a == b else np.flatnonzero(s == b)
+    for x, y, v in trie_rows([ranked[x].astype(">u4") for x in left], size[left], [ranked[x] for x in right], size[right], t, a == b):
+        yield left[x], right[y], v
+
+
+def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
+                  block_bytes: int = BLOCK_BYTES, slice_sets: int = SLICE) -> DataFrame:
+    """doc_a, doc_b, jaccard of all pairs of different gram sets with Jaccard of threshold or more, each set by the least id that has it."""
+    _, sets, buckets = jaccard_sets(pick(docs, _id=id_col, _text=text_col), n, threshold, block_bytes)
+    sets = written(sets, "sets")
+
+    def run(d: pa.Table) -> pa.Table:
+        key, out = d.column("key").to_numpy(), list(_cell_pairs(d, threshold))
+        many = [len(y) for _, y, _ in out]
+        put = lambda xs, kind: np.concatenate([np.zeros(0, kind), *xs])
+        return pa.table({"a": key[np.repeat([int(x) for x, _, _ in out], many).astype(np.int64)], "b": key[put([y for _, y, _ in out], np.int64)], "jaccard": put([v for _, _, v in out], np.float64)})
+
+    pairs = _cells(sets, threshold, buckets, slice_sets).groupBy("comp", "i", "j").applyInArrow(run, "a long, b long, jaccard double")
+    name = sets.select("key", F.col("first._id").alias("id"))
+    far = pairs.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b")
+    return far.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+def _classes(docs: DataFrame, n: int, t: float, block_bytes: int, slice_sets: int) -> DataFrame:
+    """_id, _th, first (least (_id, _th) of its class), copies (rows of the same set, itself included), links (rows of other sets) of the members."""
+    members, sets, buckets = jaccard_sets(docs, n, t, block_bytes)
+    sets = written(sets, "sets")
 
     def run(d: pa.Table) -> pa.Table:
-        i, j, s = (d.column(c).to_numpy() for c in ("i", "j", "s"))
-        gs = [np.frombuffer(b, np.uint64) for b in d.column("grams").to_pylist()]
-        key, size = d.column("key").to_numpy(), d.column("size").to_numpy().astype(np.int64)
-        # the trie's global order: rarest first among the sets of this task, which makes for early leaving
-        flat_g = np.concatenate(gs)
-        u = np.unique(flat_g)
-        freq = np.bincount(np.searchsorted(u, flat_g), minlength=len(u))
-        rank = np.empty(len(u), np.int64)
-        rank[np.lexsort((u, freq))] = np.arange(len(u))
-        ranked = [np.sort(rank[np.searchsorted(u, g)]) for g in gs]
-        a, b = int(i[0]), int(j[0])
-        left = np.flatnonzero(s == a)
-        right = left if a == b else np.flatnonzero(s == b)
-        out = list(trie_join([ranked[x].astype(">u4") for x in left], size[left], [ranked[x] for x in right], size[right], t, a == b))
-        return pa.table({"a": pa.array([key[left[x]] for x, _, _ in out], pa.int64()), "b": pa.array([key[right[y]] for _, y, _ in out], pa.int64()),
-                         "jaccard": pa.array([v for _, _, v in out], pa.float64())})
-
-    return cells.join(sets.select("key", "size", "grams"), "key").groupBy("comp", "i", "j").applyInArrow(run, "a long, b long, jaccard double")
+        """A cell's pairs, summed: how many partners each set has in it, and the least row that they connect it with."""
+        key, copies = d.column("key").to_numpy(), d.column("copies").to_numpy()
+        links, ends = np.zeros(len(key), np.int64), [(np.zeros(0, np.int64),) * 2]
+        for x, y, _ in _cell_pairs(d, t):
+            links[x] += copies[y].sum()
+            links[y] += copies[x]
+            ends.append((np.full(len(y), x), y))
+        low = _least(*(np.concatenate(e) for e in zip(*ends)), len(key))
+        own = np.flatnonzero(links)
+        return pa.table({"key": key[own], "to": key[low[own]], "links": links[own]})
+
+    found = written(_cells(sets, t, buckets, slice_sets).groupBy("comp", "i", "j").applyInArrow(run, "key long, to long, links long"), "found")
+    comp = components(found.select(F.col("key").alias("a"), F.col("to").alias("b")), "groups")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    s = sets.select("key", "first", "copies").join(links, "key", "left").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    least = s.groupBy("comp").agg(F.min("first").alias("least"))
+    info = s.join(least, "comp").select("key", F.col("least").alias("first"), "copies", F.coalesce("links", F.lit(0)).alias("links")).filter("copies > 1 or links > 0")
+    return members.join(info, "key").drop("key")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
                  block_bytes: int = BLOCK_BYTES, slice_sets: int = SLICE) -> DataFrame:
-    """All pairs of documents whose word n-gram sets have Jaccard of threshold or more, by distinct sets.
+    """doc_id, class_id, n_copies, n_links for every row of docs, from all pairs of documents whose word n-gram sets have Jaccard of threshold or more.
 
-    Columns doc_a, doc_b, jaccard, ids_a, ids_b: each document of ids_a pairs with each of ids_b; doc_a and doc_b are the least of them.
-    Documents with equal sets give one row with ids_a = ids_b, doc_a and doc_b its first two, and jaccard 1. Texts without words, null
-    texts and null ids have no pairs. A text of fewer than n words is one gram. Rows that repeat an id and its set count once.
+    class_id is the least id of those that pairs connect with the document; n_copies how many other documents have its very set, n_links how
+    many other documents pair with it, copies included. (jaccard_pairs gives the pairs of different sets themselves.) Null texts and texts
+    without words have no pairs: their class is their own id. Null ids have no pairs and a null class. A text of fewer than n words is one
+    gram. Rows that repeat an id and its text count once and are returned each. Texts of any length are taken whole.
     """
-    sets = jaccard_sets(pick(docs, _id=id_col, _text=text_col), n, threshold, block_bytes)
-    pairs = jaccard_pairs(sets, threshold, slice_sets)
-    name = sets.select("key", "set_id", "ids")
-    far = pairs.join(name.toDF("a", "doc_a", "ids_a"), "a").join(name.toDF("b", "doc_b", "ids_b"), "b")
-    swap = F.col("doc_a") > F.col("doc_b")
-    far = far.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"),
-                     F.when(swap, F.col("ids_b")).otherwise(F.col("ids_a")).alias("ids_a"), F.when(swap, F.col("ids_a")).otherwise(F.col("ids_b")).alias("ids_b"))
-    same = sets.filter(F.size("ids") > 1).select(F.col("ids")[0].alias("doc_a"), F.col("ids")[1].alias("doc_b"), F.lit(1.0).alias("jaccard"),
-                                                 F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"))
-    return far.unionByName(same)
+    d = pick(docs, _id=id_col, _text=text_col)
+    c = _classes(d, n, threshold, block_bytes, slice_sets)
+    rows = d.select("_id", F.xxhash64("_text").alias("_th"))
+    return rows.join(c, ["_id", "_th"], "left").select(F.col("_id").alias("doc_id"), F.coalesce(F.col("first._id"), F.col("_id")).alias("class_id"),
+                                                       F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs without all but the least id of each group, a group being what pairs of jaccard_join connect.
+    """The rows of docs without all but one of each class of jaccard_join: that of the least id, and of its texts the one of the least hash.
 
-    Documents without words, and rows with a null id, stay. Rows that repeat the id that stays do stay.
+    Documents without words, and rows with a null id, stay. Rows that repeat the id and text that stay do stay.
     """
     p = {"n": N, "threshold": THRESHOLD, "block_bytes": BLOCK_BYTES, "slice_sets": SLICE} | kw
-    sets = jaccard_sets(pick(docs, _id=id_col, _text=text_col), p["n"], p["threshold"], p["block_bytes"])
-    comp = components(jaccard_pairs(sets, p["threshold"], p["slice_sets"]).select("a", "b"), "groups")
-    s = sets.select("key", "set_id", "ids").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = s.groupBy("comp").agg(F.min("set_id").alias("first"))
-    out = s.join(least, "comp").select(F.explode("ids").alias("_gone"), "first").filter("_gone <> first").select("_gone").distinct()
+    gone = _classes(pick(docs, _id=id_col, _text=text_col), p["n"], p["threshold"], p["block_bytes"], p["slice_sets"]).filter("struct(_id, _th) <> first").select("_id", "_th")
     f, at = flat(docs)
-    return f.join(written(out, "gone"), f[at[id_col]] == F.col("_gone"), "left_anti").toDF(*docs.columns)
+    gone = written(gone, "gone")
+    return f.join(gone, (f[at[id_col]] == gone["_id"]) & (F.xxhash64(f[at[text_col]]) == gone["_th"]), "left_anti").toDF(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
