@@ -72,11 +72,25 @@ def test_empty_single_and_repeated(spark):
     assert ppm_score(df).count() == 3
 
 
-def test_long_text_is_cut_without_effect(spark, monkeypatch):
+def test_long_text_is_cut_without_effect(spark):
     import weftline.llm.common as c
 
-    df = frame(spark, ["ab" * 3000, "abc" * 2000, "hello world " * 100])
-    a = {r.doc_id: r.bits for r in ppm_score(df).collect()}
-    assert c.PIECE > 1 << 20 and all(v > 0 for v in a.values())
+    texts = ["hello world, " * 60_000, "abc" * 2000, "hello world " * 100, "wide world of hellos " * 30_000, "ab" * 3000]
+    assert sum(len(t) > c.PIECE for t in texts) == 2
+    df = frame(spark, texts)
+    fold = {r[0]: r[1] for r in df.toDF("id", "text", "a", "b", "c").select("id", F.pmod(F.xxhash64("id", "text"), F.lit(2))).collect()}
+    assert len(set(fold.values())) == 2
+    want = brute([(i, t, fold[i]) for i, t in enumerate(texts)], 4)
+    for r in ppm_score(df).collect():
+        assert math.isclose(r.bits, want[r.doc_id], rel_tol=1e-5)
     assert [len(g) for g in c.pieces([b"x" * 10, b"y" * 3, b""], 2, 4)] == [1, 1, 1, 1]
     assert b"".join(p for g in c.pieces([b"abcdefghij"], 2, 4) for _, _, p in g) == b"abcdefghij"
+    long = [b"mississippi river " * 50, b"miss", b"x" * 100]
+    for cut in (1, 5, 64, 1 << 20):
+        keys = [[] for _ in long]
+        for group in c.pieces(long, 4, cut):
+            g, own, size = c.byte_grams(group, 4)
+            for i, part in zip(own, c.np.split(g, c.np.cumsum(size)[:-1])):
+                keys[i] += part.tolist()
+        assert cut == 1 or keys == first
+        first = keys

@@ -122,3 +122,29 @@ def test_small_languages_are_judged(spark):
     table = [(i, t, "en") for i, t in enumerate(prose(1, 12))] + [(600, junk, "en")]
     r = {x.doc_id: x for x in quality_bands(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
     assert not r[600].keep and sum(r[i].keep for i in range(12)) >= 11
+
+
+def test_near_groups(spark):
+    from weftline.llm.near_copies import near_groups
+
+    a, b = prose(5, 2)
+    near = [a.rsplit(" ", 1 + i)[0] for i in range(8)]
+    rows = [(i, 1, t) for i, t in enumerate([a, *near])] + [(100 + i, 1, b) for i in range(50)] + [(200, 2, a), (300, 1, "alone in here"), (301, 1, ""), (302, 1, None), (303, 1, "hm"), (304, 1, "hm")]
+    df = spark.createDataFrame(rows + rows[:3], "_k long, _lk long, _text string").withColumn("_h", F.col("_k") * 7)
+    got = near_groups(df).collect()
+    assert {r._k: r._first for r in got} == {**{i: 0 for i in range(9)}, **{100 + i: 100 for i in range(50)}, 303: 303, 304: 303}
+    assert len(got) == 61 and all(r._h == 7 * r._k for r in got)
+
+
+def test_sketches_estimate_jaccard():
+    from weftline.llm.near_copies import BINS, sketch
+
+    rng = np.random.default_rng(1)
+    for j in (0.2, 0.5, 0.8):
+        off = []
+        for _ in range(200):
+            x = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+            m = int(600 * 2 * j / (1 + j))
+            off.append((sketch(x) == sketch(np.concatenate([x[:m], rng.integers(0, 1 << 63, 600 - m, dtype=np.uint64)]))).mean())
+        assert abs(np.mean(off) - j) < 0.04
+    assert len(sketch(np.array([5], np.uint64))) == BINS

@@ -13,10 +13,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import (byte_grams, count_sorted, encode, expanded, expanded_sorted, n_blocks, packed, pieces, squeezed,
+from weftline.llm.common import (byte_grams, count_sorted, encode, expanded, expanded_sorted, find, n_blocks, packed, pieces, squeezed,
                                  squeezed_sorted, text_bytes, unpack)
 
 BLOCK_BYTES = 32 << 20
@@ -24,54 +25,91 @@ BLOCK_BYTES = 32 << 20
 POOL = "\0"
 
 
-def _grams_by(order: int, n_pid: int):
-    """mapInArrow: distinct grams of each (block, group) with counts and the partition that owns them."""
+class _Grams:
+    """Distinct grams of each (block, fold, group), with counts and the partition that owns them."""
 
-    def f(batches):
-        held: dict[tuple, list] = {}
-        seen: dict[tuple, set] = {}
+    def __init__(self, order: int, n_pid: int):
+        self.order, self.n_pid = order, n_pid
+        self.held: dict[tuple, list] = {}
 
-        def squeeze(key):
-            parts = held[key]
-            held[key] = [count_sorted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+    def _squeeze(self, key):
+        parts = self.held[key]
+        self.held[key] = [count_sorted(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
 
-        for block, b in ((k.as_py(), unpack(pa.table({"_z": pa.array([z])}))) for r in batches for k, z in zip(r.column("_block"), r.column("_z"))):
-            grp = np.array(["" if g is None else g for g in b.column("_grp").to_pylist()], object)
-            texts = encode(b.column("_text").to_pylist())
-            once = zip(b.column("_once").to_pylist(), b.column("_h").to_pylist()) if "_once" in b.column_names else None
-            rows: dict[tuple, list] = {}
-            for i, t in enumerate(texts):
-                counts = True
-                if once is not None:
-                    counts, h = next(once)
-                    if counts and t:
-                        had = seen.setdefault((block, grp[i]), set())
-                        counts = h not in had
-                        had.add(h)
-                if t:
-                    rows.setdefault((block, grp[i], counts), []).append(t)
-            for (*key, counts), ts in rows.items():
-                key = tuple(key)
-                parts = held.setdefault(key, [])
-                for group in pieces(ts, order):
-                    g, n = count_sorted(byte_grams(group, order)[0])
-                    parts.append((g, n if counts else np.zeros_like(n)))
-                    if len(parts) >= 16:
-                        squeeze(key)
-                        parts = held[key]
-        for key in list(held):
-            squeeze(key)
-            g, n = held.pop(key)[0]
+    def add(self, block: int, grp: list, fold: list, texts: list, counts: list | None = None) -> None:
+        rows: dict[tuple, list] = {}
+        for i, t in enumerate(texts):
+            if t:
+                rows.setdefault((block, fold[i], grp[i], counts is None or bool(counts[i])), []).append(t)
+        for (*key, counted), ts in rows.items():
+            key = tuple(key)
+            parts = self.held.setdefault(key, [])
+            for group in pieces(ts, self.order):
+                g, n = count_sorted(byte_grams(group, self.order)[0])
+                parts.append((g, n if counted else np.zeros_like(n)))
+                if len(parts) >= 16:
+                    self._squeeze(key)
+                    parts = self.held[key]
+
+    def rows(self):
+        for key in list(self.held):
+            self._squeeze(key)
+            g, n = self.held.pop(key)[0]
             pair = ((g >> 8) & 0xFFFF).astype(np.uint64)
-            pid = (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_pid)).astype(np.int32)
+            pid = (((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(self.n_pid)).astype(np.int32)
             o = np.argsort(pid, kind="stable")
             g, n, pid = g[o], n[o], pid[o]
             at = np.flatnonzero(np.diff(pid, prepend=-1))
             cut = list(zip(at.tolist(), [*at[1:].tolist(), len(g)]))
             yield pa.RecordBatch.from_arrays([
-                pa.array(pid[at]), pa.array([key[0]] * len(at), pa.int32()), pa.array([key[1]] * len(at), pa.string()),
+                pa.array(pid[at]), pa.array([key[0]] * len(at), pa.int32()), pa.array([key[1]] * len(at), pa.int32()), pa.array([key[2]] * len(at), pa.string()),
                 pa.array([squeezed_sorted(g[i:j]) for i, j in cut], pa.binary()), pa.array([squeezed(n[i:j].astype(np.uint32)) for i, j in cut], pa.binary())],
-                names=["_pid", "_block", "_grp", "_grams", "_ns"])
+                names=["_pid", "_block", "_fold", "_grp", "_grams", "_ns"])
+
+
+_GRAMS = "_pid int, _block int, _fold int, _grp string, _grams binary, _ns binary"
+
+
+def _groups_of(b: pa.Table) -> list:
+    return ["" if g is None else g for g in b.column("_grp").to_pylist()]
+
+
+def _grams_by(order: int, n_pid: int):
+    """mapInArrow over packed blocks, whose last bit is their documents' fold."""
+
+    def f(batches):
+        g = _Grams(order, n_pid)
+        for block, b in ((k.as_py(), unpack(pa.table({"_z": pa.array([z])}))) for r in batches for k, z in zip(r.column("_block"), r.column("_z"))):
+            g.add(block, _groups_of(b), [block & 1] * b.num_rows, encode(b.column("_text").to_pylist()))
+        yield from g.rows()
+
+    return f
+
+
+def _of_groups(d: pa.Table, block: int, near: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The fold of each document of a block, which its group of copies decides, and whether it is the group's first."""
+    k, first = near.column("_k").to_numpy(), near.column("_first").to_numpy()
+    o = np.argsort(k)
+    own = d.column("_k").to_numpy()
+    at, hit = find(k[o], own)
+    to = first[o][at] if len(k) else own
+    return np.where(hit, to & 1, block & 1), ~hit | (to == own)
+
+
+def _grams_near(order: int, n_pid: int):
+    """The same with the blocks' groups of copies: of each group the first counts, and of rows with the same key one."""
+
+    def f(z: pa.Table, near: pa.Table) -> pa.Table:
+        g = _Grams(order, n_pid)
+        if z.num_rows:
+            block, d = z.column("_block")[0].as_py(), unpack(z)
+            fold, first = _of_groups(d, block, near)
+            once = np.zeros(len(first), bool)
+            once[np.unique(d.column("_k").to_numpy(), return_index=True)[1]] = True
+            g.add(block, _groups_of(d), fold.tolist(), encode(d.column("_text").to_pylist()), (first & once).tolist())
+        rows = list(g.rows())
+        return pa.Table.from_batches(rows) if rows else pa.table({"_pid": pa.array([], pa.int32()), "_block": pa.array([], pa.int32()), "_fold": pa.array([], pa.int32()), "_grp": pa.array([], pa.string()),
+                                                                  "_grams": pa.array([], pa.binary()), "_ns": pa.array([], pa.binary())})
 
     return f
 
@@ -93,29 +131,34 @@ class Low:
         self.tags: dict[int, dict[int, int]] = {}
 
 
-def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES, least: int = 0):
-    """docs: _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block and _grp: _grams, _bits, both squeezed, and what the block spends
-    on them: _spent and _pooled bits for _count bytes).
+def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES, least: int = 0,
+             near: DataFrame | None = None):
+    """docs: _id, _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block, _fold and _grp: _grams, _bits,
+    both squeezed, and what the block spends on them: _spent and _pooled bits for _count bytes; number of blocks).
 
     summarize(grams, counts) -> [(tag, key, value)]: what is to be summed over the corpus for a group and fold; tag 0 fills Low.pair.
     costs(query grams, model grams, model counts, Low) -> bits of each query gram under the model.
     Groups of fewer than least bytes that count are scored with the model of all groups. With least, _pooled is what every block and
     group would spend under that model.
-    docs may have _h, a row's hash, with _fold, its fold, and _once: where false, or where a row of the same hash and group came before,
-    the row is scored but counts neither in the model nor in _spent and _count.
+    near: _k, _h and _first of documents with copies, docs having _k and _h = xxhash64(_id, _text); documents of a _first lie in one
+    fold, and only the one whose _k it is counts in the model, in _spent and in _count. Of rows with one _k one counts.
     """
     n = n_blocks(text_bytes(docs, "_text"), block_bytes)
-    n_pid = max(8, n)
-    h = F.xxhash64("_id", "_text")
-    block = F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + (F.col("_fold") if "_fold" in docs.columns else F.pmod(h, F.lit(2)))
-    x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), block, max(n, 2))
-    e = x.mapInArrow(_grams_by(order, n_pid), "_pid int, _block int, _grp string, _grams binary, _ns binary").repartition(n_pid, "_pid")
+    n_pid = min(max(8, n), 1 << 16)
+    at = lambda h: F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
+    x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), at(F.xxhash64("_id", "_text")), max(n, 2))
+    if near is None:
+        e = x.mapInArrow(_grams_by(order, n_pid), _GRAMS)
+    else:
+        near = near.withColumn("_block", at(F.col("_h")).cast("int")).select("_block", "_k", "_first").repartition(max(n, 2), "_block")
+        e = x.groupBy("_block").cogroup(near.groupBy("_block")).applyInArrow(_grams_near(order, n_pid), _GRAMS)
+    e = e.repartition(n_pid, "_pid")
 
     def folds(t: pa.Table):
         """Each group and fold with its rows' numbers, grams and counts."""
         rows: dict[tuple, list] = {}
-        for i, (name, block, g, c) in enumerate(zip(*(t.column(k).to_pylist() for k in ("_grp", "_block", "_grams", "_ns")))):
-            rows.setdefault((name, block & 1), []).append((i, expanded_sorted(g, np.int64), expanded(c, np.uint32).astype(np.int64)))
+        for i, (name, fold, g, c) in enumerate(zip(*(t.column(k).to_pylist() for k in ("_grp", "_fold", "_grams", "_ns")))):
+            rows.setdefault((name, fold), []).append((i, expanded_sorted(g, np.int64), expanded(c, np.uint32).astype(np.int64)))
         return rows
 
     def merged(rows):
@@ -177,29 +220,36 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
                         continue
                 out[i] = squeezed(b[at].astype(np.float32))
                 spent[i], count[i] = (b[at] * n).sum(), n.sum()
-        return pa.table({"_block": t.column("_block"), "_grp": t.column("_grp"), "_grams": t.column("_grams"), "_bits": pa.array(out, pa.binary()),
+        return pa.table({"_block": t.column("_block"), "_fold": t.column("_fold"), "_grp": t.column("_grp"), "_grams": t.column("_grams"), "_bits": pa.array(out, pa.binary()),
                          "_spent": spent, "_pooled": pool, "_count": count})
 
-    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _grp string, _grams binary, _bits binary, _spent double, _pooled double, _count long")
-    return x, c.repartition(max(n, 2), "_block"), n
+    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _fold int, _grp string, _grams binary, _bits binary, _spent double, _pooled double, _count long")
+    c = c.repartition(max(n, 2), "_block")
+    if near is not None:
+        c = c.withColumn("_k", F.lit(None).cast("long")).withColumn("_first", F.lit(None).cast("long")).unionByName(near, allowMissingColumns=True)
+    return x, c, n
 
 
 def score(order: int):
-    """Function of (a block's documents, its costs) -> (bytes, bits) of each document; no bytes where the text is null or empty."""
+    """Function of (a block's number and documents, its costs) -> (bytes, bits) of each document; no bytes where the text is null or empty."""
 
-    def f(docs: pa.Table, costs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def f(block: int, docs: pa.Table, costs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         texts = encode(docs.column("_text").to_pylist())
-        grp = np.array(["" if g is None else g for g in docs.column("_grp").to_pylist()], object)
+        grp = np.array(_groups_of(docs), object)
         size = np.array([len(t or b"") for t in texts], np.int64)
         bits = np.zeros(len(texts))
-        by: dict[str, list] = {}
-        for name, g, b in zip(*(costs.column(k).to_pylist() for k in ("_grp", "_grams", "_bits"))):
-            by.setdefault(name, []).append((expanded_sorted(g, np.int64), expanded(b, np.float32)))
-        for name, parts in by.items():
+        fold = np.full(len(texts), block & 1)
+        if "_k" in costs.column_names:
+            fold, _ = _of_groups(docs, block, costs.filter(pc.is_valid(costs.column("_k"))))
+        by: dict[tuple, list] = {}
+        for name, own, g, b in zip(*(costs.column(k).to_pylist() for k in ("_grp", "_fold", "_grams", "_bits"))):
+            if g is not None:
+                by.setdefault((name, own), []).append((expanded_sorted(g, np.int64), expanded(b, np.float32)))
+        for (name, f), parts in by.items():
             keys, vals = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.float64)
             o = np.argsort(keys)
             keys, vals = keys[o], vals[o]
-            own = np.flatnonzero((grp == name) & (size > 0))
+            own = np.flatnonzero((grp == name) & (fold == f) & (size > 0))
             for group in pieces([texts[i] for i in own], order):
                 g, idx, lens = byte_grams(group, order)
                 s = np.add.reduceat(vals[np.searchsorted(keys, g)], np.cumsum(lens) - lens)

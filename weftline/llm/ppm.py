@@ -85,7 +85,7 @@ def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     def rate(z: pa.Table, costs: pa.Table) -> pa.Table:
         d = unpack(z)
-        size, bits = run(d, costs)
+        size, bits = run(z.column("_block")[0].as_py(), d, costs)
         null = d.column("_text").is_null().to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
             per = bits / size

@@ -2,7 +2,7 @@
 
 The counts of each language's (ORDER+1)-byte grams, their continuation counts and the discounts D1, D2, D3+ come from all documents
 (gram_exchange: sorted key arrays, met by suffix). A document is scored with the model of the other half of its language, so that
-it doesn't predict itself. Copies and near copies in a language (the groups of near_dedup) lie in one half, and one of each group
+it doesn't predict itself. Copies and near copies in a language (the groups of near_copies) lie in one half, and one of each group
 counts in the model and the centre: copies don't predict each other, and the number of copies changes no figure.
 A language's centre is the mean bits a byte over that text; the band around it is
 [centre - LOWER - SLACK/sqrt(bytes), centre + UPPER + SLACK/sqrt(bytes)]: below lies repeated or formulaic text, above it junk.
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import jaccard_join as J
 from weftline.llm.common import count_sorted, find, flat, pick, table, unpack, written
 from weftline.llm.gram_exchange import Low, exchange, score
+from weftline.llm.near_copies import near_groups
 
 ORDER = 4
 BLOCK_BYTES = 32 << 20
@@ -93,28 +93,17 @@ def kn_bits(order: int):
     return f
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """docs with _h, _fold and _once for exchange: each group of copies in a language takes the fold of its row of the least hash, which alone counts."""
-    d = docs.withColumn("_h", F.xxhash64("_id", "_text"))
-    sets = J.jaccard_sets(d.select(F.col("_h").alias("_id"), "_text"), J.N, J.THRESHOLD, J.BLOCK_BYTES)
-    comp = J.components(J.jaccard_pairs(sets, J.THRESHOLD).select("a", "b"), "copies")
-    near = sets.select("key", F.explode("ids").alias("_h")).join(comp.toDF("key", "comp"), "key", "left").select("_h", F.coalesce("comp", "key").alias("_set"))
-    rows = d.select("_lang", "_h").distinct().join(near, "_h")
-    first = rows.groupBy("_lang", "_set").agg(F.min("_h").alias("_first"))
-    later = written(rows.join(first, ["_lang", "_set"]).filter("_h <> _first").select("_lang", "_h", "_first"), "copies")
-    return d.join(later, ["_lang", "_h"], "left").withColumn("_fold", F.pmod(F.coalesce("_first", "_h"), F.lit(2))).withColumn(
-        "_once", F.col("_first").isNull()).drop("_first")
-
-
 def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
     """docs: _id, _text, _lang and others. Returns its packed blocks, and for each row of a block, by _block and _row: _id, _grp, _size,
     _rate (bits a byte), the bounds _lo and _hi, null where there are no bytes, and _keep."""
-    x, c, n = exchange(_copies(docs), "_lang", order, kn_summary(order), kn_bits(order), block_bytes, max(least, 1))
+    docs = docs.withColumn("_h", F.xxhash64("_id", "_text")).withColumn("_lk", F.xxhash64("_lang")).withColumn("_k", F.xxhash64("_h", "_lk"))
+    near = written(near_groups(docs), "near")
+    x, c, n = exchange(docs.drop("_h", "_lk"), "_lang", order, kn_summary(order), kn_bits(order), block_bytes, max(least, 1), near)
     run = score(order)
 
     def rate(z: pa.Table, costs: pa.Table) -> pa.Table:
         d = unpack(z)
-        size, bits = run(d, costs)
+        size, bits = run(z.column("_block")[0].as_py(), d, costs)
         with np.errstate(divide="ignore", invalid="ignore"):
             per = bits / size
         blank = [not (t or "").strip() for t in d.column("_text").to_pylist()]
@@ -123,7 +112,7 @@ def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: floa
 
     kind = docs.schema["_id"].dataType.simpleString()
     r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_block int, _row int, _id {kind}, _grp string, _size long, _rate double, _blank boolean")
-    by = c.groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train")).withColumn("_under", F.col("_pooled") / F.col("_train"))
+    by = c.filter("_grams is not null").groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train")).withColumn("_under", F.col("_pooled") / F.col("_train"))
     mean = by.agg((F.sum("_pooled") / F.sum("_train")).alias("_mean"), F.sum("_train").alias("_all"), F.sum(F.col("_under") * F.col("_pooled")).alias("_sq")).select(
         "_mean", "_all", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("_all") - F.col("_mean") * F.col("_mean"))).alias("_spread"))
     own, small = F.col("_train") / (F.col("_train") + PRIOR_BYTES), F.col("_train") < least
