@@ -30,8 +30,12 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return mix(v[at[near]] + ((near - _PLACES) % BINS).astype(np.uint64))
 
 
+#: Rows whose grams are held at once; bounds a worker's memory.
+ROWS = 512
+
+
 def _rows(batches):
-    for r in batches:
+    for r in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         own, rows = [], []
         for i, g in enumerate(gram_sets(_lower(r.column("_text")), 3)):
             if len(g):
