@@ -132,23 +132,88 @@ def images(html) -> list[dict]:
     return out
 
 
+_PROSE = ("p", "div", "span", "section", "article")
+
+
+def _headings_before(n: Node, steps: int = 3, most: int = 2) -> list[dict]:
+    """Headings among the nodes just before an element in the page's order: the end of what its sibling holds, else its parent."""
+    out: list[dict] = []
+    at = n
+    for _ in range(steps):
+        before = at.around()[0] if isinstance(at, Node) else ()
+        if isinstance(at, tuple):  # a piece of text: (parent, place)
+            before = at[0].items[:at[1]][::-1]
+        parent = at[0] if isinstance(at, tuple) else at.parent
+        if not before:
+            at = parent
+        else:
+            x, holder, place = before[0], parent, len(before) - 1
+            while isinstance(x, Node) and x.items:
+                holder, place, x = x, len(x.items) - 1, x.items[-1]
+            at = x if isinstance(x, Node) else (holder, place)
+        if at is None or isinstance(at, Node) and at.parent is None:
+            break
+        if isinstance(at, Node) and re.fullmatch("h[1-6]", at.tag):
+            out.append({"level": int(at.tag[1]), "text": at.text().strip()})
+            if len(out) == most:
+                break
+    return out
+
+
+def images_in_context(html) -> list[dict]:
+    """All images with caption, headings, links and text around them and a relevance; the most relevant first, else in the page's order."""
+    out = []
+    pictures = soup(html).find_all("img")
+    for i, n in enumerate(pictures, 1):
+        score, words = 0, []
+        figure = next((u for u in n.up() if u.tag == "figure"), None)
+        cap = figure.find("figcaption") if figure is not None else None
+        score += 4 * (cap is not None)
+        heads = _headings_before(n)
+        score += len(heads)
+        before, after = n.around()
+        anchor = next((u for u in n.up() if u.tag == "a"), None)
+        links_ = [(anchor, "parent"), (after[0] if after else None, "next_sibling"), (before[0] if before else None, "previous_sibling")]
+        near = [{"href": x.get("href"), "text": x.text().strip(), "relationship": r} for x, r in links_ if isinstance(x, Node) and x.tag == "a" and x.get("href") is not None]
+        prose = lambda xs: [t for t in (x.text().strip() for x in xs if isinstance(x, Node) and x.tag in _PROSE) if t][:2]
+        words += prose(before)[::-1]
+        up = n.parent
+        if up is not None and up.tag not in ("a", "body", "html"):
+            rest = "".join(x if isinstance(x, str) else x.text() for x in up.items if x is not n).strip()
+            if rest:
+                words.append(rest)
+                score += 2
+        words += prose(after)
+        alt = n.get("alt") or ""
+        if not words and alt:
+            words.append(f"Image described as: {alt}")
+            score += 1
+        if n.get("aria-label"):
+            words.append(f"Image labeled as: {n.get('aria-label')}")
+            score += 1
+        prop = n.get("itemprop") or (up.get("itemprop") if up is not None else None)
+        score += 2 * bool(prop) + 2 * bool(alt) + bool(n.get("title")) + 2 * bool(n.get("id"))
+        out.append({"src": n.get("src"), **{k: n.get(k) or "" for k in ("alt", "title", "width", "height", "loading", "srcset", "sizes", "id")}, "class": n.classes(), "position": i, "total": len(pictures), "caption": cap.text().strip() if cap is not None else "",
+                    "nearby_headings": heads, "related_links": near, "context": " ".join(words), "itemprop": prop, "relevance": score})
+    return sorted(out, key=lambda x: -x["relevance"])
+
+
 # ------------------------------------------------------------------ keywords
 
 _PUNCT = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 def keyword_text(html) -> str:
-    t = soup(html)
-    t.drop("nav", "footer", "style", "script")
+    t, skip = soup(html), ("nav", "footer", "style", "script")
     parts: list[str] = []
-    title = t.find("title")
+    title = t.find("title", skip=skip)
     if title is not None:
-        parts += [title.text("", True)] * 3
+        parts += [title.text("", True, skip)] * 3
     for tags, times in ((("h1",), 2), (("h2",), 1), (("h3",), 1), (("p",), 1)):
-        parts += [n.text(" ", True) for n in t.find_all(*tags)] * times
+        parts += [n.text(" ", True, skip) for n in t.find_all(*tags, skip=skip)] * times
     text = squash(" ".join(parts))
     if not text:
-        text = squash((t.find("body") or t).text(" ", True))
+        text = squash((t.find("body", skip=skip) or t).text(" ", True, skip))
     return text
 
 
@@ -157,11 +222,11 @@ def tokens(text: str | None, least: int = 3) -> list[str]:
 
 
 def keywords(text: str | None, top: int = 20, least: int = 3) -> list[dict]:
-    """The most frequent tokens with their shares, ties by first occurrence; none for texts of fewer than ten words."""
+    """The most frequent tokens with their numbers and shares, ties by first occurrence; none for texts of fewer than ten words."""
     w = tokens(text, least)
     if not w or len(text.split()) < 10:
         return []
-    return [{"keyword": k, "score": c / len(w)} for k, c in Counter(w).most_common(top)]
+    return [{"keyword": k, "n": c, "score": c / len(w)} for k, c in Counter(w).most_common(top)]
 
 
 def keyphrases(text: str | None, most_words: int = 3, least_freq: int = 2, top: int = 20, least: int = 3) -> list[str]:
@@ -324,10 +389,10 @@ _STATE = ("__INITIAL_STATE__", "__NEXT_DATA__", "__NUXT__", "__PRELOADED_STATE__
 _DECODER = json.JSONDecoder()
 
 
-def embedded_json(html, most: int = 2_000_000, most_script: int = 500_000) -> dict[str, str]:
-    """JSON blocks by id, class or number, and what scripts assign to known window variables."""
+def embedded_json(html) -> dict[str, str]:
+    """JSON blocks by id, class or number, and what scripts assign to known window variables; of whole pages and scripts of any length."""
     out: dict[str, str] = {}
-    for s in soup((html or "")[:most]).find_all("script"):
+    for s in soup(html).find_all("script"):
         body, kind = s.text(), (s.get("type") or "").lower()
         if kind in ("application/json", "application/ld+json"):
             try:
@@ -339,7 +404,7 @@ def embedded_json(html, most: int = 2_000_000, most_script: int = 500_000) -> di
             while key in out:
                 key, n = f"{name}_{n}", n + 1
             out[key] = json.dumps(x, ensure_ascii=False, sort_keys=True)
-        elif len(body) <= most_script:
+        else:
             for v in _STATE:
                 m = re.search(r"window\." + v + r"\s*=\s*(?=[{\[])", body)
                 if m and v not in out:
@@ -370,8 +435,7 @@ def word_scores(text: str) -> list[tuple[str, float]]:
 
 
 def visible_text(t: Node) -> str:
-    t.drop("noscript", "meta", "style", "script")
-    parts = (p.strip() for line in t.text().splitlines() for p in line.strip().split("  "))
+    parts = (p.strip() for line in t.text(skip=("noscript", "meta", "style", "script")).splitlines() for p in line.strip().split("  "))
     return " ".join(p for p in parts if p)
 
 
@@ -417,6 +481,11 @@ def language(html, url: str | None) -> dict:
 _TRAP = ("bot-trap", "honeypot", "trap", "spider-trap", "crawler-trap", "hidden-link")
 
 
+#: What to do about traps: in any case, or where one of a kind was found.
+_ADVICE = ((None, "leave elements alone that nobody can see"), (None, "don't follow links that look like traps"), (None, "don't fill in fields marked as traps"), (None, "see whether an element is visible before using it"), (None, "follow robots.txt and the site's terms"),
+           ("hidden_link", "leave out URLs with trap, honeypot or bot in them"), ("suspicious_field", "leave fields with a trap's name empty"), ("mouse_trap", "don't move or click the mouse at random"))
+
+
 def _style(n: Node) -> str:
     return re.sub(r"\s+", "", (n.get("style") or "").lower())
 
@@ -444,61 +513,74 @@ def honeypots(html) -> dict:
         if n.tag == "input" and n.get("name"):
             kind = (n.get("type") or "text").lower()
             tell("suspicious_field", n, 0.6 * trap + 0.4 * ("display:none" in s) if kind == "hidden" else 0.5 * trap + 0.2 * ("display:none" in s) if kind in ("text", "email", "tel") else 0.0, 0.5)
+        if n.tag in ("a", "button", "div") and ("onclick" in n.attrs or "onmousedown" in n.attrs):
+            tell("mouse_trap", n, 0.3 * (not n.text("", True)) + 0.3 * bool(re.search(r"(?:width|height):[12]px", s)), 0.5)
     mean = sum(x["confidence"] for x in found) / len(found) if found else 0.0
     risk = "none" if not found else "high" if len(found) >= 5 or mean >= 0.8 else "medium" if len(found) >= 2 or mean >= 0.6 else "low"
-    return {"found": found, "count": len(found), "risk": risk}
+    kinds = {x["kind"] for x in found}
+    return {"found": found, "count": len(found), "risk": risk, "advice": [a for k, a in _ADVICE if found and (k is None or k in kinds)]}
 
 
-_CAPTCHAS = [("recaptcha", r"g-recaptcha|google\.com/recaptcha|grecaptcha"), ("hcaptcha", r"h-captcha|hcaptcha\.com"), ("turnstile", r"cf-turnstile|challenges\.cloudflare\.com"),
-             ("funcaptcha", r"funcaptcha|arkoselabs"), ("geetest", r"geetest|gt_captcha")]
+_CAPTCHAS = {"reCAPTCHA": r"recaptcha|data-sitekey", "hCaptcha": r"h-?captcha", "Cloudflare": r"challenges\.cloudflare\.com|cf-turnstile|cloudflare.*challenge|ray\s+id|cf-chl-", "FunCaptcha": r"funcaptcha|arkose", "GeeTest": r"geetest|gt-captcha"}
+_CAPTCHAS = {k: re.compile(p) for k, p in _CAPTCHAS.items()}
+#: Words of a page that asks for a proof without naming a provider.
+_PROOFS = ("access denied", "bot detection", "captcha", "complete the challenge", "human verification", "prove you're not a robot", "security check", "verify you are human", "verify you're human")
 
 
 def captcha(html) -> dict:
-    low = (html or "").lower()
-    kinds, signs = [], 0
-    for k, p in _CAPTCHAS:
-        n = len(set(re.findall(p, low)))
-        if n:
-            signs += n
-            if k == "recaptcha":
-                k = "recaptcha_v3" if "recaptcha/api.js?render=" in low or "grecaptcha.execute" in low else "recaptcha_v2"
-            kinds.append(k)
+    """Kinds of CAPTCHA that a page shows (sorted), and a quarter of confidence for each kind of sign: a provider, pictures, words, frames."""
     t = soup(html)
-    pictures = [n for n in t.find_all("img", "iframe") if "captcha" in f"{n.get('src') or ''} {n.get('alt') or ''} {n.get('title') or ''}".lower()]
-    if pictures:
-        signs += len(pictures)
-        if not kinds:
-            kinds.append("image")
-    return {"detected": bool(kinds), "types": sorted(kinds), "confidence": min(1.0, 0.25 * signs)}
+    low = t.source.lower()
+    kinds = []
+    for k, p in _CAPTCHAS.items():
+        if p.search(low):
+            if k == "reCAPTCHA":
+                k = "reCAPTCHA v2" if "recaptcha/api.js" in low or "recaptcha/enterprise.js" in low else "reCAPTCHA v3" if "grecaptcha.execute" in low else k
+            elif k == "Cloudflare":
+                k = "Cloudflare Turnstile" if "cf-turnstile" in low else "Cloudflare Challenge"
+            kinds.append(k)
+    signs = len(kinds)
+    has = lambda n, names: any(w in (n.get(a) or "").lower() for a in names for w in ("captcha", "challenge", "verify"))
+    if any(has(n, ("src", "alt", "id", "class")) for n in t.find_all("img")):
+        kinds.append("Simple CAPTCHA")
+        signs += 1
+    if any(w in low for w in _PROOFS):
+        kinds = kinds or ["Custom CAPTCHA"]
+        signs += 1
+    signs += any(has(n, ("src", "id", "class", "title")) for n in t.find_all("iframe"))
+    return {"detected": bool(kinds), "types": sorted(kinds), "confidence": min(1.0, 0.25 * signs) if kinds else 0.0}
 
 
-_CSRF_META = {"csrf-token", "csrf_token", "csrf-param", "_csrf", "xsrf-token", "x-csrf-token"}
-_CSRF_JS = re.compile(r"""["']?(csrf[_-]?token|_csrf|xsrf[_-]?token)["']?\s*[:=]\s*["']([^"']+)["']""", re.I)
+_CSRF_FORM = frozenset(("form_build_id", "_wpnonce"))  # other known names have csrf, token or xsrf in them
+_CSRF_META = frozenset(f"{x}{k}{j}token" for x in ("", "x-") for k in ("csrf", "xsrf") for j in "-_") - {"x-csrf_token", "x-xsrf_token"}
+_CSRF_JS = {n: re.compile(n + r"\s*[=:]\s*([\"'])((?:(?![\"']).)+)[\"']", re.I | re.S) for n in ("csrfToken", "csrf_token", "CSRF_TOKEN", "_token", "authenticity_token", "xsrfToken")}
 
 
 def csrf_tokens(html) -> dict[str, str]:
-    """Tokens of hidden fields, meta entries, scripts and data attributes; a later kind overwrites."""
+    """Tokens of forms' hidden fields, meta entries, scripts (of each name the first) and data attributes; what comes later overwrites."""
     t = soup(html)
     out: dict[str, str] = {}
-    for n in t.find_all("input"):
-        name = n.get("name") or ""
-        if (n.get("type") or "").lower() == "hidden" and n.get("value") and any(w in name.lower() for w in ("csrf", "token", "xsrf")):
-            out[name] = n.get("value")
+    for f in t.find_all("form"):
+        for n in f.find_all("input"):
+            name = n.get("name") or ""
+            if n.get("type") == "hidden" and n.get("value") and (name in _CSRF_FORM or any(w in name.lower() for w in ("csrf", "token", "xsrf"))):
+                out[name] = n.get("value")
     for m in t.find_all("meta"):
-        if (m.get("name") or "").lower() in _CSRF_META and m.get("content"):
-            out[m.get("name")] = m.get("content")
+        name = (m.get("name") or "").lower()
+        if name in _CSRF_META and m.get("content"):
+            out[name] = m.get("content")
     for s in t.find_all("script"):
-        m = _CSRF_JS.search(s.text())
-        if m:
-            out[m[1]] = m[2]
-    for n in t.walk():
-        for k in ("data-csrf-token", "data-token"):
+        body = s.text()
+        for name, p in _CSRF_JS.items():
+            m = p.search(body)
+            if m:
+                out[name] = m[2]
+    for k in ("data-csrf-token", "data-token"):
+        for n in t.walk():
             if n.get(k):
                 out[k] = n.get(k)
     return out
 
 
 def dedup_text(html) -> str:
-    t = soup(html)
-    t.drop("noscript", "style", "script")
-    return squash(t.text(" "))
+    return squash(soup(html).text(" ", skip=("noscript", "style", "script")))

@@ -10,7 +10,7 @@ _RAW = {"script", "style", "template"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "parent")
+    __slots__ = ("tag", "attrs", "items", "parent", "source")
 
     def __init__(self, tag: str, attrs: dict | None = None, parent: "Node | None" = None):
         self.tag, self.attrs, self.items, self.parent = tag, attrs or {}, [], parent
@@ -18,41 +18,41 @@ class Node:
     def get(self, name: str, default=None):
         return self.attrs.get(name, default)
 
-    def walk(self):
-        """All elements below, in document order; without recursion, since pages may nest without end."""
+    def walk(self, skip: tuple[str, ...] = ()):
+        """All elements below but those of the tags in skip and what they hold, in document order; without recursion, since pages may nest without end."""
         stack = [iter(self.items)]
         while stack:
             for x in stack[-1]:
-                if isinstance(x, Node):
+                if isinstance(x, Node) and x.tag not in skip:
                     yield x
                     stack.append(iter(x.items))
                     break
             else:
                 stack.pop()
 
-    def find_all(self, *tags: str):
-        return [n for n in self.walk() if n.tag in tags]
+    def find_all(self, *tags: str, skip: tuple[str, ...] = ()):
+        return [n for n in self.walk(skip) if n.tag in tags]
 
-    def find(self, *tags: str):
-        return next((n for n in self.walk() if n.tag in tags), None)
+    def find(self, *tags: str, skip: tuple[str, ...] = ()):
+        return next((n for n in self.walk(skip) if n.tag in tags), None)
 
-    def strings(self):
+    def strings(self, skip: tuple[str, ...] = ()):
         """Text pieces below; what scripts, styles and templates hold counts only when asked of them."""
         stack = [iter(self.items)]
         while stack:
             for x in stack[-1]:
                 if isinstance(x, str):
                     yield x
-                elif x.tag not in _RAW:
+                elif x.tag not in _RAW and x.tag not in skip:
                     stack.append(iter(x.items))
                     break
             else:
                 stack.pop()
 
-    def text(self, sep: str = "", strip: bool = False) -> str:
+    def text(self, sep: str = "", strip: bool = False, skip: tuple[str, ...] = ()) -> str:
         if strip:
-            return sep.join(s for s in (x.strip() for x in self.strings()) if s)
-        return sep.join(self.strings())
+            return sep.join(s for s in (x.strip() for x in self.strings(skip)) if s)
+        return sep.join(self.strings(skip))
 
     def up(self):
         n = self.parent
@@ -60,14 +60,6 @@ class Node:
             yield n
             n = n.parent
 
-    def drop(self, *tags: str) -> None:
-        """Takes elements of these tags out of the tree."""
-        stack = [self]
-        while stack:
-            n = stack.pop()
-            n.items = [x for x in n.items if isinstance(x, str) or x.tag not in tags]
-            stack += [x for x in n.items if isinstance(x, Node)]
-
     def siblings(self, step: int):
         """Elements after (1) or before (-1) this one, the nearest first."""
         if self.parent is None:
@@ -78,6 +70,12 @@ class Node:
         rest = self.parent.items[at + 1:] if step > 0 else self.parent.items[:at][::-1]
         yield from (x for x in rest if isinstance(x, Node))
 
+    def around(self) -> tuple[list, list]:
+        """What its parent holds before and after it, pieces of text included, each the nearest first."""
+        items = self.parent.items if self.parent is not None else [self]
+        at = next(i for i, x in enumerate(items) if x is self)
+        return items[:at][::-1], items[at + 1:]
+
     def classes(self) -> list[str]:
         return (self.attrs.get("class") or "").split()
 
@@ -121,14 +119,17 @@ class _Builder(HTMLParser):
         self.comments.append(data)
 
 
-def soup(html: str | bytes | None) -> Node:
-    """The tree of a page; of bytes as UTF-8, else Latin-1. What the parser can't read ends the page there."""
+def soup(html: "str | bytes | Node | None") -> Node:
+    """The tree of a page; of bytes as UTF-8, else Latin-1. What the parser can't read ends the page there. A tree is given back as it is."""
+    if isinstance(html, Node):
+        return html
     if isinstance(html, bytes):
         try:
             html = html.decode("utf-8")
         except UnicodeDecodeError:
             html = html.decode("latin-1")
     b = _Builder()
+    b.root.source = html or ""
     try:
         b.feed(html or "")
         b.close()

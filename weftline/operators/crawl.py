@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import shared_dir
@@ -17,23 +17,67 @@ def _cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, resume: str | None = None) -> DataFrame:
     """url, depth, discovered_from of all that is reachable from seeds (url) over edges (from_url, to_url) in at most max_depth steps.
 
-    Each URL has its least depth and, of its discoverers there, the least; seeds have none. Null URLs are left out.
+    Each URL has its least depth and, of its discoverers there, the least; seeds have none. Null URLs are left out. The edges are worked
+    out once and written bucketed by from_url, so that each level moves itself and not the edges. resume: a folder (shared) that keeps
+    the levels; a later call with it goes on behind the last one.
     """
-    level = _cut(seeds.filter("url is not null").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from")), "level")
-    seen, e = level, edges.filter("from_url is not null and to_url is not null").select("from_url", "to_url")
-    for depth in range(1, max_depth + 1):
-        step = (level.join(e, level.url == e.from_url).groupBy(F.col("to_url").alias("url")).agg(F.min("from_url").alias("discovered_from"))
-                .join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "discovered_from"))
-        level = _cut(step, "level")
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+    spark = seeds.sparkSession
+    name, at = f"weftline_edges_{uuid.uuid4().hex}", f"{shared_dir(spark)}/weftline/edges-{uuid.uuid4().hex}"
+    known = edges.filter("from_url is not null and to_url is not null").select("from_url", "to_url").distinct()
+    known.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "from_url").option("path", at).saveAsTable(name)
+    e = spark.table(name)
+
+    def kept(df: DataFrame, depth: int) -> DataFrame:
+        if resume is None:
+            return _cut(df, "level")
+        done = load_level(spark, resume, depth)
+        if done is None:
+            df.write.mode("overwrite").parquet(f"{resume}/level={depth}")
+            done = load_level(spark, resume, depth)
+        return done
+
+    try:
+        first = seeds.filter("url is not null").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("discovered_from"))
+        level = seen = kept(first, 0)
+        for depth in range(1, max_depth + 1):
+            step = (level.join(e, level.url == e.from_url).groupBy(F.col("to_url").alias("url")).agg(F.min("from_url").alias("discovered_from"))
+                    .join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"), "discovered_from"))
+            level = kept(step, depth)
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(at)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     return seen
 
 
+_LEVEL = "url string, depth int, discovered_from string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def load_level(spark: SparkSession, folder: str, depth: int) -> DataFrame | None:
+    """A level that a crawl with resume has finished; None where it hasn't."""
+    at = f"{folder}/level={depth}"
+    return spark.read.schema(_LEVEL).parquet(at) if _exists(spark, f"{at}/_SUCCESS") else None
+
+
+def resume_info(spark: SparkSession, folder: str) -> dict:
+    """can_resume, levels, visited (URLs of all levels) and frontier (of the last) of a crawl's folder."""
+    levels = []
+    while (x := load_level(spark, folder, len(levels))) is not None:
+        levels.append(x.count())
+    return {"can_resume": bool(levels), "levels": len(levels), "visited": sum(levels), "frontier": levels[-1] if levels else 0}
+
+
 def new_urls(found: DataFrame, visited: DataFrame) -> DataFrame:
     """Distinct found URLs that aren't visited."""
     return found.select("url").distinct().join(visited.select("url"), "url", "left_anti")
@@ -71,6 +115,17 @@ def crawl_delays(rules: DataFrame, agent: str = "*") -> DataFrame:
     return rules.filter(F.col("delay").isNotNull() & F.col("agent").isin(agent.lower(), "*")).groupBy("domain").agg(F.min_by("delay", "line").alias("delay"))
 
 
+def skipped_paths(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """domain, path of the URLs that robots rules refuse, each once."""
+    return robots_allowed(urls, rules, agent).filter("not allowed").select("domain", "path").distinct()
+
+
+def worth_crawling(found: DataFrame, visited: DataFrame, rules: DataFrame, keep: Column, agent: str = "*") -> DataFrame:
+    """Distinct rows of found(url, domain, path) to be crawled: not visited, allowed by robots rules, and meeting keep (scope and filters)."""
+    d = found.filter(keep).select("url", "domain", "path").distinct().join(visited.select("url"), "url", "left_anti")
+    return robots_allowed(d, rules, agent).filter("allowed").drop("allowed")
+
+
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
     lines = F.transform(F.split("text", "\r?\n"), lambda s: F.trim(s))
     return robots.select("domain", F.explode(F.filter(lines, lambda s: F.lower(s).startswith("sitemap:"))).alias("s")).select("domain", F.trim(F.regexp_extract("s", "^[^:]*:(.*)$", 1)).alias("sitemap"))
@@ -81,3 +136,25 @@ def sitemap_urls(sitemaps: DataFrame, spark: SparkSession | None = None) -> Data
     fields = [F.expr(f"xpath_string(e, '/*/*[local-name()=\"{k}\"]')").alias(k) for k in ("loc", "lastmod", "changefreq", "priority")]
     entries = F.regexp_extract_all("xml", F.lit(r"(?s)(<(?:url|sitemap)>.*?</(?:url|sitemap)>)"), 1)
     return sitemaps.select("url", F.explode(entries).alias("e")).select("url", *[F.nullif(F.trim(f), F.lit("")).alias(k) for f, k in zip(fields, ("loc", "lastmod", "changefreq", "priority"))])
+
+
+def sitemap_closure(sitemaps: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
+    """Entries (as of sitemap_urls) of roots(url) and of all sitemaps(url, xml) that index files lead to from there, at most `most` steps down; each sitemap once.
+
+    Sitemaps that aren't in the table give nothing.
+    """
+    index = F.col("xml").rlike(r"<(?:[A-Za-z0-9]+:)?sitemapindex[\s>]")
+    links = sitemap_urls(sitemaps.filter(index)).select(F.col("url").alias("from_url"), F.col("loc").alias("to_url"))
+    reached = crawl(roots, links, most).select("url")
+    return sitemap_urls(sitemaps.filter(~index).join(reached, "url", "left_semi"))
+
+
+def discovered_sitemaps(domains: DataFrame, robots: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """domain, sitemap: what robots texts name and explicit(domain, sitemap) adds; where neither gives any, the two usual places."""
+    named = robots_sitemaps(robots)
+    if explicit is not None:
+        named = named.unionByName(explicit.select("domain", "sitemap"))
+    named = named.distinct()
+    usual = domains.select("domain").distinct().join(named.select("domain"), "domain", "left_anti")
+    places = F.explode(F.array(*[F.concat(F.lit("https://"), F.col("domain"), F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml")]))
+    return named.unionByName(usual.select("domain", places.alias("sitemap")))

@@ -38,12 +38,18 @@ def within_budget(df: DataFrame, key: str, order: list[str], size: str, max_item
 
 
 def first_seen(df: DataFrame, content_hash: Column, order: str, name: str) -> DataFrame:
-    """Adds hash, duplicate and duplicate_of (name of the first row with the hash). Rows of a null hash are never duplicates."""
+    """Adds hash, duplicate and duplicate_of (name of the first row with the hash). Rows of a null hash are never duplicates.
+
+    The first row of each hash comes from an aggregation that begins before the shuffle, so that a content with very many copies isn't
+    sorted in one task; only hashes of several rows are joined back. Rows of equal order count as first together.
+    """
     d = df.withColumn("hash", content_hash)
-    w = Window.partitionBy("hash", F.when(F.col("hash").isNull(), F.col(order))).orderBy(order)  # rows without a hash don't gather in one task
-    first = F.first(name).over(w)
-    dup = F.col("hash").isNotNull() & (F.row_number().over(w) > 1)
-    return d.withColumn("duplicate", dup).withColumn("duplicate_of", F.when(dup, first))
+    first = d.filter("hash is not null").groupBy("hash").agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1").drop("_rows")
+    dup = F.col("_first").isNotNull() & (F.col(order) > F.col("_first.o"))
+    # rows without a hash get keys of their own and don't gather in one task
+    key = F.coalesce(F.col("hash").cast("string"), F.concat(F.lit("\0"), F.col(order).cast("string")))
+    j = d.withColumn("_key", key).join(first.select(F.col("hash").cast("string").alias("_key"), "_first"), "_key", "left")
+    return j.withColumn("duplicate", dup).withColumn("duplicate_of", F.when(dup, F.col("_first.n"))).drop("_key", "_first")
 
 
 def rotated(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Keywords, n-grams and language scores of plain text, in the JVM."""
+"""Keywords, n-grams and language scores of plain text: columns in the JVM, and Arrow-batched counts within a text, which need no shuffle."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from weftline.functions.page import keywords as keywords_of
 from weftline.functions.words import FREQUENT_WORDS, STOP_WORDS
 
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -13,17 +17,33 @@ _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 def tokens(text: Column, least: int = 3) -> Column:
     """Lower-case words without ASCII punctuation, of `least` characters or more, that aren't stop words or digits."""
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
+    stop = sorted(STOP_WORDS)
     words = F.split(F.trim(F.regexp_replace(F.translate(F.lower(text), _PUNCT, ""), r"\s+", " ")), " ")
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop) & ~w.rlike("^[0-9]+$"))
 
 
 def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 20, least: int = 3) -> DataFrame:
-    """id, rank, keyword, n, score: each text's most frequent tokens, ties by first occurrence; none for texts of fewer than ten words."""
-    d = docs.filter(F.size(F.split(F.trim(F.regexp_replace(text_col, r"\s+", " ")), " ")) >= 10).select(F.col(id_col).alias("id"), tokens(F.col(text_col), least).alias("t"))
-    w = d.select("id", F.size("t").alias("total"), F.posexplode("t").alias("pos", "keyword")).groupBy("id", "total", "keyword").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    order = Window.partitionBy("id").orderBy(F.desc("n"), "first")
-    return w.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("id", "rank", "keyword", "n", (F.col("n") / F.col("total")).alias("score"))
+    """id, rank, keyword, n, score: each text's most frequent tokens, ties by first occurrence; none for texts of fewer than ten words.
+
+    A text's tokens are counted where the text is: nothing is shuffled.
+    """
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        for r in batches:
+            at, rows = [], []
+            for i, t in enumerate(r.column("text").to_pylist()):
+                for k in keywords_of(t, top, least):
+                    at.append(i)
+                    rows.append(k)
+            rank, last = [], None
+            for i in at:
+                rank.append(rank[-1] + 1 if i == last else 1)
+                last = i
+            yield pa.RecordBatch.from_arrays([r.column("id").take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array([k["keyword"] for k in rows], pa.string()),
+                                              pa.array([k["n"] for k in rows], pa.int64()), pa.array([k["score"] for k in rows], pa.float64())], names=["id", "rank", "keyword", "n", "score"])
+
+    return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, rank int, keyword string, n long, score double")
 
 
 def ngram_counts(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,13 +52,36 @@ def ngram_counts(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str
     return t.select("id", F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"), F.countDistinct("id").alias("docs"))
 
 
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+_PLACE = {k: i for i, k in enumerate(FREQUENT_WORDS)}
+_LANGUAGES_OF: dict[str, list[str]] = {}
+for _k, _own in FREQUENT_WORDS.items():
+    for _w in set(_own):
+        _LANGUAGES_OF.setdefault(_w, []).append(_k)
+
+
 def word_language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, language, score: share of a text's words among each language's frequent ones, where over 1 %."""
-    w = F.split(F.trim(F.regexp_replace(F.lower(text_col), r"\s+", " ")), " ")
-    d = docs.select(F.col(id_col).alias("id"), w.alias("w")).filter(F.size("w") >= 20)
-    hits = lambda own: F.size(F.filter("w", lambda x: x.isin(*own)))
-    scores = F.array(*[F.struct(F.lit(k).alias("language"), F.lit(i).alias("place"), hits(v).alias("hits")) for i, (k, v) in enumerate(FREQUENT_WORDS.items())])
-    return d.select("id", F.size("w").alias("n"), F.explode(scores).alias("s")).select("id", F.col("s.language").alias("language"), F.col("s.place").alias("place"), (F.col("s.hits") / F.col("n")).alias("score")).filter("score > 0.01")
+    """id, language, place, score: share of a text's words among each language's frequent ones, where over 1 %; none for texts of fewer than 20 words.
+
+    One pass over the words, each looked up once for all languages.
+    """
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        for r in batches:
+            at, langs, scores = [], [], []
+            for i, t in enumerate(r.column("text").to_pylist()):
+                words = _BLANKS.split((t or "").lower().strip(" \t\n\x0b\f\r"))
+                if len(words) >= 20:
+                    hits = Counter(k for w in words for k in _LANGUAGES_OF.get(w, ()))
+                    for k, n in hits.items():
+                        if n / len(words) > 0.01:
+                            at.append(i)
+                            langs.append(k)
+                            scores.append(n / len(words))
+            yield pa.RecordBatch.from_arrays([r.column("id").take(pa.array(at, pa.int64())), pa.array(langs, pa.string()), pa.array([_PLACE[k] for k in langs], pa.int32()), pa.array(scores, pa.float64())], names=["id", "language", "place", "score"])
+
+    return d.mapInArrow(run, f"id {dict(d.dtypes)['id']}, language string, place int, score double")
 
 
 def detect_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -93,9 +93,9 @@ def blob_index(spark, d):
 
 
 def hash_store(spark, d):
-    """A store that knows the even documents takes in all."""
-    x = _t(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").cast("string").alias("url"), F.col("doc_id").alias("first_seen_at"), F.lit("r2").alias("run_id"))
-    store = x.filter(F.pmod("first_seen_at", F.lit(2)) == 0).groupBy("sha256").agg(F.min_by("url", "first_seen_at").alias("url"), F.min("first_seen_at").alias("first_seen_at")).withColumn("run_id", F.lit("r1"))
+    """A store of all documents' texts, those of odd ids as they were before, takes in all texts as they are now."""
+    x = _t(spark, d, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").cast("string").alias("url"), F.col("doc_id").alias("first_seen_at"), F.lit("r2").alias("run_id"), F.sha2(F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("text")).otherwise(F.concat("text", F.lit("*"))), 256).alias("old"))
+    store = x.groupBy(F.col("old").alias("sha256")).agg(F.min_by("url", "first_seen_at").alias("url"), F.min("first_seen_at").alias("first_seen_at")).withColumn("run_id", F.lit("r1"))
     return S.record_hashes(store, x)
 
 
@@ -108,25 +108,35 @@ _SCORES = ",".join(f"{{'language':'{k}','place':{-i},'hits':len(list_filter(w, l
 _HASH = r"SELECT doc_id, CASE WHEN length(text) >= 100 THEN sha256(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g'))) END AS h FROM documents"
 _DUP = f"SELECT doc_id, h IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY h) AS duplicate, CASE WHEN h IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY h) THEN min(doc_id) OVER (PARTITION BY h) END AS duplicate_of, h FROM ({_HASH})"
 _ENT = lambda c: f"replace(replace(replace({c},'&quot;','\"'),'&copy;','©'),'&amp;','&')"
+_ENT2 = lambda c: f"replace(replace(replace(replace(replace(replace({c},'&quot;','\"'),'&copy;','©'),'&middot;','·'),'&lt;','<'),'&gt;','>'),'&amp;','&')"
+_TAGS = lambda to: f"regexp_replace(regexp_replace(regexp_replace(html,'<!--.*?-->|<!DOCTYPE[^>]*>','','gs'),'<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>','{to}','gs'),'<[^>]*>','{to}','g')"
 QUERIES = {
     "page_content": (page_content, rf"""SELECT page_id, trim({_ENT("regexp_extract(html,'<title>(.*?)</title>',1)")}) AS title, regexp_extract(html,'<html lang="([a-z]+)"',1) AS language, len(regexp_extract_all(html,'<h[1-6]>'))::INT AS headings,
  trim({_ENT("regexp_extract(html,'<h1>(.*?)</h1>',1)")}) AS h1, CAST(NULL AS VARCHAR) AS description FROM pages"""),
     "heading_counts": (heading_counts, "SELECT 1 AS level, sum(len(regexp_extract_all(html,'<h1>')))::BIGINT AS n FROM pages"),
     "page_languages": (page_languages, r"SELECT page_id, regexp_extract(html,'<html lang=\"([a-z]+)\"',1) AS html_lang, nullif(regexp_extract(lower(url),'/(en|es|fr|de)/',1),'') AS url_lang FROM pages".replace('\\"', '"')),
-    "language_votes": (language_votes, None),
+    "language_votes": (language_votes, rf"""WITH p AS (SELECT page_id, regexp_extract(html,'<html lang="([a-z]+)"',1) AS html_lang, nullif(regexp_extract(lower(url),'/(en|es|fr|de)/',1),'') AS url_lang, string_split(trim(regexp_replace(lower({_ENT2(_TAGS(''))}), '\s+', ' ', 'g')), ' ') AS w,
+ string_split(trim(regexp_replace(lower({_ENT2("regexp_extract(html,'<title>(.*?)</title>',1)")}), '\s+', ' ', 'g')), ' ') AS t FROM pages), s AS (SELECT page_id, len(w) AS n, unnest([{_SCORES}]) AS s FROM p), u AS (SELECT page_id, len(w) AS n, unnest([{_SCORES}]) AS s FROM (SELECT page_id, t AS w FROM p)),
+ b AS (SELECT page_id, arg_max(s.language, (s.hits, s.place)) AS l FROM s WHERE n >= 20 AND s.hits / n > 0.01 GROUP BY page_id), c AS (SELECT page_id, arg_max(s.language, (s.hits, s.place)) AS l FROM u WHERE n >= 5 AND s.hits / n > 0.1 GROUP BY page_id),
+ v AS (SELECT page_id, html_lang AS l, 3.0 AS w, 0 AS o FROM p UNION ALL SELECT page_id, url_lang, 2.0, 1 FROM p WHERE url_lang IS NOT NULL UNION ALL SELECT page_id, l, 2.0, 2 FROM b UNION ALL SELECT page_id, l, 1.5, 3 FROM c),
+ a AS (SELECT page_id, l, sum(w) AS w, min(o) AS o, count(*) AS n FROM v GROUP BY page_id, l), z AS (SELECT page_id, arg_max(l, (w, -o)) AS language, max(w) / sum(w) AS share, sum(n)::INT AS methods FROM a GROUP BY page_id)
+ SELECT page_id, language, round(CASE WHEN methods >= 3 THEN least(1.0, share * 1.2) ELSE share END, 6)::DOUBLE AS confidence, methods FROM z"""),
     "page_keywords": (page_keywords, None),
     "document_keywords": (document_keywords, f"WITH {_KW} SELECT doc_id, rank::INT AS rank, keyword, n, round(n / total, 9) AS score FROM k WHERE rank <= 20"),
     "keyword_report": (keyword_report, f"WITH {_KW} SELECT keyword, count(*) AS documents FROM k WHERE rank <= 20 GROUP BY keyword"),
     "bigram_counts": (bigram_counts, f"""WITH {_TOK.split(' WHERE len(')[0]}), g AS (SELECT doc_id, unnest(list_transform(range(len(t) - 1), lambda i: t[i + 1] || ' ' || t[i + 2])) AS phrase FROM t WHERE len(t) >= 2)
  SELECT phrase, count(*) AS n, count(DISTINCT doc_id) AS docs FROM g GROUP BY phrase HAVING count(*) > 1"""),
-    "document_keyphrases": (document_keyphrases, None),
+    "document_keyphrases": (document_keyphrases, rf"""WITH t AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS t FROM documents),
+ g AS (SELECT doc_id, k, i, array_to_string(t[i + 1 : i + k], ' ') AS phrase FROM (SELECT doc_id, t, k, unnest(range(len(t) - k + 1)) AS i FROM t, (SELECT unnest([2, 3]) AS k))), c AS (SELECT doc_id, k, phrase, count(*) AS n, min(i) AS f FROM g GROUP BY ALL HAVING count(*) >= 2),
+ o AS (SELECT doc_id, list_prepend('', list(phrase ORDER BY k DESC, n DESC, f)) AS ps FROM c GROUP BY doc_id), r AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN len(string_split(a, '|')) > 20 OR contains(a, x) THEN a ELSE a || '|' || x END) AS a FROM o)
+ SELECT doc_id, unnest(string_split(a, '|')[2:]) AS phrase FROM r"""),
     "document_languages": (document_languages, rf"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')), ' ') AS w FROM documents), s AS (SELECT doc_id, len(w) AS n, unnest([{_SCORES}]) AS s FROM d WHERE len(w) >= 20),
  r AS (SELECT doc_id, s.language AS language, s.hits / n AS score, row_number() OVER (PARTITION BY doc_id ORDER BY s.hits DESC, s.place DESC) AS k FROM s WHERE s.hits / n > 0.01) SELECT doc_id, language, round(score, 9) AS score FROM r WHERE k = 1"""),
     "document_scripts": (document_scripts, "SELECT doc_id, CASE WHEN doc_id % 9 = 1 AND 2000 > 0.05 * (length(text) + 2000) THEN 'ru' END AS script FROM documents"),
     "document_duplicates": (document_duplicates, f"SELECT doc_id, duplicate, duplicate_of FROM ({_DUP})"),
     "duplicate_stats": (duplicate_stats, f"SELECT count(*) AS checked, count(*) FILTER (duplicate) AS duplicates, count(DISTINCT h) AS distinct_hashes, round(count(*) FILTER (duplicate) / count(*), 9) AS rate FROM ({_DUP})"),
-    "page_duplicates": (page_duplicates, None),
+    "page_duplicates": (page_duplicates, rf"""WITH h AS (SELECT page_id, trim(regexp_replace({_ENT2(_TAGS(' '))}, '\s+', ' ', 'g')) AS h FROM pages) SELECT page_id, page_id > min(page_id) OVER (PARTITION BY h) AS duplicate, CASE WHEN page_id > min(page_id) OVER (PARTITION BY h) THEN min(page_id) OVER (PARTITION BY h) END AS duplicate_of FROM h"""),
     "blob_index": (blob_index, "SELECT sha256(html) AS sha, min(page_id) AS first_page, count(*) AS pages, 'html/' || substr(sha256(html),1,2) || '/' || sha256(html) || '.html' AS path FROM pages GROUP BY html"),
-    "hash_store": (hash_store, """WITH x AS (SELECT sha256(text) AS sha256, doc_id FROM documents), e AS (SELECT sha256, min(doc_id) AS f FROM x WHERE doc_id % 2 = 0 GROUP BY 1)
+    "hash_store": (hash_store, """WITH x AS (SELECT sha256(text) AS sha256, doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '*' END) AS old FROM documents), e AS (SELECT old AS sha256, min(doc_id) AS f FROM x GROUP BY 1)
  SELECT sha256, CAST(f AS VARCHAR) AS url, f AS first_seen_at, 'r1' AS run_id FROM e UNION ALL SELECT sha256, CAST(min(doc_id) AS VARCHAR), min(doc_id), 'r2' FROM x WHERE sha256 NOT IN (SELECT sha256 FROM e) GROUP BY 1"""),
 }

@@ -8,6 +8,7 @@ from weftline import ship
 from weftline.functions import urls as U
 from weftline.operators import jobs as J
 from weftline.operators import text as T
+from weftline.plans.content import _SCORES
 from weftline.sources.tables import table
 
 
@@ -79,7 +80,8 @@ QUERIES = {
     "crawl_tasks": (crawl_tasks, """SELECT page_id, md5(CASE WHEN u LIKE '%/' AND u NOT LIKE '%//' THEN u[:-2] ELSE u END || ':' || (page_id % 13) || ':t') AS task, greatest(0, 10 - page_id % 13)::INT AS priority FROM (SELECT page_id, regexp_replace(url,'#.*$','') AS u FROM pages)"""),
     "edge_rows": (edge_rows, "SELECT regexp_extract(url,'//([^/?#]*)',1) AS from_url, url AS to_url, (page_id % 3)::INT AS depth, CASE WHEN page_id % 2 = 0 THEN 'sitemap' ELSE 'link' END AS method FROM pages WHERE page_id % 5 > 0"),
     "report_rows": (report_rows, r"""SELECT url || '&x=<1>' AS url, '<tr><td>' || replace(url,'&','&amp;') || '&amp;x=&lt;1&gt;</td><td>1</td><td>200</td><td><ul>' || array_to_string(list_transform(list_filter(regexp_extract_all(html,'<a href="([^"]*)"',1), lambda x: regexp_matches(x,'^/[a-z]+$'))[1:2], lambda x: '<li>' || x || '</li>'), '') || '</ul></td></tr>' AS row FROM pages"""),
-    "mixed_languages": (mixed_languages, None),
+    "mixed_languages": (mixed_languages, rf"""WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g')), ' ') AS w FROM documents), s AS (SELECT doc_id, len(w) AS n, unnest([{_SCORES}]) AS s FROM d WHERE len(w) >= 20)
+ SELECT doc_id, string_agg(s.language, ',' ORDER BY s.hits DESC, s.place DESC) AS languages FROM s WHERE s.hits / n > 0.05 GROUP BY doc_id"""),
     "user_sessions": (user_sessions, """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
  n AS (SELECT user_id, k, count(*) AS n FROM k GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id"""),
 }

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import content, jobs, links, ordered, rendered, reports
+from weftline.plans import content, jobs, links, ordered, pages, rendered, reports, stats
+
+_MODULES = (links, content, ordered, reports, rendered, jobs, stats, pages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for m in (links, content, ordered, reports, rendered, jobs) for n, (f, _) in m.QUERIES.items()}
+    return {n: f for m in _MODULES for n, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for m in (links, content, ordered, reports, rendered, jobs) for n, (_, s) in m.QUERIES.items() if s}
+    return {n: s for m in _MODULES for n, (_, s) in m.QUERIES.items() if s}

@@ -64,17 +64,55 @@ def embedded_json(spark, d):
     return p.select("o_orderkey", F.get_json_object(F.col("j")["__INITIAL_STATE__"], "$.s").alias("status"), F.get_json_object(F.col("j")["x"], "$.c").cast("long").alias("custkey"), F.size("j").alias("blocks"))
 
 
+_FIELDS = ("csrf_token csrftoken _csrf csrf authenticity_token _token token xsrf_token xsrftoken _xsrf __RequestVerificationToken form_build_id _wpnonce my-Token".split())
+_METAS = ("csrf-token csrf_token x-csrf-token xsrf-token xsrf_token x-xsrf-token".split())
+
+
 def csrf_tokens(spark, d):
-    k = F.col("c_custkey")
-    p = _t(spark, d, "customer").select("c_custkey", extract("csrf_tokens", _page("<meta name=csrf-token content=m", k, "><form><input type=hidden name=_token value=f", k, "></form><script>var csrf_token = 'j", k, "';</script><div data-token=d", k, "></div>")).alias("t"))
+    """Every customer's page has one source of tokens, of all the kinds and names in turn."""
+    k, n = F.col("c_custkey"), len(_FIELDS) + len(_METAS) + 6
+    cases = [_page(f"<form><input type=hidden name={x} value=f", k, "><input type=text name=csrf value=no></form><input type=hidden name=_csrf value=outside>") for x in _FIELDS]
+    cases += [_page(f"<meta name={x.upper()} content=m", k, "><meta name=csrf-param content=no>") for x in _METAS]
+    cases += [_page("<script>var csrf_token = 'j", k, "'; csrf_token = 'later';</script>"), _page('<script>{"a": 1, csrfToken: "j', k, '"}</script>'), _page("<script>authenticity_token='j", k, "'</script>"), _page("<script>XSRFTOKEN : 'j", k, "'</script>"),
+              _page("<div data-csrf-token=d", k, "></div>"), _page("<form><input type=hidden name=data-token value=f></form><div data-token=d", k, "></div>")]
+    html = F.get(F.array(*cases), F.pmod(k, F.lit(n)).cast("int"))
+    p = _t(spark, d, "customer").select("c_custkey", extract("csrf_tokens", html).alias("t"))
     return p.select("c_custkey", F.explode("t").alias("name", "token"))
 
 
-def page_signals(spark, d):
-    k = F.pmod("s_suppkey", F.lit(4))
-    html = F.when(k == 0, F.lit("<a href='/bot-trap'></a><a href='/x' style='display:none'>t</a>")).when(k == 1, F.lit("<div class='g-recaptcha'></div>")).when(k == 2, F.lit("<img src='/captcha.png'>")).otherwise(F.lit("<p>t</p>"))
-    p = _t(spark, d, "supplier").select("s_suppkey", extract("honeypots", html).alias("h"), extract("captcha", html).alias("c"))
-    return p.select("s_suppkey", F.col("h.count").alias("traps"), F.col("h.risk").alias("risk"), F.col("c.detected").alias("captcha"), F.array_join("c.types", ",").alias("types"), F.col("c.confidence").alias("confidence"))
+_TRAPS = [("<a href='/bot-trap'></a>", "hidden_link", 0.8), ("<a href='/x' style='display: none; visibility: hidden'>t</a>", "invisible", 0.7), ("<p style='position:absolute;left:-9999px'>t</p>", "off_screen", 0.7), ("<div style='width:0px;height:0'>t</div>", "zero_size", 0.8),
+          ("<b style='opacity: 0'>t</b>", "transparent", 0.5), ("<input type=text name=honeypot>", "suspicious_field", 0.5), ("<button onclick='f()' style='width:1px'></button>", "mouse_trap", 0.6), ("<a href='/x' style='display:none'>t</a>", None, 0.0)]
+
+
+def page_traps(spark, d):
+    """One trap of each kind, and what isn't one, in turn; every fourth page has five of them."""
+    k = F.pmod("c_custkey", F.lit(len(_TRAPS))).cast("int")
+    html = F.repeat(F.get(F.array(*[F.lit(h) for h, _, _ in _TRAPS]), k), F.when(F.pmod(F.floor(F.col("c_custkey") / 8), F.lit(4)) == 0, 5).otherwise(1))
+    h = F.col("h")
+    p = _t(spark, d, "customer").select("c_custkey", extract("honeypots", html).alias("h"))
+    return p.select("c_custkey", F.get(h["found"], F.lit(0))["kind"].alias("kind"), F.get(h["found"], F.lit(0))["confidence"].alias("confidence"), h["count"].alias("n"), h["risk"].alias("risk"), F.size(h["advice"]).alias("advice"))
+
+
+_PROOFS = [("<div class='g-recaptcha'></div>", "reCAPTCHA", 2), ("<script src='https://www.google.com/recaptcha/api.js'></script>", "reCAPTCHA v2", 2), ("<script>grecaptcha.execute()</script>", "reCAPTCHA v3", 2), ("<div class=h-captcha></div>", "hCaptcha", 2),
+           ("<div class=cf-turnstile></div>", "Cloudflare Turnstile", 1), ("<p>Ray  ID: 1</p>", "Cloudflare Challenge", 1), ("<script src=//x.arkoselabs.com/f></script>", "FunCaptcha", 1), ("<div id=geetest></div>", "GeeTest", 1), ("<img src='/c.png' alt='Verify'>", "Simple CAPTCHA", 1),
+           ("<p>Please verify you're human</p>", "Custom CAPTCHA", 1), ("<iframe src=/f id=challenge-x></iframe>", "", 0), ("<h1>Access Denied</h1><iframe title='Challenge'></iframe>", "Custom CAPTCHA", 2), ("<p>t</p>", "", 0)]
+
+
+def page_proofs(spark, d):
+    """Every kind of CAPTCHA in turn, and pages without."""
+    html = F.get(F.array(*[F.lit(h) for h, _, _ in _PROOFS]), F.pmod("c_custkey", F.lit(len(_PROOFS))).cast("int"))
+    p = _t(spark, d, "customer").select("c_custkey", extract("captcha", html).alias("c"))
+    return p.select("c_custkey", F.col("c.detected").alias("captcha"), F.array_join("c.types", ",").alias("types"), F.col("c.confidence").alias("confidence"))
+
+
+def images_in_context(spark, d):
+    """A page for each part with three images, which must come by relevance."""
+    k = F.col("p_partkey")
+    html = _page("<body><h2>Parts</h2><img src=plain.png><section><p>Before ", k, "</p><figure itemprop=image><img src='", k, ".png' alt='", F.col("p_name"), "' title=t id=i", k, " class='a b'><figcaption> Caption ", k, " </figcaption></figure></section>",
+                 "<a href=/next>n</a><div><a href=/p", k, "><img src=linked.png alt='only alt' aria-label=lab></a></div></body>")
+    i = _t(spark, d, "part").select("p_partkey", F.posexplode(extract("images_in_context", html)).alias("rank", "i"))
+    return i.select("p_partkey", "rank", F.col("i.src").alias("src"), F.col("i.position").alias("position"), F.col("i.caption").alias("caption"), F.col("i.context").alias("context"), F.col("i.relevance").alias("relevance"), F.col("i.itemprop").alias("itemprop"),
+                    F.array_join(F.transform("i.nearby_headings", lambda h: h["text"]), "|").alias("headings"), F.array_join(F.transform("i.related_links", lambda x: F.concat(x["relationship"], F.lit(":"), x["href"])), "|").alias("links"), F.array_join("i.class", " ").alias("classes"))
 
 
 def _headers():
@@ -89,6 +127,34 @@ def header_scores(spark, d):
     return e.select("event_id", F.col("r.score").cast("int").alias("score"), F.col("r.rating").alias("rating"), F.size("r.missing").alias("missing"))
 
 
+def header_remarks(spark, d):
+    e = _t(spark, d, "events").select("event_id", S.header_remarks(_headers()).alias("r"))
+    return e.select("event_id", F.array_join("r.issues", "; ").alias("issues"), F.size("r.advice").alias("advice"))
+
+
+def _signs():
+    return [(i, h, c, s, b) for i, (_, hs, cs, ss, bs) in enumerate(S.FIREWALLS) for h, c, s, b in [*((x, "", "", "") for x in hs), *(("", x, "", "") for x in cs), *(("", "", x, "") for x in ss), *(("", "", "", x) for x in bs)]]
+
+
+def _signs_sql() -> str:
+    """All signs against all rows: 3 points for a header, 2 for a cookie, 4 for the server's name, 1 for the body; the most points, then the first firewall."""
+    values = ", ".join(f"({i}, '{h}', '{c}', '{s}', '{b}')" for i, h, c, s, b in _signs())
+    names = ", ".join(f"({i}, '{n}')" for i, (n, *_) in enumerate(S.FIREWALLS))
+    return f"""WITH t(firewall, header, cookie, server, body) AS (VALUES {values}), n(f, name) AS (VALUES {names}), p AS (SELECT t.*, s.firewall AS f, sum(CASE WHEN s.header <> '' AND s.header = t.header THEN 3 WHEN s.cookie <> '' AND contains('x' || t.cookie, s.cookie) THEN 2
+ WHEN s.server <> '' AND t.server <> '' AND contains('my ' || t.server, s.server) THEN 4 WHEN s.body <> '' AND contains('<p>' || t.body, s.body) THEN 1 ELSE 0 END)::INT AS score FROM t, t AS s GROUP BY ALL)
+ SELECT firewall, header, cookie, server, body, max(score) AS score, arg_max(name, (score, -f)) AS name FROM p JOIN n USING (f) GROUP BY firewall, header, cookie, server, body"""
+
+
+def firewall_signs(spark, d):
+    """All signs of all firewalls, one a row: each header, part of a cookie, of the server's name and of the body."""
+    rows = _signs()
+    ship(spark)
+    t = spark.createDataFrame(rows, "firewall int, header string, cookie string, server string, body string")
+    both = F.map_from_entries(F.array_compact(F.array(F.when(F.col("header") != "", F.struct(F.initcap("header"), F.lit("1"))), F.when(F.col("server") != "", F.struct(F.lit("SERVER"), F.concat(F.lit("my "), F.upper("server")))))))
+    w = S.firewall(both, F.array(F.concat(F.lit("x"), F.col("cookie"))), F.concat(F.lit("<p>"), F.upper("body")))
+    return t.select("firewall", "header", "cookie", "server", "body", w["name"].alias("name"), w["score"].alias("score"))
+
+
 def firewalls(spark, d):
     e = _t(spark, d, "events").select("event_id", S.firewall(_headers(), F.array(F.when(F.pmod("event_id", F.lit(23)) == 0, F.lit("bm_sv")).otherwise(F.lit("a"))), F.lit("body")).alias("w"))
     return e.select("event_id", F.col("w.name").alias("name"), F.col("w.score").alias("score"), F.col("w.confidence").alias("confidence"))
@@ -103,8 +169,18 @@ QUERIES = {
     "page_forms": (page_forms, "SELECT s_suppkey, 1 + (s_suppkey % 2 = 0)::INT AS forms, 'https://h.example/login?s=' || s_suppkey AS action, 'POST' AS method, true AS csrf, 3 AS fields, s_name AS user, 'User' AS label, 20 AS maxlength, 'Go' AS submit, 1 AS logins, (s_suppkey % 2 = 0)::INT AS searches FROM supplier"),
     "structured_data": (structured_data, "SELECT p_partkey, p_name AS title, 'c' AS card, 'a' || p_partkey AS author, p_partkey AS sku, p_size::INT AS price, p_brand AS brand, 'Offer,Product' AS types FROM part"),
     "embedded_json": (embedded_json, "SELECT o_orderkey, o_orderstatus AS status, o_custkey AS custkey, 2 AS blocks FROM orders"),
-    "csrf_tokens": (csrf_tokens, "SELECT c_custkey, unnest(['csrf-token','_token','csrf_token','data-token']) AS name, unnest(['m','f','j','d']) || c_custkey AS token FROM customer"),
-    "page_signals": (page_signals, "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 1 ELSE 0 END AS traps, CASE s_suppkey % 4 WHEN 0 THEN 'high' ELSE 'none' END AS risk, s_suppkey % 4 IN (1, 2) AS captcha, CASE s_suppkey % 4 WHEN 1 THEN 'recaptcha_v2' WHEN 2 THEN 'image' ELSE '' END AS types, CASE WHEN s_suppkey % 4 IN (1, 2) THEN 0.25 ELSE 0.0 END::DOUBLE AS confidence FROM supplier"),
+    "csrf_tokens": (csrf_tokens, f"""WITH c AS (SELECT c_custkey, (c_custkey % {len(_FIELDS) + len(_METAS) + 6})::INT AS i FROM customer), n AS (SELECT c_custkey, i, unnest(CASE WHEN i < 14 THEN [{_FIELDS}[i + 1]] WHEN i < 20 THEN [{_METAS}[i - 13]]
+ WHEN i = 20 THEN ['csrf_token', 'CSRF_TOKEN', '_token'] WHEN i = 21 THEN ['csrfToken'] WHEN i = 22 THEN ['authenticity_token', '_token'] WHEN i = 23 THEN ['xsrfToken'] WHEN i = 24 THEN ['data-csrf-token'] ELSE ['data-token'] END) AS name FROM c)
+ SELECT c_custkey, name, CASE WHEN i < 14 THEN 'f' WHEN i < 20 THEN 'm' WHEN i < 24 THEN 'j' ELSE 'd' END || c_custkey AS token FROM n"""),
+    "page_traps": (page_traps, f"""WITH t AS (SELECT unnest(range(8)) AS i, unnest({[k for _, k, _ in _TRAPS if k] + [None]}) AS kind, unnest({[c for _, _, c in _TRAPS]}) AS confidence), c AS (SELECT c_custkey, c_custkey % 8 AS i, CASE WHEN (c_custkey // 8) % 4 = 0 THEN 5 ELSE 1 END AS n FROM customer)
+ SELECT c_custkey, kind, CASE WHEN kind IS NOT NULL THEN confidence END::DOUBLE AS confidence, CASE WHEN kind IS NULL THEN 0 ELSE n END AS n, CASE WHEN kind IS NULL THEN 'none' WHEN n = 5 OR confidence >= 0.8 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS risk,
+ CASE WHEN kind IS NULL THEN 0 WHEN kind IN ('hidden_link', 'suspicious_field', 'mouse_trap') THEN 6 ELSE 5 END AS advice FROM c JOIN t USING (i)""".replace("None", "NULL")),
+    "page_proofs": (page_proofs, f"""SELECT c_custkey, types <> '' AS captcha, types, n * 0.25::DOUBLE AS confidence FROM customer JOIN (SELECT unnest(range({len(_PROOFS)})) AS i, unnest({[t for _, t, _ in _PROOFS]}) AS types, unnest({[n for _, _, n in _PROOFS]}) AS n) ON c_custkey % {len(_PROOFS)} = i"""),
+    "images_in_context": (images_in_context, """SELECT p_partkey, 0 AS rank, p_partkey || '.png' AS src, 2 AS position, 'Caption ' || p_partkey AS caption, 'Caption ' || p_partkey AS context, 13 AS relevance, 'image' AS itemprop, '' AS headings, '' AS links, 'a b' AS classes FROM part UNION ALL
+ SELECT p_partkey, 1, 'linked.png', 3, '', 'Image described as: only alt Image labeled as: lab', 4, NULL, '', 'parent:/p' || p_partkey, '' FROM part UNION ALL SELECT p_partkey, 2, 'plain.png', 1, '', 'Before ' || p_partkey || ' Caption ' || p_partkey, 1, NULL, 'Parts', '', '' FROM part"""),
+    "header_remarks": (header_remarks, """SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 3 = 0 THEN 'content-security-policy: allows unsafe-inline; content-security-policy: allows unsafe-eval' END], lambda x: x IS NOT NULL), '; ') AS issues,
+ (CASE WHEN event_id % 2 = 0 THEN 1 ELSE 1 END + CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END + 1 + 1 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 1 END + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 1 END + 4)::INT AS advice FROM events"""),
+    "firewall_signs": (firewall_signs, _signs_sql()),
     "header_scores": (header_scores, f"""SELECT event_id, score, CASE WHEN p >= 95 THEN 'A+' WHEN p >= 85 THEN 'A' WHEN p >= 70 THEN 'B' WHEN p >= 50 THEN 'C' WHEN p >= 30 THEN 'D' ELSE 'F' END AS rating, missing FROM
  (SELECT event_id, s AS score, s * 100.0 / 69 AS p, missing FROM (SELECT event_id, 8*a + 7*b + 5*c + 3*e + 2*g AS s, 10 - a - b - c - e - g AS missing FROM (SELECT event_id, {_H} FROM events)))"""),
     "firewalls": (firewalls, f"""SELECT event_id, CASE WHEN s = 0 THEN NULL WHEN cf = s THEN 'Cloudflare' WHEN aws = s THEN 'AWS WAF' ELSE 'Akamai' END AS name, s AS score, least(s / 10.0, 1.0)::DOUBLE AS confidence FROM (SELECT *, greatest(cf, aws, ak) AS s FROM (SELECT event_id, {_F} FROM events))"""),

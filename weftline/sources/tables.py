@@ -32,6 +32,13 @@ def is_pdf(content_type: Column, raw: Column) -> Column:
     return F.coalesce(F.lower(content_type).contains("application/pdf"), F.lit(False)) | F.coalesce(F.hex(F.substring(raw, 1, 5)) == "255044462D", F.lit(False))
 
 
+def pdf_metadata(raw: Column) -> Column:
+    """A PDF's properties by their usual names: without the slash, in lower case, dates as creation_date and modification_date; without those that are null."""
+    key = lambda k: F.lower(F.regexp_replace(k, "^/+", ""))
+    named = lambda k: F.when(key(k) == "creationdate", "creation_date").when(key(k) == "moddate", "modification_date").otherwise(key(k))
+    return F.transform_keys(F.map_filter(raw, lambda _, v: v.isNotNull()), lambda k, _: named(k))
+
+
 def is_html(content_type: Column) -> Column:
     return F.lower(F.trim(F.split(content_type, ";")[0])) == "text/html"
 

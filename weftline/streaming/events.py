@@ -25,7 +25,7 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str) ->
 
 
 def windowed_counts(events: DataFrame, at: str, kind: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """window_start, kind, n: complete windows, events later than `late` left out."""
+    """window_start, kind, n: windows that are complete (the latest event lies `late` or more behind their end), each once; events later than that are left out."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), F.col(kind)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")
 
 
@@ -37,8 +37,8 @@ def adapting_delays(responses: DataFrame, key: str, base: float = 0.1) -> DataFr
     """key, order and delay after each response, state kept for each key. responses: key, order, status, seconds, retry_after."""
     def run(k, batches, state: GroupState):
         delay, recent, errors, n = state.get if state.exists else (base, [], 0, 0)
-        for d in batches:
-            d = d.sort_values("order", kind="stable")
+        rows = list(batches)  # one key's rows of one trigger, which may come in several chunks
+        for d in [pd.concat(rows).sort_values("order", kind="stable")] if rows else []:
             out = []
             for status, seconds, after in zip(d["status"], d["seconds"], d["retry_after"]):
                 n += 1
