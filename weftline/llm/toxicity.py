@@ -37,7 +37,7 @@ _KIND = {w: k for k, words in ((1, _INSULT), (2, _THREAT), (3, _PROFANE), (5, _Y
 _WORD = re.compile(r"[^\W_]+")
 _CAPS = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _SPOT = re.compile(r"[0134578@$|*!](?=[a-z0-9@$*])")
-_SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!][ ._*-]){3,40}[a-z0-9](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[a-z0-9@$!][ ._*-]){3,}[a-z0-9](?![^\W_])")
 _PLAIN = str.maketrans("0134578@$!|", "oieastbasil")
 _GAP = re.compile(r"[ ._*-]")
 _TOKEN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789@$!|*")
@@ -57,7 +57,8 @@ class Kinds(dict):
         k = _KIND.get(w, 0)
         if k in (0, 5) and any(w[:n] in self.marks for n in self.lengths):
             k = 4
-        self[w] = k
+        if len(w) <= 64:  # longer ones are looked up each time
+            self[w] = k
         return k
 
     def __reduce__(self):
@@ -76,7 +77,7 @@ def _disguised(low: str, kinds: Kinds) -> int:
         while end < len(low) and low[end] in _TOKEN:
             end += 1
         core = low[a:end].strip("!*|")
-        if len(core) <= 40 and not core.isalpha() and 0 < kinds[core.translate(_PLAIN).replace("*", "")] < 5:
+        if not core.isalpha() and 0 < kinds[core.translate(_PLAIN).replace("*", "")] < 5:
             n += 1
     for x in _SPACED.findall(low):
         if 0 < kinds[_GAP.sub("", x).translate(_PLAIN)] < 5:
@@ -171,8 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (calibrated probability) and toxic (score of threshold or more) for every row.
 
-    A null text has a null score and isn't toxic; an empty one is scored as a text without words. Repeated rows are scored each. Labels
-    of one class only give every text that class's share; without labels all scores are null.
+    A null text has a null score and isn't toxic; an empty one is scored as a text without words. Repeated rows are scored each, texts of
+    any length whole; a score equal to the threshold is toxic. A null id is scored like others. An id with both labels counts as toxic;
+    of texts that differ under a labelled id the one of the least hash is learned from. Labels of one class only give every text that
+    class's share; without labels all scores are null.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, sample))
 
