@@ -10,6 +10,7 @@ character to character, compressed; truncation and budget questions read them an
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from array import array
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import PATTERN, VOCABULARY, codec
-from weftline.llm.common import pick, table
+from weftline.llm.common import flat, pick, table
 
 #: Token budgets and numbers of characters that the query answers for.
 BUDGETS, CUTS = (128, 512, 2048), (1000, 4000)
@@ -32,6 +33,8 @@ _SPLIT = regex.compile(PATTERN)
 _PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z").match
 #: Units and beginnings of pieces remembered by a worker, and the most bytes of a piece whose beginnings are remembered.
 REMEMBERED, BEGINNINGS, LONG = 1_000_000, 2_000_000, 64
+#: Units of a text that are counted at once; between two such groups what is remembered may be dropped, however long a text is.
+AT_ONCE = 100_000
 
 
 class Prefixes(dict):
@@ -151,17 +154,17 @@ class Prefixes(dict):
 
     def steps(self, text: str) -> np.ndarray:
         """What each character adds to the token count of the prefix that ends with it."""
-        if len(self.starts) > REMEMBERED:
-            self.clear()
-        if len(self.state) > BEGINNINGS:
-            self.state = {b"": 0}
-        units = _UNIT.findall(text)
-        if not units:
-            return np.zeros(0, np.int16)
-        k = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
-        size = np.frombuffer(self.sizes, np.int64)[k]
-        ends = np.cumsum(size)
-        return np.frombuffer(self.flat, np.int16)[np.repeat(np.frombuffer(self.starts, np.int64)[k] - (ends - size), size) + np.arange(ends[-1])]
+        found, out = _UNIT.finditer(text), []
+        while units := [m[0] for m in itertools.islice(found, AT_ONCE)]:
+            if len(self.starts) > REMEMBERED:
+                self.clear()
+            if len(self.state) > BEGINNINGS:
+                self.state = {b"": 0}
+            k = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
+            size = np.frombuffer(self.sizes, np.int64)[k]
+            ends = np.cumsum(size)
+            out.append(np.frombuffer(self.flat, np.int16)[np.repeat(np.frombuffer(self.starts, np.int64)[k] - (ends - size), size) + np.arange(ends[-1])])
+        return np.concatenate(out) if out else np.zeros(0, np.int16)
 
 
 _STRIP = "".join(chr(i) for i in range(0x3001) if re.match(f"[{SPACE}]", chr(i)))
@@ -191,7 +194,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_chars, n_tokens, chars_in_<b> (longest prefix of at most b tokens), tokens_at_<c> (tokens of the first c characters, or
     of all) and prefix_counts (packed counts of every prefix, for unpack_counts, chars_in and tokens_at) for every row.
 
-    A null text has nulls, an empty one zeros. Repeated rows are counted each.
+    A null text has nulls, an empty one zeros. Repeated rows are counted each. Very long texts are counted whole, group by group of
+    AT_ONCE units. Of prefixes with equally many tokens the longest answers for a budget. Other columns of docs don't matter.
     """
     def f(batches):
         p = prefixes(vocabulary)
@@ -215,7 +219,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def answers(df: DataFrame, counts_col: str, number: str | int, kind: str, to: str) -> DataFrame:
     """df with a column of answers from packed counts: kind chars_in (number: a token budget) or tokens_at (number: characters).
 
-    number is a column's name or an integer. Null counts or numbers give null; numbers under 0 count as 0.
+    number is a column's name or an integer. Null counts or numbers give null; numbers under 0 count as 0. A column of the very name `to`
+    is replaced; one that differs only in case stays.
     """
     if kind not in ("chars_in", "tokens_at"):
         raise ValueError(kind)
@@ -233,7 +238,9 @@ def answers(df: DataFrame, counts_col: str, number: str | int, kind: str, to: st
             out.append(fits(c, k) if kind == "chars_in" else int(c[min(k, len(c) - 1)]))
         return pd.Series(out, dtype="Int32")
 
-    return df.withColumn(to, ask(F.col(counts_col), F.col(number) if isinstance(number, str) else F.lit(number)))
+    d, at = flat(df)
+    keep = [(c, n) for c, n in zip(df.columns, d.columns) if c != to]
+    return d.select(*[F.col(n) for _, n in keep], ask(F.col(at[counts_col]), F.col(at[number]) if isinstance(number, str) else F.lit(number)).alias("_to")).toDF(*[c for c, _ in keep], to)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
