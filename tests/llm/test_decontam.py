@@ -69,8 +69,23 @@ def test_recall_and_precision_against_brute_force(spark):
     kept = decontaminate(d, b)
     assert kept.schema == d.schema
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {k[0] for k in got}
-    more = {(r.doc_id, r.item_id) for r in contamination(d, b, slice_bytes=400).collect()}
-    assert len(more ^ set(got)) <= 0.1 * len(got)  # slices weigh rarity each on their own
+    more = {(r.doc_id, r.item_id): r.similarity for r in contamination(d, b, slice_bytes=400).collect()}
+    assert more == got  # slices don't change the result
+    assert {r.doc_id for r in decontaminate(d, b, slice_bytes=400).collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_odd_ids_repeats_and_long_texts(spark):
+    rnd = random.Random(8)
+    item = words(rnd, 30)
+    docs = [(1, item), (1, item), (None, "x " + item), (2, words(rnd, 200_000) + " " + item + " end"), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id smallint, text string")
+    b = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id smallint, text string")
+    got = [(r.doc_id, r.item_id, r.similarity) for r in contamination(d, b).collect()]
+    assert sorted(got, key=str) == sorted([(i, k, 1.0) for i in (1, 1, None, 2) for k in (7, None)], key=str)
+    assert [r.doc_id for r in decontaminate(d, b).collect()] == [3]
+    assert [r.doc_id for r in decontaminate(d, b.filter("item_id is null")).collect()] == [3]
+    dates = spark.createDataFrame([("2020-01-01", item)], "item_id string, text string").selectExpr("cast(item_id as date) item_id", "text")
+    assert str(contamination(d.filter("doc_id = 2"), dates).first().item_id) == "2020-01-01"
 
 
 def test_exact_passages_and_clean_texts(spark):

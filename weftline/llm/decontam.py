@@ -1,29 +1,73 @@
 """Operator 9, benchmark decontamination: SimHash over item-sized windows, a multi-index for the Hamming radius, exact verification.
 
-Every benchmark item has the 64-bit SimHash of its word shingles, weighted by rarity among items. In each document, windows as long
+Every benchmark item has the 64-bit SimHash of its word shingles, weighted by rarity among all items: how many of them have a shingle of
+the same 1 of 2^BUCKET_BITS hash values (exactly the shingle's own number while the benchmark has far fewer shingles than that), counted
+in Spark over the whole benchmark into a table of bounded size. In each document, windows as long
 as an item (the whole document where it is shorter) get theirs by running sums, wherever shingles of an item lie dense enough that
 verification could succeed at all. The fingerprint is cut into 8 bytes; two fingerprints within RADIUS < 8 * 3 differ by at most 2
 bits in some byte, so that looking up each byte's neighbours of up to 2 bits misses none. What is found is verified exactly: weighted
 Jaccard similarity of the shingle multisets of window and item.
 
-The documents are scanned once, without a shuffle. The benchmark goes to every task in slices of at most SLICE_BYTES of text; a
-benchmark beyond one slice means more scans, with the same result.
+The documents are scanned once, without a shuffle. The benchmark goes to every task in slices of about SLICE_BYTES of text, one slice
+at a time; a benchmark beyond one slice means more scans, with the same result, since rarity doesn't depend on the slices.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.common import count_sorted, find, flat, mix, n_blocks, pick, shingles, table, text_bytes, word_groups, word_hashes
+from weftline.llm.common import count_sorted, find, flat, mix, n_blocks, pick, shingles, table, text_bytes, word_groups, word_hashes, written
 
 N, RADIUS, SIMILARITY = 3, 23, 0.5
 SLICE_BYTES = 16 << 20
+BUCKET_BITS = 22
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+class Rarity:
+    """Weight of a shingle: log(1 + items / items with its bucket), at least one of them."""
+
+    def __init__(self, items: int, buckets: np.ndarray, counts: np.ndarray):
+        self.items = items
+        self.count = np.zeros(1 << BUCKET_BITS, np.int32)
+        self.count[buckets] = counts
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        return np.log(1 + self.items / np.maximum(self.count[_bucket(s)], 1))
+
+
+def _item_shingles(text: bytes, n: int) -> np.ndarray:
+    h = word_hashes([text])[0]
+    return shingles(h, min(n, len(h))) if len(h) else h
+
+
+def rarity_of(texts: list, n: int) -> Rarity:
+    """Of a benchmark at hand."""
+    per = [np.unique(_bucket(s)) for s in (_item_shingles(b, n) for b in _bytes(texts)) if len(s)]
+    return Rarity(len(per), *count_sorted(np.concatenate(per) if per else np.zeros(0, np.int64)))
+
+
+def _rarity(items: DataFrame, n: int) -> Rarity:
+    """Of a whole benchmark: at most 2^BUCKET_BITS pairs come to the driver."""
+    def f(batches):
+        for r in batches:
+            for i in range(0, r.num_rows, 4096):
+                per = [np.unique(_bucket(s)) for s in (_item_shingles(b, n) for b in _bytes(r.column("_text").slice(i, 4096).to_pylist())) if len(s)]
+                b, c = count_sorted(np.concatenate([*per, np.full(len(per), -1)]) if per else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["b", "c"])
+
+    t = items.select("_text").mapInArrow(f, "b long, c long").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    b, c = t.column("b").to_numpy(), t.column("c").to_numpy()
+    return Rarity(int(c[b == -1].sum()), b[b >= 0], c[b >= 0])
 
 
 def _bytes(texts) -> list[bytes]:
@@ -49,20 +93,18 @@ _NEAR = [np.array([v for v in range(256) if bin(v).count("1") <= r], np.uint8) f
 class Index:
     """One slice of the benchmark."""
 
-    def __init__(self, ids: list, texts: list, n: int, radius: int, similarity: float):
+    def __init__(self, ids: list, texts: list, n: int, radius: int, similarity: float, rarity: Rarity | None = None):
         self.n, self.radius, self.similarity = n, radius, similarity
+        self.weights = rarity if rarity is not None else rarity_of(texts, n)
         self.items, per = [], []
         for i, b in zip(ids, _bytes(texts)):
             h = word_hashes([b])[0]
-            if len(h) and i is not None:
+            if len(h):
                 s = shingles(h, min(n, len(h)))
                 self.items.append((i, len(h)))
                 per.append(s)
-        df = Counter(int(x) for s in per for x in np.unique(s))
-        self.rare = math.log(1 + len(per)) if per else 1.0
-        weight = {x: math.log(1 + len(per) / c) for x, c in df.items()}
-        self.keys = np.array(sorted(weight), np.uint64)
-        self.weight = np.array([weight[x] for x in self.keys.tolist()])
+        self.keys = np.unique(np.concatenate(per)) if per else np.zeros(0, np.uint64)
+        weight = dict(zip(self.keys.tolist(), self.weights(self.keys).tolist()))
         self.bags = [dict(zip(*(a.tolist() for a in np.unique(s, return_counts=True)))) for s in per]
         self.total = np.array([sum(weight[x] * c for x, c in b.items()) for b in self.bags])
         at = np.concatenate([np.full(len(b), i) for i, b in enumerate(self.bags)]) if per else np.zeros(0, np.int64)
@@ -94,10 +136,6 @@ class Index:
                         table_[b][v] = who[o[cut[v]:cut[v + 1]]]
             self.by_size[size] = table_
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        at, hit = find(self.keys, s)
-        return np.where(hit, self.weight[at] if len(self.keys) else 0, self.rare)
-
     def near(self, prints: np.ndarray, size: int) -> list[tuple[int, int]]:
         """(window, item) within the radius, for items of a size."""
         table_, out = self.by_size[size], set()
@@ -171,47 +209,47 @@ class Index:
 def _slices(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, n: int, radius: int, similarity: float, slice_bytes: int):
     if not 0 <= radius < 64 or not 0 < similarity <= 1:
         raise ValueError("radius must be 0 to 63, similarity over 0 to 1")
-    b = pick(benchmark, _id=item_col, _text=text_col).filter("_id is not null and _text is not null")
+    b = pick(benchmark, _id=item_col, _text=text_col).filter("_text is not null").distinct()
     k = n_blocks(text_bytes(b, "_text"), slice_bytes)
+    rarity = _rarity(b, n)
     for i in range(k):
-        rows = sorted(b.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(k)) == i).distinct().collect(), key=lambda r: (str(r[0]), r[1]))
-        yield spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], n, radius, similarity))
+        rows = sorted(b.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(k)) == i).collect(), key=lambda r: (str(r[0]), r[1]))
+        yield spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows], n, radius, similarity, rarity)), k
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   n: int = N, radius: int = RADIUS, similarity: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word: each document's best window for each item that it holds.
 
-    Null and wordless texts, on either side, match nothing. Items of fewer than n words are one shingle. Rarity is counted within a
-    slice of the benchmark. Repeated benchmark rows count once; repeated documents are each reported.
+    Null and wordless texts, on either side, match nothing. Items of fewer than n words are one shingle. Repeated benchmark rows count
+    once; repeated documents are each reported. Null ids, of documents or items, are reported as null. Documents of any length are
+    searched whole; of equally similar windows the first is reported. Ids may be of any type, other columns don't matter.
     """
     d = pick(docs, _id=id_col, _text=text_col)
     kinds = [d.schema["_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for shared in _slices(docs.sparkSession, benchmark, item_col, item_text, n, radius, similarity, slice_bytes):
+    for shared, k in _slices(docs.sparkSession, benchmark, item_col, item_text, n, radius, similarity, slice_bytes):
         def f(batches, shared=shared):
             index = shared.value
             for r in batches:
                 m = list(index.matches(_bytes(r.column("_text").to_pylist())))
                 yield pa.RecordBatch.from_arrays([
-                    r.column("_id").take(pa.array([x[0] for x in m], pa.int64())), pa.array([index.items[x[1]][0] for x in m]).cast(_arrow(kinds[1])),
+                    r.column("_id").take(pa.array([x[0] for x in m], pa.int64())), pa.array([index.items[x[1]][0] for x in m], item_kind),
                     pa.array([round(x[2], 6) for x in m], pa.float64()), pa.array([x[3] for x in m], pa.int32()), pa.array([x[4] for x in m], pa.int32())],
                     names=["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
         one = d.mapInArrow(f, f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word int, end_word int")
+        one = written(one, "found") if k > 1 else one  # one slice's index at a time
         out = one if out is None else out.union(one)
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N,
                   radius: int = RADIUS, similarity: float = SIMILARITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the benchmark by contamination(). Rows of null text stay."""
+    """The rows of docs, all columns, that hold no item of the benchmark by contamination(), items of a null id included. Rows of null text stay, repeated rows all stay or all go."""
     out, at = flat(docs)
-    for shared in _slices(docs.sparkSession, benchmark, item_col, item_text, n, radius, similarity, slice_bytes):
+    for shared, k in _slices(docs.sparkSession, benchmark, item_col, item_text, n, radius, similarity, slice_bytes):
         def f(batches, shared=shared):
             index = shared.value
             for r in batches:
@@ -220,6 +258,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield r.filter(pa.array(keep))
 
         out = out.mapInArrow(f, out.schema)
+        out = written(out, "kept") if k > 1 else out
     return out.toDF(*docs.columns)
 
 
