@@ -186,8 +186,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
                        label_col: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS, exchange: int = EXCHANGE, confident: float = CONFIDENT, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_text, p_meta (calibrated views), score (combined) and keep (score of threshold or more) for every row.
 
-    Null texts and metadata are values like others; a null or blank text is never kept. Repeated rows are scored each. With labels of one
-    class all three are that class's share; without labels they are null and keep is null but for blank texts.
+    Null texts and metadata are values like others; a null or blank text is never kept. Repeated rows are scored each, texts of any length
+    whole; a score equal to the threshold is kept. A null id is scored and never learned from. An id with both labels counts as good. Rows
+    of equal confidence are exchanged by the hash of their text. With labels of one class all three are that class's share; without labels
+    they are null and keep is null but for blank texts.
     """
     d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col, _source=source_col, _chars=chars_col)
     d = d.select("_id", "_text", F.col("_lang").cast("string").alias("_lang"), F.col("_source").cast("string").alias("_source"), F.col("_chars").cast("long").alias("_chars"))
