@@ -4,9 +4,10 @@ The counts of each language's (ORDER+1)-byte grams, their continuation counts an
 (gram_exchange: sorted key arrays, met by suffix). A document is scored with the model of the other half of its language, so that
 it doesn't predict itself. Copies and near copies in a language (the groups of near_copies) lie in one half, and one of each group
 counts in the model and the centre: copies don't predict each other, and the number of copies changes no figure.
-A language's centre is the mean bits a byte over that text; the band around it is
-[centre - LOWER - SLACK/sqrt(bytes), centre + UPPER + SLACK/sqrt(bytes)]: below lies repeated or formulaic text, above it junk.
-Perplexity is 2 to the bits a byte.
+A language's centre is the mean bits a byte over that text, its spread the middle half of its documents' bits a byte (over 1.349, which
+makes it the deviation of a normal distribution; drawn towards the mean spread as if PRIOR_DOCS documents had that); the band is
+[centre - LOWER * spread - SLACK/sqrt(bytes), centre + UPPER * spread + SLACK/sqrt(bytes)]: below lies repeated or formulaic text, above
+it junk. Both bounds are so each language's own. Perplexity is 2 to the bits a byte.
 
 Documents of small languages (fewer than LEAST_BYTES that count) are scored with the model of all languages together. Their centre is
 the language's mean under it, drawn towards the mean of all text as if PRIOR_BYTES of that had been seen too; the band is wider by
@@ -18,17 +19,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import count_sorted, find, flat, pick, table, unpack, written
-from weftline.llm.gram_exchange import Low, exchange, score
+from weftline.llm.gram_exchange import Low, _of_groups, exchange, score
 from weftline.llm.near_copies import near_groups
 
 ORDER = 4
 BLOCK_BYTES = 32 << 20
-#: Widths of the band in bits a byte, and what short texts get besides, over the root of their bytes.
-LOWER, UPPER, SLACK = 0.15, 0.15, 3.0
+#: Widths of the band in spreads of the language, and what short texts get besides in bits a byte, over the root of their bytes.
+LOWER, UPPER, SLACK, PRIOR_DOCS = 4.0, 4.0, 3.0, 50
 #: Languages with fewer bytes than this are judged under the model of all languages, with a centre that weighs like PRIOR_BYTES of other text.
 LEAST_BYTES, PRIOR_BYTES = 20_000, 4_000
 
@@ -106,21 +108,26 @@ def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: floa
         size, bits = run(z.column("_block")[0].as_py(), d, costs)
         with np.errstate(divide="ignore", invalid="ignore"):
             per = bits / size
+        counts = _of_groups(d, z.column("_block")[0].as_py(), costs.filter(pc.is_valid(costs.column("_k"))))[1]
         blank = [not (t or "").strip() for t in d.column("_text").to_pylist()]
         return pa.table({"_block": pa.array([z.column("_block")[0].as_py()] * len(size), pa.int32()), "_row": pa.array(np.arange(len(size), dtype=np.int32)), "_id": d.column("_id"),
-                         "_grp": d.column("_grp"), "_size": pa.array(size), "_rate": pa.array(per, mask=size == 0), "_blank": pa.array(blank)})
+                         "_grp": d.column("_grp"), "_size": pa.array(size), "_rate": pa.array(per, mask=size == 0), "_blank": pa.array(blank), "_counts": pa.array(counts)})
 
     kind = docs.schema["_id"].dataType.simpleString()
-    r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_block int, _row int, _id {kind}, _grp string, _size long, _rate double, _blank boolean")
+    r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_block int, _row int, _id {kind}, _grp string, _size long, _rate double, _blank boolean, _counts boolean").repartition(max(n, 2), "_block")
+    q = F.percentile_approx("_rate", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))  # one pass, merged from the tasks' summaries
+    own = r.filter("_counts and _rate is not null").groupBy("_grp").agg(q.alias("_q"), F.count("*").alias("_docs")).select("_grp", "_docs", ((F.col("_q")[1] - F.col("_q")[0]) / 1.349).alias("_own"))
+    pool = own.agg((F.sum(F.col("_own") * F.col("_docs")) / F.sum("_docs")).alias("_usual"))
+    spread = own.crossJoin(pool).select("_grp", ((F.col("_own") * F.col("_docs") + F.col("_usual") * PRIOR_DOCS) / (F.col("_docs") + PRIOR_DOCS)).alias("_width"))
     by = c.filter("_grams is not null").groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train")).withColumn("_under", F.col("_pooled") / F.col("_train"))
     mean = by.agg((F.sum("_pooled") / F.sum("_train")).alias("_mean"), F.sum("_train").alias("_all"), F.sum(F.col("_under") * F.col("_pooled")).alias("_sq")).select(
         "_mean", "_all", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("_all") - F.col("_mean") * F.col("_mean"))).alias("_spread"))
-    own, small = F.col("_train") / (F.col("_train") + PRIOR_BYTES), F.col("_train") < least
-    centre = by.crossJoin(mean).select("_grp", F.when(small, own * F.col("_under") + (1 - own) * F.col("_mean")).otherwise(F.col("_spent") / F.col("_train")).alias("_centre"),
-                                       F.when(small, 2 * F.col("_spread") * F.sqrt(1 - own) + 8 * PRIOR_BYTES / (F.col("_all") + PRIOR_BYTES)).otherwise(0.0).alias("_wider"))
-    r = r.join(centre, "_grp", "left")
+    weight, small = F.col("_train") / (F.col("_train") + PRIOR_BYTES), F.col("_train") < least
+    centre = by.crossJoin(mean).select("_grp", F.when(small, weight * F.col("_under") + (1 - weight) * F.col("_mean")).otherwise(F.col("_spent") / F.col("_train")).alias("_centre"),
+                                       F.when(small, 2 * F.col("_spread") * F.sqrt(1 - weight) + 8 * PRIOR_BYTES / (F.col("_all") + PRIOR_BYTES)).otherwise(0.0).alias("_wider"))
+    r = r.join(centre, "_grp", "left").join(spread, "_grp", "left")
     side = F.lit(float(slack)) / F.sqrt(F.nullif(F.col("_size"), F.lit(0))) + F.col("_wider")
-    r = r.withColumn("_lo", F.col("_centre") - lower - side).withColumn("_hi", F.col("_centre") + upper + side)
+    r = r.withColumn("_lo", F.col("_centre") - F.col("_width") * lower - side).withColumn("_hi", F.col("_centre") + F.col("_width") * upper + side)
     return x, r.withColumn("_keep", ~F.col("_blank") & F.col("_rate").between(F.col("_lo"), F.col("_hi")))
 
 
@@ -133,7 +140,8 @@ def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, lang, n_bytes, perplexity, lower, upper and keep for every row.
 
     Null, empty and blank texts are rejected, with null figures where there are no bytes. A null language counts as one of its own.
-    Languages of fewer than least_bytes are judged under the model of all languages. Repeated rows are judged each.
+    Languages of fewer than least_bytes are judged under the model of all languages. Repeated rows are judged each and count once, texts
+    of any length are judged whole, rows on a bound are kept. Other columns don't matter.
     """
     d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
     _, r = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes)
