@@ -1,10 +1,11 @@
+import os
 import random
 import sys
 from collections import Counter
 
 import numpy as np
 import pytest
-from weftline.llm.jaccard_join import N, components, jaccard_join, jaccard_pairs, near_dedup, trie_join
+from weftline.llm.jaccard_join import N, ORACLE_SQL, QUERIES, components, jaccard_join, jaccard_pairs, near_dedup, trie_join
 
 
 def grams(text, n):
@@ -116,3 +117,14 @@ def test_trie_join(same):
                 if (o := len(np.intersect1d(a[i], b[j]))) and o / (sa[i] + sb[j] - o) >= t}
         got = [(i, j) for i, j, _ in trie_join([x.astype(">u4") for x in a], sa, b, sb, t, same)]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_query_equals_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(c.sql(ORACLE_SQL["op7_ngram_jaccard_join"]).fetchall())
+    got = QUERIES["op7_ngram_jaccard_join"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "class_id", "n_copies", "n_links"] and sorted(map(tuple, got.collect())) == want and any(r[3] for r in want)

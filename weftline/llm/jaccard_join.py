@@ -414,3 +414,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
+ORACLE_SQL = {"op7_ngram_jaccard_join": r"""WITH RECURSIVE w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[\x00-\x20]+', ' ', 'g')), ' ') AS w FROM documents),
+ g AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(len(w) - 2), lambda i: w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) WHEN w = [''] OR w IS NULL THEN []::VARCHAR[] ELSE [array_to_string(w, ' ')] END) AS g FROM w),
+ k AS (SELECT doc_id, g, CASE WHEN len(g) > 0 THEN min(doc_id) OVER (PARTITION BY g) ELSE doc_id END AS s FROM g), n AS (SELECT s, count(*) AS copies, any_value(len(g)) AS size, any_value(g) AS g FROM k GROUP BY s),
+ p AS MATERIALIZED (SELECT s, size, unnest(g) AS gram FROM n), x AS MATERIALIZED (SELECT a.s AS a, b.s AS b FROM p a JOIN p b ON a.gram = b.gram AND a.s < b.s AND 2 * least(a.size, b.size) >= greatest(a.size, b.size) GROUP BY a.s, b.s, a.size, b.size HAVING count(*) / (a.size + b.size - count(*)) >= 0.5),
+ e AS MATERIALIZED (SELECT a, b FROM x UNION ALL SELECT b, a FROM x), r(s, t) AS (SELECT s, s FROM n UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a), c AS (SELECT s, min(t) AS class_id FROM r GROUP BY s), l AS (SELECT a AS s, sum(copies) AS links FROM e JOIN n ON e.b = n.s GROUP BY a)
+ SELECT doc_id, class_id, copies - 1 AS n_copies, (copies - 1 + coalesce(links, 0))::BIGINT AS n_links FROM k JOIN n USING (s) JOIN c USING (s) LEFT JOIN l USING (s)"""}
