@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from weftline.llm.common import dropped, flat, mix, n_blocks, packed, pick, shingles, table, text_bytes, unpack, word_groups, word_hashes, written
+from weftline.llm.common import dropped, find, flat, mix, n_blocks, packed, pick, shingles, table, text_bytes, unpack, word_groups, word_hashes, written
 
 N, THRESHOLD = 3, 0.5
 BLOCK_BYTES = 16 << 20
@@ -355,8 +356,8 @@ def jaccard_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return far.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
 
 
-def _classes(docs: DataFrame, n: int, t: float, block_bytes: int, slice_sets: int) -> DataFrame:
-    """_id, _th, first (least (_id, _th) of its class), copies (rows of the same set, itself included), links (rows of other sets) of the members."""
+def _classes(docs: DataFrame, n: int, t: float, block_bytes: int, slice_sets: int) -> tuple[DataFrame, int]:
+    """A number of buckets that follows the bytes, and _id, _th, first (least (_id, _th) of its class), copies (rows of the same set, itself included), links (rows of other sets) of the members."""
     members, sets, buckets = jaccard_sets(docs, n, t, block_bytes)
     sets = written(sets, "sets")
 
@@ -378,7 +379,7 @@ def _classes(docs: DataFrame, n: int, t: float, block_bytes: int, slice_sets: in
     s = sets.select("key", "first", "copies").join(links, "key", "left").join(comp.toDF("key", "comp"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = s.groupBy("comp").agg(F.min("first").alias("least"))
     info = s.join(least, "comp").select("key", F.col("least").alias("first"), "copies", F.coalesce("links", F.lit(0)).alias("links")).filter("copies > 1 or links > 0")
-    return members.join(info, "key").drop("key")
+    return members.join(info, "key").drop("key"), buckets
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD,
@@ -391,7 +392,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gram. Rows that repeat an id and its text count once and are returned each. Texts of any length are taken whole.
     """
     d = pick(docs, _id=id_col, _text=text_col)
-    c = _classes(d, n, threshold, block_bytes, slice_sets)
+    c, _ = _classes(d, n, threshold, block_bytes, slice_sets)
     rows = d.select("_id", F.xxhash64("_text").alias("_th"))
     return rows.join(c, ["_id", "_th"], "left").select(F.col("_id").alias("doc_id"), F.coalesce(F.col("first._id"), F.col("_id")).alias("class_id"),
                                                        F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"), F.coalesce(F.col("copies") - 1 + F.col("links"), F.lit(0)).alias("n_links"))
@@ -403,10 +404,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents without words, and rows with a null id, stay. Rows that repeat the id and text that stay do stay.
     """
     p = {"n": N, "threshold": THRESHOLD, "block_bytes": BLOCK_BYTES, "slice_sets": SLICE} | kw
-    gone = _classes(pick(docs, _id=id_col, _text=text_col), p["n"], p["threshold"], p["block_bytes"], p["slice_sets"]).filter("struct(_id, _th) <> first").select("_id", "_th")
+    found, buckets = _classes(pick(docs, _id=id_col, _text=text_col), p["n"], p["threshold"], p["block_bytes"], p["slice_sets"])
     f, at = flat(docs)
-    gone = written(gone, "gone")
-    return f.join(gone, (f[at[id_col]] == gone["_id"]) & (F.xxhash64(f[at[text_col]]) == gone["_th"]), "left_anti").toDF(*docs.columns)
+    names, parts = f.columns, max(2, buckets // 2)
+    block = F.pmod("_k", F.lit(buckets)).cast("int")
+    gone = found.filter("struct(_id, _th) <> first").select(F.xxhash64("_id", "_th").alias("_k"), "_th").withColumn("_block", block).repartition(parts, "_block")
+    # documents travel to the keys of those that go in packed blocks: the same at any size
+    rows = f.withColumn("_th", F.xxhash64(f[at[text_col]])).withColumn("_k", F.xxhash64(f[at[id_col]], "_th"))
+    x = packed(rows, block, parts)
+
+    def keep(z: pa.Table, g: pa.Table) -> pa.Table:
+        d = unpack(z) if z.num_rows else None
+        if d is None:
+            return schema.empty_table()
+        k, th = g.column("_k").to_numpy(), g.column("_th").to_numpy()
+        o = np.argsort(k)
+        place, hit = find(k[o], d.column("_k").to_numpy())
+        if len(k):
+            hit &= th[o][place] == d.column("_th").to_numpy()
+        return d.select(names).filter(pa.array(~hit))
+
+    schema = to_arrow_schema(f.schema)
+    return x.groupBy("_block").cogroup(gone.groupBy("_block")).applyInArrow(keep, f.schema).toDF(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
