@@ -27,6 +27,25 @@ def test_joins_agree_exactly(window, bits, longest):
         assert B.join_tokens(c, raw, e, parts).tolist() == c.enc.encode_ordinary(t)
 
 
+@pytest.mark.parametrize("window, bits, longest", [(4, 2, 20), (8, 5, 200), (32, 9, 1 << 14)])
+def test_scripts_without_blanks(window, bits, longest):
+    c, rng = B.codec(B.VOCABULARY), random.Random(6)
+    kinds = ["".join(map(chr, range(0x3041, 0x3097))), "".join(map(chr, range(0x4E00, 0x4E60))) * 3 + "的一是了我不人在", "".join(map(chr, range(0xAC00, 0xAC40))), "abcXYZ", "12", " \n", "。、'ls", "ー々\u4dc0é"]
+    for k in range(60):
+        weights = [6, 20, 6, *([0.05 * (k % 3)] * 5)]
+        t = "".join(rng.choice(rng.choices(kinds, weights)[0]) for _ in range(rng.choice([50, 500, 4000])))
+        raw = t.encode()
+        e = B.cuts(raw, window, bits, longest)
+        parts = [c.encode(raw[a:b].decode()) for a, b in zip([0, *e[:-1]], e)]
+        assert B.join_tokens(c, raw, e, parts).tolist() == c.enc.encode_ordinary(t)
+    t = "".join(rng.choice(kinds[1]) for _ in range(60_000))
+    raw = t.encode()
+    e = B.cuts(raw)
+    parts = [c.encode(raw[a:b].decode()) for a, b in zip([0, *e[:-1]], e)]
+    again = sum(b - a for a, b, _ in B.joins(raw, e, B._local(c, raw, e, parts)))
+    assert len(e) > 100 and again < 0.1 * len(raw) and B.join_tokens(c, raw, e, parts).tolist() == c.enc.encode_ordinary(t)
+
+
 @pytest.mark.parametrize("block", [3_000, 1 << 25])
 def test_encode_equals_direct_encoding(spark, block):
     rows = [(i, t, "en", "kept?", 7) for i, t in enumerate(texts())] + [(900, None, None, None, None), (0, texts()[0], "en", "again", 1)]

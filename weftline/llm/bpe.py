@@ -8,6 +8,9 @@
 3. A document is the concatenation of its chunks' tokens, repaired at each join: from the last safe boundary before the join to the
    first one after it the text is encoded again. A safe boundary lies between a character that isn't white space and white space:
    no rule of the vocabulary's pattern looks across it, so both sides' tokens agree there exactly with those of the whole text.
+   Within a run of characters of scripts without blanks the join lies inside one piece of the pattern. There tokens on both sides are
+   encoded anew, one more each time, until the new ones agree with their neighbours: a sequence of tokens is the encoding of its piece
+   exactly if the encoder leaves each pair of neighbours as it is.
 """
 
 from __future__ import annotations
@@ -46,6 +49,7 @@ class Codec:
         self.sizes = np.zeros(top, np.int64)
         for b, r in self.ranks.items():
             self.sizes[r] = len(b)
+        self.pairs: dict[int, bool] = {}
         self.kind = np.uint16 if top <= 1 << 16 else np.int32
 
     def encode(self, text: str) -> np.ndarray:
@@ -54,6 +58,20 @@ class Codec:
     def decode(self, tokens) -> bytes:
         return self.enc.decode_bytes(tokens)
 
+    def apart(self, a: int, b: int) -> bool:
+        """Whether the encoder leaves token b after token a, within a piece, as it is."""
+        k = a << 32 | b
+        v = self.pairs.get(k)
+        if v is None:
+            if len(self.pairs) > 1_000_000:
+                self.pairs.clear()
+            both = self.enc.decode_single_token_bytes(a) + self.enc.decode_single_token_bytes(b)
+            v = self.pairs[k] = both not in self.ranks and self.piece(both) == [a, b]
+        return v
+
+    def piece(self, b: bytes) -> list[int]:
+        return self.enc._core_bpe.encode_single_piece(b)
+
 
 @functools.cache
 def codec(path: str) -> Codec:
@@ -105,13 +123,79 @@ def _safe(raw: bytes, i: int) -> bool:
     return not raw[j:i].decode("utf-8").isspace()
 
 
-def joins(raw: bytes, ends: list[int]) -> list[tuple[int, int]]:
-    """Ranges of bytes to encode again: around each join, from the last safe boundary (or the start) to the next (or the end)."""
-    out: list[tuple[int, int]] = []
+#: Characters that are letters in every version of Unicode and of scripts that set no blanks: kana, the first ideographs, Hangul.
+_SOLID = ((0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
+def solid_runs(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of such characters."""
+    b = np.frombuffer(raw + b"\0\0", np.uint8)
+    at = np.flatnonzero((b[:-2] >= 0xE3) & (b[:-2] <= 0xED))
+    code = ((b[at].astype(np.int64) & 15) << 12) | ((b[at + 1].astype(np.int64) & 63) << 6) | (b[at + 2] & 63)
+    ok = np.zeros(len(at), bool)
+    for lo, hi in _SOLID:
+        ok |= (code >= lo) & (code <= hi)
+    at = at[ok]
+    new = np.flatnonzero(np.diff(at, prepend=-9) != 3)
+    return at[new], (at[np.append(new[1:], len(at)) - 1] + 3) if len(at) else at
+
+
+#: Tokens on either side of a join that are encoded anew before the join is given to the safe boundaries.
+REACH = 16
+
+
+def _local(c: Codec, raw: bytes, ends: list[int], tokens: list[np.ndarray]):
+    """Function of (number of the join, first byte that may change) -> (a, b, tokens of the bytes from a to b) that make the join exact; None where it can't."""
+    runs: list = []
+    places: dict[int, np.ndarray] = {}
+
+    def place(i: int) -> np.ndarray:
+        if i not in places:
+            places.clear()
+            places[i] = np.concatenate(([0], np.cumsum(c.sizes[tokens[i]]))) + (ends[i - 1] if i else 0)
+        return places[i]
+
+    def run(i: int, least: int):
+        if not runs:
+            runs.extend(solid_runs(raw))
+        p = ends[i]
+        k = int(np.searchsorted(runs[0], p, side="right")) - 1
+        if k < 0 or not runs[0][k] < p < runs[1][k]:
+            return None
+        lo, hi = max(int(runs[0][k]), least), int(runs[1][k])
+        left, right = tokens[i], tokens[i + 1]
+        x, y = place(i).copy(), place(i + 1)
+        for n in range(REACH + 1):
+            u, v = len(left) - 1 - n, n  # the neighbours that stay
+            if u < 0 or v >= len(right) or x[u] < lo or y[v + 1] > hi:
+                return None
+            a, b = int(x[u + 1]), int(y[v])
+            mid = c.piece(raw[a:b]) if n else []
+            seq = [int(left[u]), *mid, int(right[v])]
+            if c.apart(seq[0], seq[1]) and (len(seq) == 2 or c.apart(seq[-2], seq[-1])):
+                return a, b, np.array(mid, c.kind)
+        return None
+
+    return run
+
+
+def joins(raw: bytes, ends: list[int], local=None) -> list[tuple]:
+    """(a, b, tokens): ranges of bytes whose tokens are others than those of the chunks. Without tokens (None) they are to be encoded again: around a
+    join, from the last safe boundary (or the start) to the next (or the end)."""
+    out: list[tuple] = []
     n, done = len(raw), 0
-    for p in ends[:-1]:
+    for i, p in enumerate(ends[:-1]):
         if p < done or _safe(raw, p):
             continue
+        found = local(i, done) if local is not None else None
+        if found is not None:
+            if found[1] > found[0]:
+                out.append(found)
+                done = found[1]
+            continue
+        while out and out[-1][2] is not None:  # those may lie in the same piece
+            out.pop()
+        done = out[-1][1] if out else 0
         a = p - 1
         while a > done and not _safe(raw, a):
             a -= 1
@@ -119,9 +203,9 @@ def joins(raw: bytes, ends: list[int]) -> list[tuple[int, int]]:
         while b < n and not _safe(raw, b):
             b += 1
         if out and a <= done:
-            out[-1] = (out[-1][0], b)
+            out[-1] = (out[-1][0], b, None)
         else:
-            out.append((max(a, 0), b))
+            out.append((max(a, 0), b, None))
         done = b
     return out
 
@@ -132,7 +216,7 @@ def join_tokens(c: Codec, raw: bytes, ends: list[int], tokens: list[np.ndarray])
         return np.zeros(0, c.kind)
     out, i, pos, start = [], 0, 0, 0
     at = None  # places of the tokens of chunk i
-    for a, b in [*joins(raw, ends), (len(raw), len(raw))]:
+    for a, b, new in [*joins(raw, ends, _local(c, raw, ends, tokens)), (len(raw), len(raw), None)]:
         while pos < a:
             if at is None:
                 at = np.concatenate(([0], np.cumsum(c.sizes[tokens[i]])))
@@ -142,7 +226,7 @@ def join_tokens(c: Codec, raw: bytes, ends: list[int], tokens: list[np.ndarray])
             if pos == ends[i]:
                 start, i, at = ends[i], i + 1, None
         if b > a:
-            out.append(c.encode(raw[a:b].decode("utf-8")))
+            out.append(c.encode(raw[a:b].decode("utf-8")) if new is None else new)
             pos = b
             while i < len(ends) and ends[i] <= pos:
                 start, i, at = ends[i], i + 1, None
@@ -258,7 +342,8 @@ def encode_documents(docs: DataFrame, text: str, vocabulary: str, block_bytes: i
 def bpe_encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns of docs with tokens (array of ids) and n_tokens; a column of docs with such a name is replaced.
 
-    A null text has null tokens and count, an empty one none and 0. Repeated rows are encoded each. Strings of special tokens are text.
+    A null text has null tokens and count, an empty one none and 0. Repeated rows are encoded each, texts of any length whole. Strings of
+    special tokens are text. Chunks of equal hash and other bytes, and texts whose tokens don't give them back, are encoded where they are.
     """
     d, at = flat(docs)
     out = encode_documents(d, at[text_col], vocabulary, block_bytes)
