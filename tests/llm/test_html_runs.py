@@ -55,3 +55,14 @@ def test_nulls_and_one_page(spark):
     r = {x.page_id: (x.host, x.text, x.n_tokens, x.n_kept) for x in H.extract(d, min_tokens=2).collect()}
     assert r == {1: (None, "a b c", 3, 3), 2: (None, None, 0, 0), None: ("x", "d e f", 3, 3), 3: ("x", "", 0, 0)}
     assert H.extract(d.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_long_pages(spark):
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(60))
+    long = " ".join(f"w{rng.randrange(10**9)}" for _ in range(150_000))
+    rows = [(1, "http://h/1", f"<p>{long} {shared}</p>", 1), (2, "http://h/2", f"<p>own words {shared} tail</p>", 1), (2, "http://h/2", f"<p>own words {shared} tail</p>", 1), (3, "http://h/3", "<p>own words only</p>", 1), (3, "http://h/3", "<p>own words only</p>", 1)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    for block in (1 << 20, 1 << 24):
+        got = sorted((x.page_id, x.n_tokens, x.n_kept, x.text) for x in H.extract(d, block_bytes=block).collect())
+        assert got == [(1, 150_060, 150_000, long), (2, 63, 3, "own words\ntail"), (2, 63, 3, "own words\ntail"), (3, 3, 3, "own words only"), (3, 3, 3, "own words only")]

@@ -19,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix, n_blocks, packed, pick, shingles, table, unpack, word_hashes
+from weftline.llm.common import mix, n_blocks, packed, pick, shingles, table, unpack, word_hashes, written
 
 MIN_TOKENS = 10
 BLOCK_BYTES = 8 << 20
-#: Hosts of several slices are broadcast up to this many, and joined beyond.
-BROADCAST_HOSTS = 100_000
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|small|big|sub|sup|font|mark|abbr|cite|code|q|wbr|tt|kbd|var|ins|del|label)\b", re.I)
@@ -112,8 +110,8 @@ def unique_runs(text: str, covered: np.ndarray) -> tuple[str, int]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_tokens: int = MIN_TOKENS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """page_id, host, text (the page's unique runs, one a line), n_tokens, n_kept for every row.
 
-    A null page has null text and 0 tokens; an empty one an empty text. Pages of equal streams count as one page and keep the same runs.
-    Pages with null urls, or urls without a host, form one group, with a null host. A host with one distinct page keeps everything.
+    A null page has null text and 0 tokens; an empty one an empty text. Pages of equal streams, repeated rows among them, count as one page
+    and keep the same runs; each row is returned. Pages of any length are taken whole. A null id is given back as null. Pages with null urls, or urls without a host, form one group, with a null host. A host with one distinct page keeps everything.
     """
     if min_tokens < 1:
         raise ValueError("min_tokens must be at least 1")
@@ -124,8 +122,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     size = d.groupBy("_host").agg(F.sum(F.octet_length("_html")).alias("_size"))
     total = size.agg(F.sum("_size")).first()[0] or 0
     n = n_blocks(total, block_bytes)
-    hot = size.filter(F.col("_size") > block_bytes).select("_host", F.ceil(F.col("_size") / F.lit(block_bytes)).cast("int").alias("_k"))
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOSTS else hot
+    # hosts of several slices, as a written table, whose size lets Spark choose between broadcast and join
+    hot = written(size.filter(F.col("_size") > block_bytes).select("_host", F.ceil(F.col("_size") / F.lit(block_bytes)).cast("int").alias("_k")), "hosts")
 
     def parse(batches):
         for r in batches:
