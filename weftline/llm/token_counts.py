@@ -44,7 +44,9 @@ class Prefixes(dict):
         self.c = codec(path)
         self.longest = int(self.c.sizes.max())
         self.bytes = {t: b for b, t in self.c.ranks.items()}
+        self.lengths = self.c.sizes.tolist()
         self.pairs: dict[int, bool] = {}
+        self.words: dict[str, list[int]] = {}  # counts of short pieces by characters
         self.state: dict[bytes, int] = {b"": 0}  # beginning of a piece -> last token * 256 + number of tokens
         self.clear()
 
@@ -68,7 +70,7 @@ class Prefixes(dict):
         n = len(b)
         if n > LONG:
             return self._long(b)
-        state, ranks = self.state, self.c.ranks
+        state, ranks, sizes, pairs = self.state, self.c.ranks, self.lengths, self.pairs
         i = n
         while b[:i] not in state:
             i -= 1
@@ -78,11 +80,14 @@ class Prefixes(dict):
             if t is not None:
                 state[p] = t << 8 | 1
                 continue
-            for j in range(1, i):
+            # one token can be the last; mostly it is the prefix's last one with the new byte, or that byte alone
+            j = i - 1 - sizes[state[b[:i - 1]] >> 8]
+            for j in (j, i - 1, *range(1, i - 1)) if j else (i - 1, *range(1, i - 1)):
                 t = ranks.get(b[j:i])
                 if t is not None:
                     s = state[b[:j]]
-                    if self.apart(s >> 8, t):
+                    k = s >> 8 << 20 | t
+                    if pairs[k] if k in pairs else self.apart(s >> 8, t):
                         state[p] = t << 8 | (s & 255) + 1
                         break
         return [state[b[:i]] & 255 for i in range(1, n + 1)]
@@ -136,11 +141,17 @@ class Prefixes(dict):
         return out
 
     def _chars(self, s: str):
+        found = self.words.get(s)
+        if found is not None:
+            return found
         b = s.encode("utf-8", "replace")
         n = self.piece(b)
-        if len(b) == len(s):
-            return n
-        return [n[i - 1] for i in np.flatnonzero((np.frombuffer(b + b"a", np.uint8) & 0xC0) != 0x80)[1:].tolist()]
+        if len(b) > LONG:
+            return n if len(b) == len(s) else [n[i - 1] for i in np.flatnonzero((np.frombuffer(b + b"a", np.uint8) & 0xC0) != 0x80)[1:].tolist()]
+        if len(b) != len(s):
+            n = [v for v, c in zip(n, b[1:] + b"a") if c & 0xC0 != 0x80]
+        self.words[s] = n
+        return n
 
     def __missing__(self, unit: str) -> int:
         n = self.counts(unit)
@@ -160,6 +171,7 @@ class Prefixes(dict):
                 self.clear()
             if len(self.state) > BEGINNINGS:
                 self.state = {b"": 0}
+                self.words.clear()
             k = np.fromiter(map(self.__getitem__, units), np.int64, len(units))
             size = np.frombuffer(self.sizes, np.int64)[k]
             ends = np.cumsum(size)
