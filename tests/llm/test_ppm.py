@@ -65,6 +65,17 @@ def test_matches_brute_force(spark):
                 assert (got[i].bits_per_byte is None) == (t == "")
 
 
+def test_merging_lists_changes_nothing(spark):
+    import random
+
+    rng = random.Random(3)
+    df = frame(spark, [" ".join(rng.choice(["abra", "cadabra", "the", "cat", "mat", "ñandú"]) for _ in range(20)) for _ in range(60)])
+    want = {r.doc_id: r.bits for r in ppm_score(df).collect()}
+    one = {r.doc_id: r.bits for r in ppm_score(df, block_bytes=300).collect()}
+    tree = {r.doc_id: r.bits for r in ppm_score(df, block_bytes=300, fan=3).collect()}
+    assert one == tree and all(math.isclose(want[i], one[i], abs_tol=0.01) for i in want)
+
+
 def test_empty_single_and_repeated(spark):
     assert ppm_score(frame(spark, [])).count() == 0
     assert ppm_score(frame(spark, ["abc"])).first().bits == 24.0

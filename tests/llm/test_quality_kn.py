@@ -84,6 +84,13 @@ def test_empty_table_and_repeats(spark):
     assert quality_bands(two).count() == 3
 
 
+def test_merging_lists_changes_nothing(spark):
+    docs = [(i, t, "en" if i % 3 else "fr") for i, t in enumerate(prose(1, 40))] + [(100 + i, prose(2, 1)[0], "en") for i in range(5)] + [(200, "odd", "xx")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    one, tree = (sorted(map(tuple, quality_bands(df, block_bytes=4000, **kw).collect())) for kw in ({}, {"fan": 3}))
+    assert one == tree and len(one) == len(docs)
+
+
 def test_discounts():
     assert np.allclose(discounts(0, 0, 0, 0), [0, 0.5, 1, 1.5])
     y = 100 / 160

@@ -5,10 +5,14 @@ Documents are hashed into blocks of bounded size, each block into one of two fol
 2 to k that share this suffix meet, so that a gram's cost under the other fold's model can be worked out exactly. Orders 1 and 0
 (at most 65,536 keys a group and fold) and a model's global numbers are summed once and copied to each of these partitions.
 The costs then go back to the blocks that asked. One text shuffle (reused), two shuffles of distinct grams, nothing on the driver.
+
+Lists of distinct grams grow far slower than text. With more than FAN blocks they are therefore merged FAN by FAN on their way to the
+partitions of suffixes, and the costs come back along the same tree, so that no task reads more than FAN lists, however hot its suffix.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -21,6 +25,8 @@ from weftline.llm.common import (byte_grams, count_sorted, encode, expanded, exp
                                  squeezed_sorted, text_bytes, unpack)
 
 BLOCK_BYTES = 32 << 20
+#: Blocks whose grams are merged at once, and the most partitions of suffixes; what one task reads is so bounded at any number of blocks.
+FAN, MOST_PIDS = 256, 4096
 #: Stands for all groups together.
 POOL = "\0"
 
@@ -86,6 +92,48 @@ def _grams_by(order: int, n_pid: int):
     return f
 
 
+def _lists(t: pa.Table, kind) -> dict[tuple, list]:
+    """Each group and fold with its rows' numbers, grams and counts."""
+    rows: dict[tuple, list] = {}
+    for i, (name, fold, g, c) in enumerate(zip(*(t.column(k).to_pylist() for k in ("_grp", "_fold", "_grams", "_ns")))):
+        rows.setdefault((name, fold), []).append((i, expanded_sorted(g, np.int64), expanded(c, kind).astype(np.int64)))
+    return rows
+
+
+def _merge(kind):
+    """One list of grams for each group and fold of the blocks of an _up, which takes the place of their number."""
+
+    def f(t: pa.Table) -> pa.Table:
+        pid, up = t.column("_pid")[0].as_py(), t.column("_up")[0].as_py()
+        rows = []
+        for (name, fold), own in sorted(_lists(t, kind).items()):
+            g, c = count_sorted(np.concatenate([r[1] for r in own]), np.concatenate([r[2] for r in own]))
+            rows.append((name, fold, squeezed_sorted(g), squeezed(c.astype(np.uint64))))
+        n = len(rows)
+        cols = list(zip(*rows))
+        return pa.table({"_pid": pa.array([pid] * n, pa.int32()), "_block": pa.array([up] * n, pa.int32()), "_fold": pa.array(cols[1], pa.int32()), "_grp": pa.array(cols[0], pa.string()), "_grams": pa.array(cols[2], pa.binary()), "_ns": pa.array(cols[3], pa.binary())})
+
+    return f
+
+
+def _split(t: pa.Table, up: pa.Table) -> pa.Table:
+    """The costs of blocks' lists from those of the list that they were merged to."""
+    known = {(n, f): (expanded_sorted(g, np.int64), expanded(b, np.float32)) for n, f, g, b in zip(*(up.column(k).to_pylist() for k in ("_grp", "_fold", "_grams", "_bits")))}
+    bits = []
+    for n, f, g in zip(*(t.column(k).to_pylist() for k in ("_grp", "_fold", "_grams"))):
+        keys, vals = known[n, f]
+        bits.append(squeezed(vals[np.searchsorted(keys, expanded_sorted(g, np.int64))]))
+    return t.select(["_pid", "_block", "_fold", "_grp", "_grams"]).append_column("_bits", pa.array(bits, pa.binary()))
+
+
+_COSTS = "_pid int, _block int, _fold int, _grp string, _grams binary, _bits binary"
+
+
+def _packed_sums(t: pa.Table) -> pa.Table:
+    o = np.argsort(t.column("_key").to_numpy())
+    return pa.table({"_grp": t.column("_grp")[:1], "_fold": t.column("_fold")[:1], "_tag": t.column("_tag")[:1], "_keys": pa.array([squeezed_sorted(t.column("_key").to_numpy()[o])], pa.binary()), "_vals": pa.array([squeezed(t.column("_val").to_numpy()[o])], pa.binary())})
+
+
 def _of_groups(d: pa.Table, block: int, near: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The fold of each document of a block, which its group of copies decides, and whether it is the group's first."""
     k, first = near.column("_k").to_numpy(), near.column("_first").to_numpy()
@@ -114,15 +162,6 @@ def _grams_near(order: int, n_pid: int):
     return f
 
 
-def _by_group(t: pa.Table):
-    """(group name, row numbers) of a table with the column _grp."""
-    d = t.column("_grp").combine_chunks()
-    d = (d.chunk(0) if isinstance(d, pa.ChunkedArray) else d).dictionary_encode()
-    codes = d.indices.to_numpy(zero_copy_only=False)
-    for c, name in enumerate(d.dictionary.to_pylist()):
-        yield name, np.flatnonzero(codes == c)
-
-
 class Low:
     """Global sums of one group and fold: order-1 table by (context byte, symbol), and numbers by tag."""
 
@@ -132,19 +171,19 @@ class Low:
 
 
 def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable, costs: Callable, block_bytes: int = BLOCK_BYTES, least: int = 0,
-             near: DataFrame | None = None):
+             near: DataFrame | None = None, fan: int = FAN):
     """docs: _id, _text, and the group's column grp if any. Returns (packed documents by _block, costs by _block, _fold and _grp: _grams, _bits,
-    both squeezed, and what the block spends on them: _spent and _pooled bits for _count bytes; number of blocks).
+    both squeezed; number of blocks; what each _grp spends: _spent and _pooled bits for _train bytes).
 
     summarize(grams, counts) -> [(tag, key, value)]: what is to be summed over the corpus for a group and fold; tag 0 fills Low.pair.
     costs(query grams, model grams, model counts, Low) -> bits of each query gram under the model.
-    Groups of fewer than least bytes that count are scored with the model of all groups. With least, _pooled is what every block and
+    Groups of fewer than least bytes that count are scored with the model of all groups. With least, _pooled is what every
     group would spend under that model.
     near: _k, _h and _first of documents with copies, docs having _k and _h = xxhash64(_id, _text); documents of a _first lie in one
-    fold, and only the one whose _k it is counts in the model, in _spent and in _count. Of rows with one _k one counts.
+    fold, and only the one whose _k it is counts in the model and in what is spent. Of rows with one _k one counts.
     """
     n = n_blocks(text_bytes(docs, "_text"), block_bytes)
-    n_pid = min(max(8, n), 1 << 16)
+    n_pid = min(max(8, n), MOST_PIDS)
     at = lambda h: F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
     x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), at(F.xxhash64("_id", "_text")), max(n, 2))
     if near is None:
@@ -152,14 +191,19 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
     else:
         near = near.withColumn("_block", at(F.col("_h")).cast("int")).select("_block", "_k", "_first").repartition(max(n, 2), "_block")
         e = x.groupBy("_block").cogroup(near.groupBy("_block")).applyInArrow(_grams_near(order, n_pid), _GRAMS)
+
+    # Blocks' grams are merged FAN by FAN, until FAN or fewer lists of them are left for each partition of suffixes
+    levels, parents = [], 2 * n
+    while parents > fan:
+        parents = math.ceil(parents / fan)
+        e = e.withColumn("_up", (F.col("_block") / fan).cast("int")).repartition(min(n_pid * parents, 4 * n), "_pid", "_up")
+        levels.append(e)
+        e = e.groupBy("_pid", "_up").applyInArrow(_merge(np.uint64 if len(levels) > 1 else np.uint32), _GRAMS)
     e = e.repartition(n_pid, "_pid")
+    wide = np.uint64 if levels else np.uint32
 
     def folds(t: pa.Table):
-        """Each group and fold with its rows' numbers, grams and counts."""
-        rows: dict[tuple, list] = {}
-        for i, (name, fold, g, c) in enumerate(zip(*(t.column(k).to_pylist() for k in ("_grp", "_fold", "_grams", "_ns")))):
-            rows.setdefault((name, fold), []).append((i, expanded_sorted(g, np.int64), expanded(c, np.uint32).astype(np.int64)))
-        return rows
+        return _lists(t, wide)
 
     def merged(rows):
         if not rows:
@@ -188,21 +232,18 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
 
     low = e.groupBy("_pid").applyInArrow(sums, "_grp string, _fold int, _tag int, _key long, _val long").groupBy(
         "_grp", "_fold", "_tag", "_key").agg(F.sum("_val").alias("_val"))
-    low = low.withColumn("_pid", F.explode(F.sequence(F.lit(0), F.lit(n_pid - 1))))
+    # a packed row for each group, fold and kind of sum, copied to every partition of suffixes
+    low = low.groupBy("_grp", "_fold", "_tag").applyInArrow(_packed_sums, "_grp string, _fold int, _tag int, _keys binary, _vals binary").withColumn("_pid", F.explode(F.sequence(F.lit(0), F.lit(n_pid - 1))))
 
     def price(t: pa.Table, lt: pa.Table) -> pa.Table:
         lows: dict[tuple, Low] = {}
-        lf, ltag, lkey, lval = (lt.column(c).to_numpy() for c in ("_fold", "_tag", "_key", "_val"))
-        for name, rows in _by_group(lt) if lt.num_rows else ():
-            for f in (0, 1):
-                own = rows[lf[rows] == f]
-                lo = lows[name, f] = Low()
-                for tag in np.unique(ltag[own]):
-                    r = own[ltag[own] == tag]
-                    if tag == 0:
-                        lo.pair[lkey[r]] = lval[r]
-                    else:
-                        lo.tags[int(tag)] = dict(zip(lkey[r].tolist(), lval[r].tolist()))
+        for name, f, tag, ks, vs in zip(*(lt.column(c).to_pylist() for c in ("_grp", "_fold", "_tag", "_keys", "_vals"))):
+            lo = lows.setdefault((name, f), Low())
+            keys, vals = expanded_sorted(ks, np.int64), expanded(vs, np.int64)
+            if tag == 0:
+                lo.pair[keys] = vals
+            else:
+                lo.tags[tag] = dict(zip(keys.tolist(), vals.tolist()))
         rows = pooled(folds(t))
         out: list = [None] * t.num_rows
         spent, pool, count = np.zeros(t.num_rows), np.zeros(t.num_rows), np.zeros(t.num_rows, np.int64)
@@ -220,14 +261,22 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
                         continue
                 out[i] = squeezed(b[at].astype(np.float32))
                 spent[i], count[i] = (b[at] * n).sum(), n.sum()
-        return pa.table({"_block": t.column("_block"), "_fold": t.column("_fold"), "_grp": t.column("_grp"), "_grams": t.column("_grams"), "_bits": pa.array(out, pa.binary()),
+        return pa.table({"_pid": t.column("_pid"), "_block": t.column("_block"), "_fold": t.column("_fold"), "_grp": t.column("_grp"), "_grams": t.column("_grams"), "_bits": pa.array(out, pa.binary()),
                          "_spent": spent, "_pooled": pool, "_count": count})
 
-    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, "_block int, _fold int, _grp string, _grams binary, _bits binary, _spent double, _pooled double, _count long")
-    c = c.repartition(max(n, 2), "_block")
+    c = e.groupBy("_pid").cogroup(low.groupBy("_pid")).applyInArrow(price, _COSTS + ", _spent double, _pooled double, _count long")
+    spent = c.groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train"))
+    if not levels:
+        c = c.repartition(max(n, 2), "_block")
+        spent = c.groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train"))
+    for e in reversed(levels):
+        c = e.groupBy("_pid", "_up").cogroup(c.select(*[F.col(k.split()[0]) for k in _COSTS.split(", ")]).withColumnRenamed("_block", "_up").groupBy("_pid", "_up")).applyInArrow(_split, _COSTS)
+    if levels:
+        c = c.repartition(max(n, 2), "_block")
+    c = c.select("_block", "_fold", "_grp", "_grams", "_bits")
     if near is not None:
         c = c.withColumn("_k", F.lit(None).cast("long")).withColumn("_first", F.lit(None).cast("long")).unionByName(near, allowMissingColumns=True)
-    return x, c, n
+    return x, c, n, spent
 
 
 def score(order: int):

@@ -1,7 +1,7 @@
 """Operator 1, language-model scoring: prediction by partial matching over a byte-context trie.
 
 The trie of byte contexts up to ORDER bytes is counted over all documents. Each document is scored with the trie of the other
-half of the corpus (two folds by hash), so that its own text never predicts it. Escape estimation is method C: a context seen T
+half of the corpus (two folds by hash of id and text), so that a row never predicts itself; copies under other ids may. Escape estimation is method C: a context seen T
 times with q distinct next bytes gives c/(T+q) to a byte seen c times and q/(T+q) to the escape. On escape, bytes that the longer
 context offered are excluded from T and q of the shorter one; below order 0 the bytes not yet excluded are equally likely.
 Since a byte's code length depends on its last ORDER bytes alone, it is worked out once for each distinct gram (gram_exchange).
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import count_sorted, find, pick, table, unpack
-from weftline.llm.gram_exchange import BLOCK_BYTES, Low, exchange, score
+from weftline.llm.gram_exchange import BLOCK_BYTES, FAN, Low, exchange, score
 
 ORDER = 4
 
@@ -72,15 +72,16 @@ def _low_counts(cnts, k):
     return cnts[k - 1]
 
 
-def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def ppm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, bits, bits_per_byte for every row.
 
-    A null text has null figures; an empty one 0 bytes, 0 bits and a null rate. Repeated rows are scored each. A document whose other
+    A null text has null figures; an empty one 0 bytes, 0 bits and a null rate. Repeated rows are scored each; texts of any length are
+    scored whole; other columns don't matter. A document whose other
     fold is empty (a table of one document) costs 8 bits a byte. Texts start in a context of zero bytes. order: 2 to 6.
     """
     if not 2 <= order <= 6:
         raise ValueError("order must be 2 to 6")
-    x, c, _ = exchange(pick(docs, _id=id_col, _text=text_col), None, order, _summarize, ppm_bits(order), block_bytes)
+    x, c, *_ = exchange(pick(docs, _id=id_col, _text=text_col), None, order, _summarize, ppm_bits(order), block_bytes, fan=fan)
     run = score(order)
 
     def rate(z: pa.Table, costs: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import count_sorted, find, flat, pick, table, unpack, written
-from weftline.llm.gram_exchange import Low, _of_groups, exchange, score
+from weftline.llm.gram_exchange import FAN, Low, _of_groups, exchange, score
 from weftline.llm.near_copies import near_groups
 
 ORDER = 4
@@ -95,12 +95,12 @@ def kn_bits(order: int):
     return f
 
 
-def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """docs: _id, _text, _lang and others. Returns its packed blocks, and for each row of a block, by _block and _row: _id, _grp, _size,
     _rate (bits a byte), the bounds _lo and _hi, null where there are no bytes, and _keep."""
     docs = docs.withColumn("_h", F.xxhash64("_id", "_text")).withColumn("_lk", F.xxhash64("_lang")).withColumn("_k", F.xxhash64("_h", "_lk"))
     near = written(near_groups(docs), "near")
-    x, c, n = exchange(docs.drop("_h", "_lk"), "_lang", order, kn_summary(order), kn_bits(order), block_bytes, max(least, 1), near)
+    x, c, n, spent = exchange(docs.drop("_h", "_lk"), "_lang", order, kn_summary(order), kn_bits(order), block_bytes, max(least, 1), near, fan)
     run = score(order)
 
     def rate(z: pa.Table, costs: pa.Table) -> pa.Table:
@@ -119,7 +119,7 @@ def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: floa
     own = r.filter("_counts and _rate is not null").groupBy("_grp").agg(q.alias("_q"), F.count("*").alias("_docs")).select("_grp", "_docs", ((F.col("_q")[1] - F.col("_q")[0]) / 1.349).alias("_own"))
     pool = own.agg((F.sum(F.col("_own") * F.col("_docs")) / F.sum("_docs")).alias("_usual"))
     spread = own.crossJoin(pool).select("_grp", ((F.col("_own") * F.col("_docs") + F.col("_usual") * PRIOR_DOCS) / (F.col("_docs") + PRIOR_DOCS)).alias("_width"))
-    by = c.filter("_grams is not null").groupBy("_grp").agg(F.sum("_spent").alias("_spent"), F.sum("_pooled").alias("_pooled"), F.sum("_count").alias("_train")).withColumn("_under", F.col("_pooled") / F.col("_train"))
+    by = spent.withColumn("_under", F.col("_pooled") / F.col("_train"))
     mean = by.agg((F.sum("_pooled") / F.sum("_train")).alias("_mean"), F.sum("_train").alias("_all"), F.sum(F.col("_under") * F.col("_pooled")).alias("_sq")).select(
         "_mean", "_all", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("_all") - F.col("_mean") * F.col("_mean"))).alias("_spread"))
     weight, small = F.col("_train") / (F.col("_train") + PRIOR_BYTES), F.col("_train") < least
@@ -136,7 +136,7 @@ def _lang(col: str):
 
 
 def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, lower: float = LOWER,
-                  upper: float = UPPER, slack: float = SLACK, least_bytes: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  upper: float = UPPER, slack: float = SLACK, least_bytes: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, lower, upper and keep for every row.
 
     Null, empty and blank texts are rejected, with null figures where there are no bytes. A null language counts as one of its own.
@@ -144,7 +144,7 @@ def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of any length are judged whole, rows on a bound are kept. Other columns don't matter.
     """
     d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
-    _, r = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes)
+    _, r = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes, fan)
     two = lambda c: F.round(F.pow(F.lit(2.0), F.col(c)), 6)
     return r.select(F.col("_id").alias("doc_id"), F.when(F.col("_grp") != "", F.col("_grp")).alias("lang"), F.col("_size").alias("n_bytes"), two("_rate").alias("perplexity"),
                     two("_lo").alias("lower"), two("_hi").alias("upper"), F.col("_keep").alias("keep"))
