@@ -59,3 +59,24 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
         out = f(spark, empty, str(tmp_path))
         assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Repeated rows, nulls in every column, a very long text and columns of clashing names."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(["ba", "rin", "to", "mel", "ku", "sa"]) for _ in range(rng.randrange(1, 4)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    item, twice, long = text(30), text(90), text(80_000)
+    rows = [(i, text(100), "en", "s", 1) for i in range(120)] + [(500, twice, "en", "s", 2)] * 3 + [(501, twice, "en", "s", 2), (600, long, "en", None, None), (None, text(100), "en", "s", 3), (None, None, None, None, None), (700, text(100), None, None, None),
+                                                                                           (800, text(40) + " " + item, "en", "s", 1), (801, "  ", "en", "s", 2)]
+    schema = DOCS + ", _text string, _id int, tokens string, _k long, _block int, _c0 int, key string"
+    spark.createDataFrame([(*r, "x", 1, "t", 5, 7, 9, "k") for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path))
+    assert [c for c in out.columns if c not in ("tokens", "n_tokens")] == ["doc_id", "text", "lang", "source", "n_chars", "_text", "_id", "_k", "_block", "_c0", "key"]
+    got = out.select("doc_id", "text", "n_tokens", "tokens", "_k").collect()
+    ids = sorted(r.doc_id for r in got if r.doc_id is not None)
+    assert ids.count(500) == 3 and not {501, 800, 801} & set(ids) and len(set(ids) & set(range(120))) >= 110
+    assert sum(r.doc_id is None for r in got) == 1  # of the rows without an id, the one with a text
+    enc = codec(VOCABULARY).enc
+    assert all(r._k == 5 and r.n_tokens == len(enc.encode_ordinary(r.text)) for r in got)

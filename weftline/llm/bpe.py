@@ -250,7 +250,8 @@ def encode_documents(docs: DataFrame, text: str, vocabulary: str, block_bytes: i
     names = docs.columns
     n = n_blocks(text_bytes(docs, text), block_bytes)
     buckets = max(8, n // 4)
-    x = packed(docs, F.pmod(F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")]), F.lit(n)), max(n // 4, 2))
+    # with the task's number, so that rows that are repeated very often don't meet in one block; a task that is run again has the same
+    x = packed(docs, F.pmod(F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")], F.spark_partition_id()), F.lit(n)), max(n // 4, 2))
     kind = codec(vocabulary).kind
 
     def send(z: pa.Table) -> pa.Table:

@@ -185,7 +185,10 @@ def exchange(docs: DataFrame, grp: str | None, order: int, summarize: Callable,
     n = n_blocks(text_bytes(docs, "_text"), block_bytes)
     n_pid = min(max(8, n), MOST_PIDS)
     at = lambda h: F.pmod(F.shiftright(h, 8), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
-    x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), at(F.xxhash64("_id", "_text")), max(n, 2))
+    h = F.xxhash64("_id", "_text")
+    # rows that are repeated very often don't meet in one block; a task that is run again has the same number
+    block = at(h) if near is not None else F.pmod(F.xxhash64("_id", "_text", F.spark_partition_id()), F.lit(n)) * 2 + F.pmod(h, F.lit(2))
+    x = packed(docs.withColumn("_grp", F.col(grp) if grp else F.lit("")), block, max(n, 2))
     if near is None:
         e = x.mapInArrow(_grams_by(order, n_pid), _GRAMS)
     else:
