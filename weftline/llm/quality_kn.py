@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from weftline.llm.common import count_sorted, find, flat, pick, table, unpack, written
+from weftline.llm.common import count_sorted, find, flat, packed, pick, table, unpack, written
 from weftline.llm.gram_exchange import FAN, Low, _of_groups, exchange, score
 from weftline.llm.near_copies import near_groups
 
@@ -95,10 +96,10 @@ def kn_bits(order: int):
     return f
 
 
-def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
-    """docs: _id, _text, _lang and others. Returns its packed blocks, and for each row of a block, by _block and _row: _id, _grp, _size,
-    _rate (bits a byte), the bounds _lo and _hi, null where there are no bytes, and _keep."""
-    docs = docs.withColumn("_h", F.xxhash64("_id", "_text")).withColumn("_lk", F.xxhash64("_lang")).withColumn("_k", F.xxhash64("_h", "_lk"))
+def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: float, least: int, block_bytes: int, fan: int = FAN) -> tuple[DataFrame, int]:
+    """docs: _id, _text, _lang. Returns for each row _k (key of id, text and language), _id, _grp, _size, _rate (bits a byte), the bounds _lo and
+    _hi, null where there are no bytes, and _keep; and the number of blocks."""
+    docs = _keyed(docs)
     near = written(near_groups(docs), "near")
     x, c, n, spent = exchange(docs.drop("_h", "_lk"), "_lang", order, kn_summary(order), kn_bits(order), block_bytes, max(least, 1), near, fan)
     run = score(order)
@@ -108,27 +109,35 @@ def _judged(docs: DataFrame, order: int, lower: float, upper: float, slack: floa
         size, bits = run(z.column("_block")[0].as_py(), d, costs)
         with np.errstate(divide="ignore", invalid="ignore"):
             per = bits / size
-        counts = _of_groups(d, z.column("_block")[0].as_py(), costs.filter(pc.is_valid(costs.column("_k"))))[1]
+        k = d.column("_k").to_numpy()
+        once = np.zeros(len(k), bool)
+        once[np.unique(k, return_index=True)[1]] = True
+        counts = once & _of_groups(d, z.column("_block")[0].as_py(), costs.filter(pc.is_valid(costs.column("_k"))))[1]
         blank = [not (t or "").strip() for t in d.column("_text").to_pylist()]
-        return pa.table({"_block": pa.array([z.column("_block")[0].as_py()] * len(size), pa.int32()), "_row": pa.array(np.arange(len(size), dtype=np.int32)), "_id": d.column("_id"),
+        return pa.table({"_k": d.column("_k"), "_id": d.column("_id"),
                          "_grp": d.column("_grp"), "_size": pa.array(size), "_rate": pa.array(per, mask=size == 0), "_blank": pa.array(blank), "_counts": pa.array(counts)})
 
     kind = docs.schema["_id"].dataType.simpleString()
-    r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_block int, _row int, _id {kind}, _grp string, _size long, _rate double, _blank boolean, _counts boolean").repartition(max(n, 2), "_block")
-    q = F.percentile_approx("_rate", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))  # one pass, merged from the tasks' summaries
-    own = r.filter("_counts and _rate is not null").groupBy("_grp").agg(q.alias("_q"), F.count("*").alias("_docs")).select("_grp", "_docs", ((F.col("_q")[1] - F.col("_q")[0]) / 1.349).alias("_own"))
-    pool = own.agg((F.sum(F.col("_own") * F.col("_docs")) / F.sum("_docs")).alias("_usual"))
-    spread = own.crossJoin(pool).select("_grp", ((F.col("_own") * F.col("_docs") + F.col("_usual") * PRIOR_DOCS) / (F.col("_docs") + PRIOR_DOCS)).alias("_width"))
+    r = x.groupBy("_block").cogroup(c.groupBy("_block")).applyInArrow(rate, f"_k long, _id {kind}, _grp string, _size long, _rate double, _blank boolean, _counts boolean")
     by = spent.withColumn("_under", F.col("_pooled") / F.col("_train"))
     mean = by.agg((F.sum("_pooled") / F.sum("_train")).alias("_mean"), F.sum("_train").alias("_all"), F.sum(F.col("_under") * F.col("_pooled")).alias("_sq")).select(
         "_mean", "_all", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") / F.col("_all") - F.col("_mean") * F.col("_mean"))).alias("_spread"))
     weight, small = F.col("_train") / (F.col("_train") + PRIOR_BYTES), F.col("_train") < least
     centre = by.crossJoin(mean).select("_grp", F.when(small, weight * F.col("_under") + (1 - weight) * F.col("_mean")).otherwise(F.col("_spent") / F.col("_train")).alias("_centre"),
                                        F.when(small, 2 * F.col("_spread") * F.sqrt(1 - weight) + 8 * PRIOR_BYTES / (F.col("_all") + PRIOR_BYTES)).otherwise(0.0).alias("_wider"))
-    r = r.join(centre, "_grp", "left").join(spread, "_grp", "left")
+    r = written(r.join(centre, "_grp", "left"), "rates")  # some 50 bytes a document, so that nothing is scored twice
+    q = F.percentile_approx("_rate", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))  # one pass, merged from the tasks' summaries
+    own = r.filter("_counts and _rate is not null").groupBy("_grp").agg(q.alias("_q"), F.count("*").alias("_docs")).select("_grp", "_docs", ((F.col("_q")[1] - F.col("_q")[0]) / 1.349).alias("_own"))
+    pool = own.agg((F.sum(F.col("_own") * F.col("_docs")) / F.sum("_docs")).alias("_usual"))
+    spread = own.crossJoin(pool).select("_grp", ((F.col("_own") * F.col("_docs") + F.col("_usual") * PRIOR_DOCS) / (F.col("_docs") + PRIOR_DOCS)).alias("_width"))
+    r = r.join(spread, "_grp", "left")
     side = F.lit(float(slack)) / F.sqrt(F.nullif(F.col("_size"), F.lit(0))) + F.col("_wider")
     r = r.withColumn("_lo", F.col("_centre") - F.col("_width") * lower - side).withColumn("_hi", F.col("_centre") + F.col("_width") * upper + side)
-    return x, r.withColumn("_keep", ~F.col("_blank") & F.col("_rate").between(F.col("_lo"), F.col("_hi")))
+    return r.withColumn("_keep", ~F.col("_blank") & F.col("_rate").between(F.col("_lo"), F.col("_hi"))), n
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_h", F.xxhash64("_id", "_text")).withColumn("_lk", F.xxhash64("_lang")).withColumn("_k", F.xxhash64("_h", "_lk"))
 
 
 def _lang(col: str):
@@ -144,7 +153,7 @@ def quality_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of any length are judged whole, rows on a bound are kept. Other columns don't matter.
     """
     d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
-    _, r = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes, fan)
+    r, _ = _judged(d.withColumn("_lang", _lang("_lang")), order, lower, upper, slack, least_bytes, block_bytes, fan)
     two = lambda c: F.round(F.pow(F.lit(2.0), F.col(c)), 6)
     return r.select(F.col("_id").alias("doc_id"), F.when(F.col("_grp") != "", F.col("_grp")).alias("lang"), F.col("_size").alias("n_bytes"), two("_rate").alias("perplexity"),
                     two("_lo").alias("lower"), two("_hi").alias("upper"), F.col("_keep").alias("keep"))
@@ -157,13 +166,19 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     back = {at[text_col]: "_text", at[id_col]: "_id"}
     cols = [back.get(c, c) for c in f.columns]
     f = f.toDF(*cols)
-    x, r = _judged(f.withColumn("_lang", _lang(at[lang_col])), p["order"], p["lower"], p["upper"], p["slack"], p["least_bytes"], p["block_bytes"])
-
-    def keep(z: pa.Table, kept: pa.Table) -> pa.Table:
-        d = unpack(z).select(cols)
-        return d.take(kept.column("_row").sort() if kept.num_rows else pa.array([], pa.int32()))
+    own = f.withColumn("_lang", _lang(at[lang_col]))
+    r, n = _judged(own.select("_id", "_text", "_lang"), p["order"], p["lower"], p["upper"], p["slack"], p["least_bytes"], p["block_bytes"])
+    block = F.pmod("_k", F.lit(2 * n)).cast("int")
+    kept = r.filter("_keep").select("_k").distinct().withColumn("_block", block).repartition(max(n, 2), "_block")
+    x = packed(_keyed(own).select(*cols, "_k"), block, max(n, 2))
+
+    def keep(z: pa.Table, k: pa.Table) -> pa.Table:
+        if not z.num_rows:
+            return schema.empty_table()
+        d = unpack(z)
+        return d.select(cols).filter(pc.is_in(d.column("_k"), value_set=k.column("_k").combine_chunks()))
 
-    kept = r.filter("_keep").select("_block", "_row")
+    schema = to_arrow_schema(f.schema)
     return x.groupBy("_block").cogroup(kept.groupBy("_block")).applyInArrow(keep, f.schema).toDF(*docs.columns)
 
 
