@@ -186,3 +186,63 @@ def test_command_line(spark, site, tmp_path, capsys):
     before = dict(_Site.seen)
     assert cli.main(["--crawl", f"{site}/", "-o", out, "--depth", "2", "--retries", "0"]) == 0
     assert all(before[p] == _Site.seen[p] for p in ("/", "/a", "/b"))  # levels that are there aren't fetched again
+
+
+def test_queue(spark, tmp_path):
+    from weftline.streaming.queues import FileQueue
+
+    q = FileQueue(spark, str(tmp_path), "tasks", "url string, depth int, _priority int")
+    assert q.size() == 0
+    q.publish(spark.createDataFrame([("a", 0), ("b", 99)], "url string, depth int"), "depth")
+    got = []
+    q.consume(lambda d, i: got.extend((r.url, r._priority) for r in d.collect()))
+    q.publish(spark.createDataFrame([("c", 1)], "url string, depth int"))
+
+    def fail(d, i):
+        raise ValueError("not now")
+
+    with pytest.raises(Exception, match="not now"):
+        q.consume(fail)
+    q.consume(lambda d, i: got.extend((r.url, r._priority) for r in d.collect()))
+    assert sorted(got, key=str) == [("a", 0), ("b", 10), ("c", None)] and q.size() == 3
+    q.delete()
+    assert q.size() == 0
+
+
+def test_pdf_rows(spark):
+    from weftline.sources.pdf import available, pdf_texts
+
+    r = pdf_texts(spark.createDataFrame([("p", b"%PDF-broken"), ("q", None)], "path string, content binary")).collect()
+    assert [x.success for x in r] == [False, False] and all(x.error for x in r) and (available() or r[0].error == "no PDF library")
+
+
+def test_kept_html_and_cache(spark):
+    from weftline.operators import state as T
+
+    p = spark.createDataFrame([("u", "<p>"), ("v", None)], "url string, html string")
+    assert T.kept_html(p, "memory")[0].columns == ["url", "html"] and T.kept_html(p, "none")[0].columns == ["url"]
+    left, stored = T.kept_html(p, "file")
+    assert left.join(stored, left.stored == stored.name).select("url", "html").collect() == [("u", "<p>")] and left.columns == ["url", "stored"]
+    with pytest.raises(ValueError):
+        T.kept_html(p, "tape")
+    new = T.with_entries(p, spark.createDataFrame([("v", "<b>"), ("w", "x")], "url string, html string"))
+    assert sorted(map(tuple, new.collect())) == [("u", "<p>"), ("v", "<b>"), ("w", "x")]
+    assert [r.url for r in T.without_urls(p, new.filter("url <> 'u'")).collect()] == ["u"]
+
+
+def test_cron_and_patterns():
+    from datetime import datetime
+
+    from weftline.functions.urls import checked_patterns, composite
+    from weftline.operators.jobs import next_cron
+
+    at = datetime(2024, 2, 28, 23, 59, 30)
+    want = {"* * * * *": "02-29 00:00", "5 4 * * *": "02-29 04:05", "0 0 29 2 *": "02-29 00:00", "0 12 * * 1-5": "02-29 12:00", "0 0 * * 7": "03-03 00:00", "*/20 8-9 1 3,5 *": "03-01 08:00", "0 0 13 * 5": "03-01 00:00"}
+    assert {e: next_cron(e, at).strftime("%m-%d %H:%M") for e in want} == want
+    for bad in ("* * * *", "60 * * * *", "* * * * 8", "0 0 30 2 *", "a * * * *", "*/0 * * * *"):
+        with pytest.raises(ValueError):
+            next_cron(bad, at)
+    assert checked_patterns("a+", "b") == ["a+", "b"]
+    for f in (lambda: checked_patterns("("), lambda: composite([])):
+        with pytest.raises(ValueError):
+            f()

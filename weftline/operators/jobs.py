@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +53,72 @@ def next_runs(schedules: DataFrame, now: Column, most: int = 5) -> DataFrame:
     return schedules.filter("enabled").select("id", due.alias("next_run")).orderBy("next_run", "id").limit(most)
 
 
+def scheduled(schedules: DataFrame, add: DataFrame | None = None, remove: tuple = (), enable: tuple = (), disable: tuple = ()) -> DataFrame:
+    """schedules(id, enabled, last_run, every_seconds) after changes: rows of `add` take the place of their ids, the named ids go or are switched."""
+    d = schedules
+    if add is not None:
+        d = d.join(add.select("id"), "id", "left_anti").unionByName(add)
+    d = d.filter(~F.col("id").isin(*remove)) if remove else d
+    on = F.col("enabled")
+    on = F.when(F.col("id").isin(*enable), True).otherwise(on) if enable else on
+    return d.withColumn("enabled", F.when(F.col("id").isin(*disable), False).otherwise(on) if disable else on)
+
+
+def _cron_field(text: str, low: int, high: int) -> frozenset[int]:
+    out: set[int] = set()
+    for part in text.split(","):
+        span, _, step = part.partition("/")
+        a, _, b = span.partition("-")
+        first, last = (low, high) if span == "*" else (int(a), int(b) if b else high if step else int(a))
+        if not (low <= first <= last <= high) or (step and int(step) < 1):
+            raise ValueError(f"bad cron field: {text}")
+        out |= set(range(first, last + 1, int(step or 1)))
+    return frozenset(out)
+
+
+def next_cron(expression: str, after: datetime) -> datetime:
+    """The first minute after `after` that a cron expression of five fields names; weekdays 0 and 7 are Sunday. ValueError for others."""
+    fields = expression.split()
+    if len(fields) != 5:
+        raise ValueError(f"bad cron expression: {expression}")
+    minutes, hours, days, months = (_cron_field(f, *r) for f, r in zip(fields, ((0, 59), (0, 23), (1, 31), (1, 12))))
+    week = frozenset(d % 7 for d in _cron_field(fields[4], 0, 7))
+    either = fields[2] != "*" and fields[4] != "*"  # then one of the two is enough
+    t = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    for _ in range(366 * 5):
+        in_month, in_week = t.day in days, (t.weekday() + 1) % 7 in week
+        if t.month in months and ((in_month or in_week) if either else (in_month and in_week)):
+            for h in sorted(x for x in hours if x >= t.hour):
+                m = min((x for x in minutes if h > t.hour or x >= t.minute), default=None)
+                if m is not None:
+                    return t.replace(hour=h, minute=m)
+        t = t.replace(hour=0, minute=0) + timedelta(days=1)
+    raise ValueError(f"no such day: {expression}")
+
+
+def next_cron_run(expression: Column, after: Column) -> Column:
+    """next_cron as a column; null for null and for what isn't an expression."""
+    def run(e, a):
+        try:
+            return None if e is None or a is None else next_cron(e, a)
+        except ValueError:
+            return None
+
+    return F.udf(run, "timestamp", useArrow=True)(expression, after)
+
+
 def live_proxies(proxies: DataFrame, now: Column, failures: int = 5, rest_seconds: int = 300) -> DataFrame:
     """proxies(id, requests, failed, failed_in_row, failed_at) that may be used, with success_rate (100 without requests)."""
     ok = (F.col("failed_in_row") < failures) | (F.col("failed_at") + F.make_interval(secs=F.lit(rest_seconds)) <= now)
     return proxies.filter(ok).withColumn("success_rate", F.when(F.col("requests") > 0, (F.col("requests") - F.col("failed")) * 100.0 / F.col("requests")).otherwise(100.0))
 
 
-def chosen_proxy(proxies: DataFrame, strategy: str = "least_used") -> DataFrame:
-    """The proxy of fewest requests, or of the best rate; the least id among equals."""
-    key = F.col("requests").cast("double") if strategy == "least_used" else -F.col("success_rate")
+def chosen_proxy(proxies: DataFrame, strategy: str = "least_used", seed: int = 0) -> DataFrame:
+    """The proxy of fewest requests, of the best rate, or a random one, by a hash of id and seed; the least id among equals."""
+    if strategy == "random":
+        key = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
+    else:
+        key = F.col("requests").cast("double") if strategy == "least_used" else -F.col("success_rate")
     return proxies.agg(F.min_by("id", F.struct(key, "id")).alias("id"))
 
 

@@ -26,8 +26,12 @@ def rolling_mean(df: DataFrame, key: str, order: list[str], value: str, last: in
     return df.withColumn("rolling", F.when(F.count(value).over(w) >= least, F.avg(value).over(w)))
 
 
-def within_budget(df: DataFrame, key: str, order: list[str], size: str, max_items: int | None = None, max_size: float | None = None) -> DataFrame:
-    """Rows of each key before its budget of items or of summed size is used up: a row goes in while what came before is under both."""
+def within_budget(df: DataFrame, key: str, order: list[str], size: str, max_items: int | None = None, max_size: float | None = None, max_seconds: float | None = None, at: str | None = None) -> DataFrame:
+    """Rows of each key before its budget of items, of summed size or of time (of column at, from its first row on) is used up: a row goes in while what came before is under all."""
+    if max_seconds is not None:
+        df = df.withColumn("_first", F.min(at).over(Window.partitionBy(key))).filter(F.col(at) - F.col("_first") < max_seconds).drop("_first")
+    if max_items is None and max_size is None:
+        return df
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     d = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_s", F.coalesce(F.sum(size).over(w), F.lit(0)))
     if max_items is not None:

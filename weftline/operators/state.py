@@ -6,16 +6,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def recrawl_decisions(current: DataFrame, state: DataFrame) -> DataFrame:
-    """url, crawl and reason of current(url, etag, last_modified, content_hash) against state of the same columns."""
-    s = state.select("url", *[F.col(c).alias(f"_{c}") for c in ("etag", "last_modified", "content_hash")], F.lit(True).alias("_known"))
-    both = lambda c: F.col(c).isNotNull() & F.col(f"_{c}").isNotNull()
-    reason = F.when(F.col("_known").isNull(), "new")
-    for c in ("etag", "last_modified", "content_hash"):
-        reason = reason.when(both(c) & (F.col(c) != F.col(f"_{c}")), f"{c}_changed")
-    known = both("etag") | both("last_modified") | both("content_hash")
-    reason = reason.when(known, "unchanged").otherwise("no_validators")
-    return current.join(s, "url", "left").withColumn("reason", reason).select("url", (F.col("reason") != "unchanged").alias("crawl"), "reason")
+def recrawl_decisions(current: DataFrame, state: DataFrame, force: Column | None = None, oldest: Column | None = None) -> DataFrame:
+    """url, crawl and reason of current(url, etag, last_modified, content_hash) against state of the same columns and last_crawled.
+
+    The first of these decides: force (a condition on current), a new URL, a last crawl before `oldest`; then the first of etag, last_modified
+    and content hash that both sides have, whether it matches or not. Without any the URL is crawled.
+    """
+    s = state.select("url", *[F.col(c).alias(f"_{c}") for c in ("etag", "last_modified", "content_hash", *(["last_crawled"] if oldest is not None else []))], F.lit(True).alias("_known"))
+    reason = F.when(F.coalesce(force, F.lit(False)), "forced").when(F.col("_known").isNull(), "new_url") if force is not None else F.when(F.col("_known").isNull(), "new_url")
+    if oldest is not None:
+        reason = reason.when(F.col("_last_crawled") < oldest, "expired")
+    for c, name in (("etag", "etag"), ("last_modified", "last_modified"), ("content_hash", "content")):
+        both = F.col(c).isNotNull() & F.col(f"_{c}").isNotNull()
+        reason = reason.when(both & (F.col(c) == F.col(f"_{c}")), f"{name}_match").when(both, f"{name}_changed")
+    return current.join(s, "url", "left").withColumn("reason", reason.otherwise("no_comparison_data")).select("url", (~F.col("reason").endswith("_match")).alias("crawl"), "reason")
+
+
+def without_urls(table: DataFrame, urls: DataFrame) -> DataFrame:
+    """A state or cache without the rows of urls(url)."""
+    return table.join(urls.select("url").distinct(), "url", "left_anti")
+
+
+def with_entries(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """A cache(url, ...) in which new rows take the place of those of their URLs."""
+    return without_urls(cache, new).unionByName(new)
+
+
+def kept_html(pages: DataFrame, mode: str, html: str = "html") -> tuple[DataFrame, DataFrame | None]:
+    """pages and, apart from them, what is to be stored: mode memory leaves html in place, file moves it to a table (name, html) that the column stored names, none drops it."""
+    if mode == "memory":
+        return pages, None
+    if mode not in ("file", "none"):
+        raise ValueError(f"unknown mode of storage: {mode}")
+    if mode == "none":
+        return pages.drop(html), None
+    name = F.concat(F.md5("url"), F.lit(".html"))
+    there = F.col(html).isNotNull()
+    return pages.withColumn("stored", F.when(there, name)).drop(html), pages.filter(there).select(name.alias("name"), html)
 
 
 def conditional_headers(state: DataFrame) -> DataFrame:

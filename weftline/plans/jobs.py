@@ -43,7 +43,30 @@ def proxy_rates(spark, d):
 
 def proxy_choice(spark, d):
     p = _proxies(spark, d)
-    return J.chosen_proxy(p).withColumn("strategy", F.lit("least_used")).unionByName(J.chosen_proxy(p, "best").withColumn("strategy", F.lit("best")))
+    one = lambda s: J.chosen_proxy(p, s, 7).withColumn("strategy", F.lit(s))
+    return one("least_used").unionByName(one("best")).unionByName(one("random"))
+
+
+def cron_runs(spark, d):
+    """Orders as schedules with one of four expressions; the next run after the order's day."""
+    e = F.get(F.array(*[F.lit(x) for x in ("30 2 * * *", "0 */6 * * *", "15 4 1 * *", "0 0 * * 0")]), F.pmod("o_orderkey", F.lit(4)).cast("int"))
+    n = J.next_cron_run(e, F.col("o_orderdate").cast("timestamp"))
+    return _t(spark, d, "orders").select("o_orderkey", F.date_format(n, "yyyy-MM-dd HH:mm").alias("next_run"))
+
+
+def changed_schedules(spark, d):
+    """Suppliers as schedules: some get another interval, some go, some are switched."""
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.pmod("s_suppkey", F.lit(2)) == 0).alias("enabled"), F.lit(None).cast("timestamp").alias("last_run"), F.lit(60.0).alias("every_seconds"))
+    add = s.withColumn("id", F.when(F.pmod("id", F.lit(5)) == 0, F.col("id")).otherwise(F.col("id") + 1_000_000)).withColumn("every_seconds", F.lit(5.0))
+    return J.scheduled(s, add, remove=(1, 5), enable=(3,), disable=(4,)).select("id", "enabled", "every_seconds")
+
+
+def budget_of_time(spark, d):
+    """A user's events within 40 days of the first."""
+    from weftline.operators.ordered import within_budget
+
+    e = _t(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    return within_budget(e, "user_id", ["t", "event_id"], "event_id", max_seconds=40 * 86400.0, at="t").select("event_id")
 
 
 def crawl_tasks(spark, d):
@@ -76,7 +99,11 @@ QUERIES = {
  FROM (SELECT p_partkey, p_partkey % 4 AS k, CASE WHEN p_partkey % 4 = 1 THEN 'blocked_extension' WHEN p_size * 5 > 200 THEN 'too_large' END AS reason FROM part)"""),
     "upcoming_runs": (upcoming_runs, "SELECT o_orderkey AS id, strftime(o_orderdate::TIMESTAMP + INTERVAL 1 DAY, '%Y-%m-%d') AS day FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate, o_orderkey LIMIT 5"),
     "proxy_rates": (proxy_rates, f"WITH {_PX} SELECT id, round(rate, 6)::DOUBLE AS success_rate FROM l"),
-    "proxy_choice": (proxy_choice, f"WITH {_PX} (SELECT id, 'least_used' AS strategy FROM l ORDER BY requests, id LIMIT 1) UNION ALL (SELECT id, 'best' FROM l ORDER BY rate DESC, id LIMIT 1)"),
+    "proxy_choice": (proxy_choice, f"WITH {_PX} (SELECT id, 'least_used' AS strategy FROM l ORDER BY requests, id LIMIT 1) UNION ALL (SELECT id, 'best' FROM l ORDER BY rate DESC, id LIMIT 1) UNION ALL (SELECT id, 'random' FROM l ORDER BY md5(id || ':7'), id LIMIT 1)"),
+    "cron_runs": (cron_runs, """SELECT o_orderkey, strftime(CASE o_orderkey % 4 WHEN 0 THEN d + INTERVAL 150 MINUTE WHEN 1 THEN d + INTERVAL 6 HOUR WHEN 2 THEN CASE WHEN day(d) = 1 THEN d ELSE date_trunc('month', d) + INTERVAL 1 MONTH END + INTERVAL 255 MINUTE ELSE d + INTERVAL 1 DAY * (7 - dayofweek(d)) END, '%Y-%m-%d %H:%M') AS next_run
+ FROM (SELECT o_orderkey, o_orderdate::TIMESTAMP AS d FROM orders)"""),
+    "changed_schedules": (changed_schedules, "SELECT id, CASE id WHEN 3 THEN true WHEN 4 THEN false ELSE e END AS enabled, s::DOUBLE AS every_seconds FROM (SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS e, CASE WHEN s_suppkey % 5 = 0 THEN 5.0 ELSE 60.0 END AS s FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_suppkey % 2 = 0, 5.0 FROM supplier WHERE s_suppkey % 5 > 0) WHERE id NOT IN (1, 5)"),
+    "budget_of_time": (budget_of_time, "SELECT event_id FROM (SELECT event_id, epoch_us(ts) / 1e6 AS t, min(epoch_us(ts)) OVER (PARTITION BY user_id) / 1e6 AS f FROM events) WHERE t - f < 40 * 86400"),
     "crawl_tasks": (crawl_tasks, """SELECT page_id, md5(CASE WHEN u LIKE '%/' AND u NOT LIKE '%//' THEN u[:-2] ELSE u END || ':' || (page_id % 13) || ':t') AS task, greatest(0, 10 - page_id % 13)::INT AS priority FROM (SELECT page_id, regexp_replace(url,'#.*$','') AS u FROM pages)"""),
     "edge_rows": (edge_rows, "SELECT regexp_extract(url,'//([^/?#]*)',1) AS from_url, url AS to_url, (page_id % 3)::INT AS depth, CASE WHEN page_id % 2 = 0 THEN 'sitemap' ELSE 'link' END AS method FROM pages WHERE page_id % 5 > 0"),
     "report_rows": (report_rows, r"""SELECT url || '&x=<1>' AS url, '<tr><td>' || replace(url,'&','&amp;') || '&amp;x=&lt;1&gt;</td><td>1</td><td>200</td><td><ul>' || array_to_string(list_transform(list_filter(regexp_extract_all(html,'<a href="([^"]*)"',1), lambda x: regexp_matches(x,'^/[a-z]+$'))[1:2], lambda x: '<li>' || x || '</li>'), '') || '</ul></td></tr>' AS row FROM pages"""),

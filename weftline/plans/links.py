@@ -66,6 +66,13 @@ def anchor_counts(spark, d):
     return p.select("page_id", F.size("p.links").alias("anchors"), F.col("p.title").alias("title"))
 
 
+def scoped_links(spark, d):
+    """Links of each page to its own host, and to the part of it below /en/."""
+    p = _pages(spark, d).select("page_id", U.netloc(F.col("url")).alias("host"), F.explode(extract("links", F.col("html"), F.col("url"))).alias("link"))
+    own = p.filter(F.col("link").rlike("^https?://") & (U.netloc(F.col("link")) == F.col("host")))
+    return own.select("page_id", "link", U.path(F.col("link")).startswith("/en/").alias("below"))
+
+
 def relative_links(spark, d):
     """The JVM's own resolution of root-relative links, which the tree's must equal."""
     h = F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1))
@@ -128,6 +135,7 @@ QUERIES = {
  CASE WHEN contains(url,'#') OR query = '' THEN url || '&token=x1&a=2' ELSE url || '&token=REDACTED&a=2' END AS logged, replace(url,'&','&amp;') AS href, lower(netloc) AS domain, md5(url) AS cache_key,
  replace(netloc,'.','_') || '_' || substr(regexp_replace(regexp_replace(replace(path,'/','_'),'[^A-Za-z0-9_\-]','','g'),'^_+|_+$','','g'),1,50) || '_depth1' AS file_name FROM ({_PARTS})"""),
     "page_links": (page_links, _P + "SELECT page_id, link FROM edges"),
+    "scoped_links": (scoped_links, _P + r"SELECT page_id, link, regexp_extract(link,'//[^/?#]*([^?#]*)',1) LIKE '/en/%' AS below FROM edges JOIN parts USING (page_id) WHERE regexp_extract(link,'//([^/?#]*)',1) = netloc"),
     "host_link_counts": (host_link_counts, _P + "SELECT netloc AS host, count(*) AS links, count(DISTINCT link) AS targets FROM edges JOIN parts USING (page_id) GROUP BY netloc"),
     "anchor_counts": (anchor_counts, r"SELECT page_id, len(regexp_extract_all(html,'<a href='))::INT AS anchors, replace(replace(replace(regexp_extract(html,'<title>(.*?)</title>',1),'&quot;','\"'),'&copy;','©'),'&amp;','&') AS title FROM pages".replace('\\"', '"')),
     "relative_links": (relative_links, _P + "SELECT page_id, link FROM edges"),

@@ -48,17 +48,17 @@ def latest_crawls(spark, d):
 
 
 def _state(spark, d):
-    """All documents now, and what is known of all of them from before: under other URLs of every third, without etags of every fourth, with another content of every eighth."""
+    """All documents now, and what is known of all of them from before: under other URLs of every third, without etags of every fourth, with another etag of every seventh and another content of every eighth; every thirteenth was seen long ago."""
     k = F.col("doc_id")
     x = R.table(spark, d, "documents").select(k.cast("string").alias("url"), F.concat(F.lit("e"), F.pmod(k, F.lit(5)).cast("string")).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.md5("text").alias("content_hash"), "doc_id")
-    old = x.select(F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("old-"), "url")).otherwise(F.col("url")).alias("url"), F.when(F.pmod(k, F.lit(4)) > 0, F.col("etag")).alias("etag"), "last_modified",
-                   F.when(F.pmod(k, F.lit(8)) == 0, F.lit("x")).otherwise(F.col("content_hash")).alias("content_hash"), F.lit(0).cast("long").alias("last_crawled"), F.lit(1).alias("crawl_count"))
+    old = x.select(F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit("old-"), "url")).otherwise(F.col("url")).alias("url"), F.when((F.pmod(k, F.lit(4)) > 0) & (F.pmod(k, F.lit(7)) == 0), F.lit("was")).when(F.pmod(k, F.lit(4)) > 0, F.col("etag")).alias("etag"), "last_modified",
+                   F.when(F.pmod(k, F.lit(8)) == 0, F.lit("x")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(F.pmod(k, F.lit(13)) == 0, -5).otherwise(0).cast("long").alias("last_crawled"), F.lit(1).alias("crawl_count"))
     return x, old
 
 
 def recrawl(spark, d):
     now, old = _state(spark, d)
-    return S.recrawl_decisions(now.drop("doc_id"), old)
+    return S.recrawl_decisions(now, old, F.pmod("doc_id", F.lit(11)) == 0, F.lit(-1))
 
 
 def state_after(spark, d):
@@ -90,7 +90,7 @@ def event_report(spark, d):
 
 
 _R = r"""r AS (SELECT page_id, url, regexp_extract(url,'//([^/?#]*)',1) AS host, (page_id % 4)::INT AS depth, page_id % 7 <> 0 AS success, (page_id % 3)::INT AS crawl_id, len(regexp_extract_all(html,'<a href=')) AS n_links, html FROM pages)"""
-_S = """x AS (SELECT doc_id::VARCHAR AS url, 'e' || (doc_id % 5) AS etag, md5(text) AS content_hash, doc_id FROM documents), o AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old-' || url ELSE url END AS url, CASE WHEN doc_id % 4 > 0 THEN etag END AS etag, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE content_hash END AS content_hash FROM x)"""
+_S = """x AS (SELECT doc_id::VARCHAR AS url, 'e' || (doc_id % 5) AS etag, md5(text) AS content_hash, doc_id FROM documents), o AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'old-' || url ELSE url END AS url, CASE WHEN doc_id % 4 > 0 AND doc_id % 7 = 0 THEN 'was' WHEN doc_id % 4 > 0 THEN etag END AS etag, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE content_hash END AS content_hash, CASE WHEN doc_id % 13 = 0 THEN -5 ELSE 0 END::BIGINT AS seen FROM x)"""
 QUERIES = {
     "summary_report": (summary_report, f"WITH {_R} SELECT depth, count(*) AS total, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, sum(n_links)::BIGINT AS links FROM r GROUP BY ROLLUP (depth)"),
     "host_report": (host_report, f"WITH {_R} SELECT host, count(*) AS pages, round(100 * count(*) FILTER (success) / count(*), 6) AS success_rate, max(depth) AS max_depth, sum(strlen(html))::BIGINT AS bytes FROM r GROUP BY host"),
@@ -98,9 +98,10 @@ QUERIES = {
     "stored_results": (stored_results, f"WITH {_R} SELECT page_id, url, depth FROM r WHERE crawl_id = 1 AND success AND url ILIKE '%example.org%'"),
     "crawl_totals": (crawl_totals, f"WITH {_R} SELECT crawl_id, count(*) AS total, count(*) FILTER (success) AS successful, max(page_id) AS ts, sum(n_links)::BIGINT AS links FROM r GROUP BY crawl_id"),
     "latest_crawls": (latest_crawls, f"WITH {_R} SELECT crawl_id, max(page_id) AS ts FROM r GROUP BY crawl_id ORDER BY ts DESC, crawl_id DESC LIMIT 2"),
-    "recrawl": (recrawl, f"""WITH {_S} SELECT url, reason <> 'unchanged' AS crawl, reason FROM (SELECT x.url, CASE WHEN o.url IS NULL THEN 'new' WHEN o.etag <> x.etag THEN 'etag_changed' WHEN o.content_hash <> x.content_hash THEN 'content_hash_changed' ELSE 'unchanged' END AS reason FROM x LEFT JOIN o USING (url))"""),
+    "recrawl": (recrawl, f"""WITH {_S} SELECT url, reason NOT LIKE '%_match' AS crawl, reason FROM (SELECT x.url, CASE WHEN x.doc_id % 11 = 0 THEN 'forced' WHEN o.url IS NULL THEN 'new_url' WHEN o.seen < -1 THEN 'expired' WHEN o.etag = x.etag THEN 'etag_match' WHEN o.etag <> x.etag THEN 'etag_changed'
+ WHEN o.content_hash = x.content_hash THEN 'content_match' ELSE 'content_changed' END AS reason FROM x LEFT JOIN o USING (url))"""),
     "state_after": (state_after, f"""WITH {_S}, n AS (SELECT * FROM x) SELECT coalesce(o.url, n.url) AS url, CASE WHEN n.url IS NOT NULL THEN n.etag ELSE o.etag END AS etag, CASE WHEN n.url IS NOT NULL THEN n.content_hash ELSE o.content_hash END AS content_hash,
- CASE WHEN n.url IS NOT NULL THEN 9 ELSE 0 END::BIGINT AS last_crawled, ((o.url IS NOT NULL)::INT + (n.url IS NOT NULL)::INT) AS crawl_count FROM o FULL JOIN n ON o.url = n.url"""),
+ CASE WHEN n.url IS NOT NULL THEN 9 ELSE o.seen END::BIGINT AS last_crawled, ((o.url IS NOT NULL)::INT + (n.url IS NOT NULL)::INT) AS crawl_count FROM o FULL JOIN n ON o.url = n.url"""),
     "validators": (validators, f"WITH {_S} SELECT url, etag AS if_none_match, (etag IS NOT NULL)::INT AS n FROM o"),
     "artifact_checks": (artifact_checks, "SELECT page_id, array_to_string(list_filter([CASE WHEN page_id % 5 = 0 THEN 'url is empty;url has no http scheme' END, CASE WHEN page_id % 6 = 0 THEN 'unknown schema version' END], lambda x: x IS NOT NULL), ';') AS problems FROM pages"),
     "fresh_cache": (fresh_cache, "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY"),
