@@ -35,6 +35,41 @@ def table_report(spark, d):
     return t.select("n_regionkey", F.size(F.col("t")[0]).alias("rows"), F.size(F.col("t")[0][0]).alias("columns"), F.array_join(F.transform(F.col("t")[0], lambda r: r[0]), "|").alias("names"))
 
 
+def page_meta(spark, d):
+    """Every field of a page's content, each page without one of them in turn."""
+    k, n = F.col("p_partkey"), 8
+    without = lambda i, *parts: F.when(F.pmod(k, F.lit(n)) == i, F.lit("")).otherwise(_page(*parts))
+    html = F.concat(F.lit("<html lang=pt-BR><head>"), without(0, "<title> P ", k, " </title>"), without(1, "<meta name=Description content='about ", k, "'>"), without(2, "<meta name=keywords content='a, b ,c", k, "'>"), without(3, "<link rel='x canonical' href=/c/", k, ">"),
+                    without(4, "<meta http-equiv=Last-Modified content=m", k, ">"), F.lit("</head><body>"), without(5, "<h1>one</h1><h2> two <b>", k, "</b></h2>"), without(6, "<h6>six</h6>"), F.lit("<time itemprop=dateModified datetime=2020-01-01>x</time><h2>last</h2></body></html>"))
+    c = F.col("c")
+    p = _t(spark, d, "part").select("p_partkey", extract("content", html, F.lit("https://h/")).alias("c"))
+    return p.select("p_partkey", c["title"].alias("title"), c["description"].alias("description"), F.array_join(c["keywords"], "|").alias("keywords"), c["canonical"].alias("canonical"), c["language"].alias("language"), c["last_modified"].alias("last_modified"),
+                    F.array_join(F.transform(c["headings"], lambda h: F.concat(h["level"].cast("string"), h["text"])), "|").alias("headings"))
+
+
+def spanned_tables(spark, d):
+    """Cells over several rows and columns, in tables within tables and with footnotes."""
+    k = F.col("n_nationkey")
+    html = _page("<table><tr><th rowspan=2>A", k, "</th><th colspan=2>B</th></tr><tr><td>c[1]</td><td>d&nbsp;e</td></tr><tr><td colspan=3>", F.col("n_name"), "</td></tr><tr></tr><tr><td></td><td></td></tr></table><table><tr><td>x<table><tr><td>inner</td></tr></table></td></tr></table>")
+    t = _t(spark, d, "nation").select("n_nationkey", extract("tables", html).alias("t"))
+    rows = lambda t: F.array_join(F.transform(t, lambda r: F.array_join(r, ",")), ";")
+    return t.select("n_nationkey", F.size("t").alias("tables"), rows(F.col("t")[0]).alias("first"), rows(F.col("t")[1]).alias("second"))
+
+
+_VALUES = [("strict-transport-security", v, s) for v, s in (("max-age=31536000; includeSubDomains; preload", 10), ("max-age=15768000", 3), ("MAX-AGE=10; preload", 3), ("includeSubDomains", 3), ("preload; max-age=31536000", 7))]
+_VALUES += [("content-security-policy", v, s) for v, s in (("default-src 'self'; script-src 'self'", 15), ("script-src 'unsafe-inline'", 10), ("script-src 'unsafe-eval'", 12), ("img-src *", 12), ("img-src * ; script-src 'UNSAFE-INLINE' 'unsafe-eval'", 4))]
+_VALUES += [("x-frame-options", v, s) for v, s in (("deny", 8), ("SameOrigin", 8), ("allow-from x", 5), ("maybe", 0))] + [("x-content-type-options", "NoSniff", 5), ("x-content-type-options", "sniff", 0), ("x-xss-protection", "1; mode=block", 3), ("x-xss-protection", "1", 2), ("x-xss-protection", "0", 0)]
+_VALUES += [("referrer-policy", v, s) for v, s in (("no-referrer", 5), ("strict-origin", 5), ("origin", 3), ("unsafe-url", 1))] + [(n, "x", s) for n, s in (("permissions-policy", 8), ("cross-origin-opener-policy", 5), ("cross-origin-resource-policy", 5), ("cross-origin-embedder-policy", 5))]
+
+
+def header_values(spark, d):
+    """The score of every kind of value of every header, alone."""
+    k = F.pmod("c_custkey", F.lit(len(_VALUES))).cast("int")
+    one = lambda i: F.get(F.array(*[F.lit(v[i]) for v in _VALUES]), k)
+    r = S.header_report(F.create_map(one(0), one(1)))
+    return _t(spark, d, "customer").select("c_custkey", one(0).alias("header"), r["score"].alias("score"), F.size(r["missing"]).alias("missing"), r["rating"].alias("rating"))
+
+
 def page_images(spark, d):
     p = _t(spark, d, "part").select("p_partkey", _page("<div><img src='/img/", F.col("p_partkey"), ".png' alt='", F.when(F.pmod("p_partkey", F.lit(3)) > 0, F.col("p_name")).otherwise(""), "' width=", F.col("p_size"), " height=abc><iframe><img src=x></iframe><img src=' '><img class='inline-icon' src=/i.png width=8></div>").alias("html"))
     i = p.select("p_partkey", F.explode(extract("images", F.col("html"))).alias("i"))
@@ -165,6 +200,10 @@ _F = "CASE WHEN event_id % 11 = 0 THEN 3 ELSE 0 END + CASE WHEN event_id % 13 =
 QUERIES = {
     "html_tables": (html_tables, "SELECT c_nationkey, c_custkey AS cust_key, c_name AS name FROM customer"),
     "table_report": (table_report, "SELECT n_regionkey, count(*)::INT AS rows, 3 AS columns, string_agg(n_name, '|' ORDER BY n_name || '<') AS names FROM nation GROUP BY n_regionkey"),
+    "page_meta": (page_meta, """SELECT p_partkey, CASE WHEN i <> 0 THEN 'P ' || p_partkey END AS title, CASE WHEN i <> 1 THEN 'about ' || p_partkey END AS description, CASE WHEN i <> 2 THEN 'a|b|c' || p_partkey ELSE '' END AS keywords, CASE WHEN i <> 3 THEN '/c/' || p_partkey END AS canonical, 'pt-BR' AS language,
+ CASE WHEN i <> 4 THEN 'm' || p_partkey ELSE '2020-01-01' END AS last_modified, CASE WHEN i <> 5 THEN '1one|2two' || p_partkey || '|' ELSE '' END || '2last' || CASE WHEN i <> 6 THEN '|6six' ELSE '' END AS headings FROM (SELECT p_partkey, p_partkey % 8 AS i FROM part)"""),
+    "spanned_tables": (spanned_tables, "SELECT n_nationkey, 2 AS tables, 'A' || n_nationkey || ',B,;,c,d e;' || n_name || ',,' AS first, 'xinner,inner;inner,' AS second FROM nation"),
+    "header_values": (header_values, f"""SELECT c_custkey, header, score, 9 AS missing, 'F' AS rating FROM customer JOIN (SELECT unnest(range({len(_VALUES)})) AS i, unnest({[v[0] for v in _VALUES]}) AS header, unnest({[v[2] for v in _VALUES]}) AS score) ON c_custkey % {len(_VALUES)} = i"""),
     "page_images": (page_images, "SELECT p_partkey, '/img/' || p_partkey || '.png' AS src, p_size::INT AS width, CAST(NULL AS INT) AS height, p_partkey % 3 = 0 AS decorative, 'div' AS parent FROM part"),
     "page_forms": (page_forms, "SELECT s_suppkey, 1 + (s_suppkey % 2 = 0)::INT AS forms, 'https://h.example/login?s=' || s_suppkey AS action, 'POST' AS method, true AS csrf, 3 AS fields, s_name AS user, 'User' AS label, 20 AS maxlength, 'Go' AS submit, 1 AS logins, (s_suppkey % 2 = 0)::INT AS searches FROM supplier"),
     "structured_data": (structured_data, "SELECT p_partkey, p_name AS title, 'c' AS card, 'a' || p_partkey AS author, p_partkey AS sku, p_size::INT AS price, p_brand AS brand, 'Offer,Product' AS types FROM part"),
