@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 
@@ -34,3 +36,18 @@ def shared_dir(spark) -> str:
         d = tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder for an intermediate table; what is there goes when Python ends."""
+    path = f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM has gone; the cluster's own clean-up of the folder remains
+        pass

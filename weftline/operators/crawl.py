@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline import shared_dir
+from weftline import remove, scratch
 
 
 def _cut(df: DataFrame, name: str) -> DataFrame:
     """A written copy in the shared folder: a level's lineage ends there, and lost executors don't matter."""
-    path = f"{shared_dir(df.sparkSession)}/weftline/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -25,7 +25,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, resume: str | None
     the levels; a later call with it goes on behind the last one.
     """
     spark = seeds.sparkSession
-    name, at = f"weftline_edges_{uuid.uuid4().hex}", f"{shared_dir(spark)}/weftline/edges-{uuid.uuid4().hex}"
+    name, at = f"weftline_edges_{uuid.uuid4().hex}", scratch(spark, "edges")
     known = edges.filter("from_url is not null and to_url is not null").select("from_url", "to_url").distinct()
     known.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "from_url").option("path", at).saveAsTable(name)
     e = spark.table(name)
@@ -51,8 +51,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, resume: str | None
             seen = seen.unionByName(level)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        p = spark._jvm.org.apache.hadoop.fs.Path(at)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        remove(spark, at)
     return seen
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftline import shared_dir
+from weftline import scratch
 from weftline.operators.ordered import next_delay
 
 
@@ -56,7 +55,7 @@ def adapting_delays(responses: DataFrame, key: str, base: float = 0.1) -> DataFr
 def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Runs a stream over what is there and gives back what it wrote; checkpoint and output lie in the shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/weftline/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     w = stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if each is not None or mode != "append":
         w = w.outputMode(mode).foreachBatch(each or (lambda d, i: d.write.mode("overwrite").parquet(f"{base}/out")))
