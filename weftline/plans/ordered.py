@@ -39,7 +39,7 @@ def proxy_rotation(spark, d):
 
 def _responses(spark, d):
     k = F.pmod("event_id", F.lit(17))
-    return _events(spark, d).select("user_id", "event_id", F.when(k == 3, 429).when(k == 5, 503).otherwise(200).alias("status"), (F.pmod(F.col("event_id") * 7, F.lit(31)) / 10.0).alias("seconds"),
+    return _events(spark, d).select("user_id", "event_id", F.when(k == 3, 429).when(k == 5, 503).otherwise(200).alias("status"), (F.pmod(F.col("event_id") * 7, F.lit(31)) / 8.0).alias("seconds"),
                                     F.when(F.pmod("event_id", F.lit(34)) == 3, F.lit(4.0)).alias("retry_after"))
 
 
@@ -67,12 +67,12 @@ def stream_delays(spark, d):
     schema = table(spark, d, "events").schema
     s = E.file_stream(spark, f"{d}/events*.parquet", schema)
     k = F.pmod("event_id", F.lit(17))
-    r = s.select("user_id", F.col("event_id").cast("long").alias("order"), F.when(k == 3, 429).when(k == 5, 503).otherwise(200).alias("status"), (F.pmod(F.col("event_id") * 7, F.lit(31)) / 10.0).alias("seconds"), F.when(F.pmod("event_id", F.lit(34)) == 3, F.lit(4.0)).alias("retry_after"))
+    r = s.select("user_id", F.col("event_id").cast("long").alias("order"), F.when(k == 3, 429).when(k == 5, 503).otherwise(200).alias("status"), (F.pmod(F.col("event_id") * 7, F.lit(31)) / 8.0).alias("seconds"), F.when(F.pmod("event_id", F.lit(34)) == 3, F.lit(4.0)).alias("retry_after"))
     ship(spark)
     return E.run_once(E.adapting_delays(r, "user_id")).select(F.col("order").alias("event_id"), F.round("delay", 6).alias("delay"))
 
 
-_DELAYS = """WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_id % 17 WHEN 3 THEN 429 WHEN 5 THEN 503 ELSE 200 END AS status, ((event_id * 7) % 31) / 10.0 AS seconds, CASE WHEN event_id % 34 = 3 THEN 4.0 END AS after FROM events),
+_DELAYS = """WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_id % 17 WHEN 3 THEN 429 WHEN 5 THEN 503 ELSE 200 END AS status, ((event_id * 7) % 31) / 8.0 AS seconds, CASE WHEN event_id % 34 = 3 THEN 4.0 END AS after FROM events),
  r AS (SELECT *, row_number() OVER w AS i, avg(seconds) OVER l AS mean, count(*) OVER l AS recent, count(*) FILTER (status >= 400) OVER (w ROWS UNBOUNDED PRECEDING) AS errors FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id), l AS (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING)),
  s AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS i, 0.1::DOUBLE AS delay FROM e GROUP BY user_id UNION ALL SELECT r.user_id, r.event_id, r.i, CASE WHEN r.status = 429 THEN least(60.0, coalesce(nullif(r.after, 0), greatest(s.delay * 1.5 * 2, 0.1)))
  WHEN r.status >= 500 OR r.i >= 10 AND r.errors / r.i > 0.1 THEN least(60.0, s.delay * 1.5) WHEN r.recent >= 5 AND r.mean > 2.0 THEN least(60.0, s.delay * 1.2) WHEN r.recent >= 5 AND r.mean < 0.5 THEN greatest(0.1, s.delay * 0.9) ELSE s.delay END
