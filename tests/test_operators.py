@@ -76,9 +76,12 @@ def test_crawl_takes_least_depth_and_survives_cycles(spark):
 
 def test_recrawl_reason(spark):
     k = "url string, etag string, last_modified string, content_hash string"
-    now = spark.createDataFrame([("u", "b", "m", None), ("v", None, None, None), ("w", None, None, "h")], k)
-    old = spark.createDataFrame([("u", "a", "m", None), ("v", None, None, None)], k)
-    assert {r.url: (r.crawl, r.reason) for r in state.recrawl_decisions(now, old).collect()} == {"u": (True, "etag_changed"), "v": (True, "no_validators"), "w": (True, "new")}
+    now = spark.createDataFrame([("u", "b", "m", None), ("v", None, None, None), ("w", None, None, "h"), ("x", "a", "n", "h"), ("y", None, "m", "h"), ("z", None, None, "h"), ("f", "a", None, None)], k)
+    old = spark.createDataFrame([("u", "a", "m", None, 5), ("v", None, None, None, 5), ("x", "a", "m", "g", 5), ("y", "a", "m", "g", None), ("z", None, None, "g", 1), ("f", "a", None, None, 5)], k + ", last_crawled int")
+    want = {"u": (True, "etag_changed"), "v": (True, "no_comparison_data"), "w": (True, "new_url"), "x": (False, "etag_match"), "y": (False, "last_modified_match"), "z": (True, "content_changed"), "f": (False, "etag_match")}
+    got = lambda *a: {r.url: (r.crawl, r.reason) for r in state.recrawl_decisions(now, old, *a).collect()}
+    assert got() == want
+    assert got(F.col("url") == "f", F.lit(3)) == {**want, "z": (True, "expired"), "f": (True, "forced")}
 
 
 def test_first_seen_ignores_null_hashes(spark):
