@@ -128,8 +128,8 @@ QUERIES = {
     "content_report": (content_report, r"""WITH t AS (SELECT lower(regexp_extract(url,'//[^/?#]*([^?#]*)',1)) AS p, html FROM pages), k AS (SELECT CASE WHEN regexp_matches(p,'^/$|^/index[.]html$|^/home$') THEN 'home' WHEN regexp_matches(p,'/who-we-are|/company|/about') THEN 'about' WHEN regexp_matches(p,'/get-in-touch|/reach-us|/contact') THEN 'contact'
  WHEN regexp_matches(p,'/shop|/item|/product') THEN 'product' WHEN regexp_matches(p,'/articles|/news|/blog') THEN 'blog' WHEN regexp_matches(p,'/account|/signin|/login') THEN 'login' WHEN regexp_matches(p,'/support|/help|/faq') THEN 'faq' WHEN regexp_matches(p,'/find|/search') THEN 'search' WHEN regexp_matches(p,'/department|/cat|/category') THEN 'category' ELSE 'other' END AS k FROM t)
  SELECT 'page_type' AS part, k AS name, count(*) AS n FROM k GROUP BY k UNION ALL SELECT 'language', regexp_extract(html,'<html lang="([a-z]+)"',1), count(*) FROM pages GROUP BY 2 UNION ALL SELECT 'heading', h, count(*) FROM (SELECT unnest(regexp_extract_all(html, '<(h[1-6])>', 1)) AS h FROM pages) GROUP BY h"""),
-    "images_report": (images_report, "SELECT p_partkey % 3 AS depth, sum(p_size // 20)::BIGINT AS total, count(*) AS pages FROM part WHERE p_size >= 20 GROUP BY ROLLUP (p_partkey % 3)"),
-    "tables_report": (tables_report, "SELECT p_partkey % 3 AS depth, sum(p_size // 30)::BIGINT AS total, count(*) AS pages FROM part WHERE p_size >= 30 GROUP BY ROLLUP (p_partkey % 3)"),
+    "images_report": (images_report, "SELECT depth, sum(p_size // 20)::BIGINT AS total, count(*) AS pages FROM (SELECT (p_partkey % 3)::INT AS depth, p_size FROM part) WHERE p_size >= 20 GROUP BY ROLLUP (depth)"),
+    "tables_report": (tables_report, "SELECT depth, sum(p_size // 30)::BIGINT AS total, count(*) AS pages FROM (SELECT (p_partkey % 3)::INT AS depth, p_size FROM part) WHERE p_size >= 30 GROUP BY ROLLUP (depth)"),
     "keyphrase_report": (keyphrase_report, f"SELECT phrase, len(string_split(phrase, ' '))::INT AS words, count(*) AS pages FROM ({_CONTENT['document_keyphrases'][1]}) GROUP BY phrase ORDER BY words DESC, pages DESC, phrase LIMIT 20"),
     "result_texts": (result_texts, r"""SELECT 'URL: https://h.example/s' || k || chr(10) || 'Status: 200' || chr(10) || 'Depth: ' || CASE WHEN k % 2 = 0 THEN '1' ELSE 'N/A' END || chr(10) || 'Content Type: text/html' || chr(10) || 'Success: ' || CASE WHEN k % 3 > 0 THEN 'True' || chr(10) ELSE 'False' || chr(10) || 'Error: gone' || chr(10) END ||
  'Links Found: ' || n || chr(10) || CASE WHEN n = 0 THEN '' ELSE 'Sample Links:' || chr(10) || array_to_string(list_transform(range(1, least(n, 5) + 1), lambda i: '  - https://h.example/' || i || chr(10)), '') || CASE WHEN n > 5 THEN '  - ... and ' || (n - 5) || ' more' || chr(10) ELSE '' END END ||
