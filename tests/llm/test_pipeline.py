@@ -1,8 +1,14 @@
 """The pipeline's stages against what each must do with a small table, and run() against the stages' brute-force versions."""
 
 import random
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from weftline.llm import common
 from weftline.llm.bpe import VOCABULARY, codec
 from weftline.llm.pii import redact
 
@@ -80,3 +86,78 @@ def test_odd_rows_through_all_stages(spark, tmp_path):
     assert sum(r.doc_id is None for r in got) == 1  # of the rows without an id, the one with a text
     enc = codec(VOCABULARY).enc
     assert all(r._k == 5 and r.n_tokens == len(enc.encode_ordinary(r.text)) for r in got)
+
+
+def python_steps(plan):
+    """The most steps that run in Python workers one after the other within a stage of a physical plan."""
+    kids = lambda n: [n.children().apply(i) for i in range(n.children().size())]
+
+    def walk(n):
+        name = n.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(n.initialPlan())
+        below = [walk(x) for x in kids(n)]
+        most, own = max([0, *(m for m, _ in below)]), max([0, *(o for _, o in below)])
+        own += any(x in name for x in ("InArrow", "InPandas", "EvalPython"))
+        return max(most, own), 0 if "Exchange" in name else own
+
+    return walk(plan)[0]
+
+
+def test_one_python_step_a_stage(spark, tmp_path, monkeypatch):
+    """Two steps in a stage hold two workers a core, which stay and count against an executor's memory in all later stages."""
+    tables(spark, str(tmp_path))
+    steps = {}
+
+    def noting(df, name):
+        steps[name] = max(steps.get(name, 0), python_steps(df._jdf.queryExecution().executedPlan()))
+        return real(df, name)
+
+    real = common.written
+    for m in [m for n, m in sys.modules.items() if n.startswith("weftline.llm.") or n == "corpus_pipeline"]:
+        if getattr(m, "written", None) is real:
+            monkeypatch.setattr(m, "written", noting)
+    P.run(spark, str(tmp_path))
+    assert {"sketches", "copies", "links", "groups", *(f"stage-{name}" for name, _ in P.STAGES)} <= set(steps)
+    assert max(steps.values()) == 1, steps
+
+
+def test_packing_holds_little_more_than_its_rows(spark, monkeypatch):
+    """The worker's function itself, over more than one round: every row once under its block, in small batches, without copies of all that is held."""
+
+    class Kept:
+        columns = ["_id", "_text"]
+        withColumn = repartition = lambda self, *_: self
+
+        def mapInArrow(self, f, _):
+            self.f = f
+            return self
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(97, 123, 4000, np.uint8).tobytes().decode()) for i in range(10_000)]
+    rows = rows[:1000] + rows  # repeated within what is packed at once
+    block = [i % 37 for i, _ in rows]
+
+    def batches():
+        for a in range(0, len(rows), 2000):
+            part = rows[a:a + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([t for _, t in part]), pa.array(block[a:a + 2000], pa.int32())], names=["_id", "_text", "_block"])
+
+    for once, many in (((), 11_000), (("_id",), 10_000)):
+        f, before, out, held = common.packed(Kept(), F.lit(0), 2, once).f, pa.total_allocated_bytes(), [], [0]
+
+        def seen(*args, real=pa.ipc.new_stream, **kw):
+            held.append(pa.total_allocated_bytes() - before - sum(x.nbytes for x in out))
+            return real(*args, **kw)
+
+        with monkeypatch.context() as m:
+            m.setattr(pa.ipc, "new_stream", seen)
+            for r in f(batches()):
+                out.append(r)
+        t = pa.Table.from_batches(out)
+        got = []
+        for b in range(37):
+            own = common.unpack(t.filter(pa.array(t.column("_block").to_numpy() == b)))
+            got += [(b, *x.values()) for x in own.to_pylist()]
+        assert len(got) == many and set(got) == {(b, *r) for b, r in zip(block, rows)}
+        assert max(held) < 1.8 * common.PACK and max(r.nbytes for r in out) < 4 << 20, (once, max(held))

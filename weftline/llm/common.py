@@ -18,6 +18,8 @@ from weftline import shared_dir, ship
 PIECE = 512 << 10
 #: Bytes of rows that a task packs at once.
 PACK = 32 << 20
+#: Packed bytes that a worker returns at once.
+SEND = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,7 @@ def packed(df: DataFrame, block: Column, parts: int, once: tuple[str, ...] = ())
     """Rows as (_block int, _z binary): all rows of a task and block in one compressed Arrow stream, shuffled by _block.
 
     once: columns; of the rows of a task that are equal in them, at least those that are packed together become one.
+    Batches are ordered by block as they come and rows leave block by block, so that a worker holds little more than what it packs.
     """
     names = df.columns
 
@@ -85,31 +88,41 @@ def packed(df: DataFrame, block: Column, parts: int, once: tuple[str, ...] = ())
         held, size = [], 0
 
         def flush():
-            t = pa.Table.from_batches(held)
             if once:
-                first = t.select(list(once)).append_column("_n", pa.array(np.arange(t.num_rows))).group_by(list(once)).aggregate([("_n", "min")]).column("_n_min")
-                t = t.take(first) if len(first) < t.num_rows else t
-            b = t.column("_block").to_numpy()
-            o = np.argsort(b, kind="stable")
-            t, b = t.select(names).take(pa.array(o)), b[o]
-            at = np.flatnonzero(np.diff(b, prepend=-1))
-            z = []
-            for i, j in zip(at.tolist(), [*at[1:].tolist(), len(b)]):
+                t = pa.Table.from_batches([r.select(list(once)) for r, _ in held])
+                first = t.append_column("_n", pa.array(np.arange(t.num_rows))).group_by(list(once)).aggregate([("_n", "min")]).column("_n_min")
+                if len(first) < t.num_rows:
+                    keep, at = np.zeros(t.num_rows, bool), 0
+                    keep[first.to_numpy()] = True
+                    for i, (r, b) in enumerate(held):
+                        own = keep[at:at + len(b)]
+                        held[i], at = (r.filter(pa.array(own)), b[own]), at + len(b)
+            blocks = np.unique(np.concatenate([b for _, b in held]))
+            ranges = [(r.select(names), np.searchsorted(b, blocks).tolist(), np.searchsorted(b, blocks, side="right").tolist()) for r, b in held]
+            done, z, full = [], [], 0
+            for k, block in enumerate(blocks.tolist()):
+                t = pa.Table.from_batches([r.slice(lo[k], hi[k] - lo[k]) for r, lo, hi in ranges if hi[k] > lo[k]]).combine_chunks()
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_table(t.slice(i, j - i).combine_chunks())
+                    w.write_table(t)
+                done.append(block)
                 z.append(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array(b[at], pa.int32()), pa.array(z, pa.binary())], names=["_block", "_z"])
+                full += len(z[-1])
+                if full > SEND or k == len(blocks) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32()), pa.array(z, pa.binary())], names=["_block", "_z"])
+                    done, z, full = [], [], 0
 
         for r in batches:
             if r.num_rows:
-                held.append(r)
+                b = r.column("_block").to_numpy()
+                o = np.argsort(b, kind="stable")
+                held.append((r.take(pa.array(o)), b[o]))
                 size += r.nbytes
                 if size > PACK:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return df.withColumn("_block", block.cast("int")).mapInArrow(f, "_block int, _z binary").repartition(parts, "_block")
 

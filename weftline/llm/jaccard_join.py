@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -212,13 +213,19 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u[low[leaf]]), pa.array(u[leaf])], names=["a", "b"])
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
+def components(edges: DataFrame, name: str = "cc", of: Callable | None = None) -> DataFrame:
     """(node, comp): the least node of each connected component of edges (a, b).
 
+    of: makes batches of edges (a, b) from those of other rows. It runs in the worker that makes stars: two Python steps in one stage take
+    two workers a core, which Spark then keeps and uses in turn.
+
     Edges that a task has at hand become stars before anything is shuffled; then large-star and small-star steps alternate. Each step is
     written to the shared folder, and the table before it goes.
     """
-    local = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").mapInArrow(_stars, "a long, b long")
+    if of is None:
+        local = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").mapInArrow(_stars, "a long, b long")
+    else:
+        local = edges.mapInArrow(lambda batches: _stars(of(batches)), "a long, b long")
     e = written(local.distinct(), name)
     sums = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
     p = sums(e)

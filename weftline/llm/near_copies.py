@@ -69,5 +69,5 @@ def near_groups(docs: DataFrame) -> DataFrame:
     met = b.join(low, "_band").filter("_k <> _to").select(F.col("_k").alias("a"), F.col("_to").alias("b")).distinct()
     one = k.groupBy("_k").agg(F.first("_h").alias("_h"), F.first("_s").alias("_s"))
     pairs = met.join(one.select(F.col("_k").alias("a"), "_s"), "a").join(one.select(F.col("_k").alias("b"), F.col("_s").alias("_t")), "b")
-    comp = components(pairs.select("a", "b", "_s", "_t").mapInArrow(_alike, "a long, b long"), "copies")
+    comp = components(pairs.select("a", "b", "_s", "_t"), "copies", _alike)
     return comp.toDF("_k", "_first").join(k.select("_k", "_h").distinct(), "_k")
