@@ -8,7 +8,7 @@ from weftline import ship
 from weftline.operators import extract as X
 from weftline.operators import security as S
 from weftline.operators.extract import extract
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 
 
 def _t(spark, d, name):
@@ -20,10 +20,15 @@ def _page(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+#: A page shows the customers of so many keys, so that pages don't grow with the table.
+_KEYS = 1000
+
+
 def html_tables(spark, d):
-    """Each market segment and nation's customers as a table, read back as records."""
+    """Each nation's customers as tables, one for each thousand keys, read back as records."""
     row = _page("<tr><td>", F.col("c_custkey"), "</td><td> ", F.col("c_name"), "&nbsp;[1]</td></tr>")
-    p = _t(spark, d, "customer").groupBy("c_nationkey").agg(F.concat_ws("", F.sort_array(F.collect_list(row))).alias("r")).select("c_nationkey", _page("<div><table><thead><tr><th>Cust Key</th><th>Name (full)</th></tr></thead>", F.col("r"), "</table></div>").alias("html"))
+    c = _t(spark, d, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / _KEYS).alias("k"), row.alias("row"))
+    p = spread(c, "c_nationkey", "k").groupBy("c_nationkey", "k").agg(F.concat_ws("", F.sort_array(F.collect_list("row"))).alias("r")).select("c_nationkey", _page("<div><table><thead><tr><th>Cust Key</th><th>Name (full)</th></tr></thead>", F.col("r"), "</table></div>").alias("html"))
     t = p.select("c_nationkey", F.explode(X.kept_tables(extract("tables", F.col("html")))).alias("t")).select("c_nationkey", X.table_names(F.col("t")).alias("names"), F.explode(F.slice("t", 2, F.size("t"))).alias("r"))
     return t.select("c_nationkey", F.map_from_arrays("names", "r").alias("m")).select("c_nationkey", F.col("m")["cust_key"].cast("long").alias("cust_key"), F.col("m")["name_full"].alias("name"))
 

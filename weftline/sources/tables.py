@@ -10,6 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by hashes of keys, in some parts for every core: a file of few MB may hold more rows than one task should work on in Python."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(n, *keys)
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of a known schema; what can't be read becomes a row of nulls, and nothing is inferred."""
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
