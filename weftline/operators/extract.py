@@ -51,6 +51,11 @@ def extract(name: str, html: Column, url: Column | None = None) -> Column:
     return extract_many((name,), html, url)[name]
 
 
+def closed_references(html: Column) -> Column:
+    """HTML in which a character reference without its semicolon, such as a title cut in the middle of &amp; leaves, is text and not a character. Scripts change, too."""
+    return F.regexp_replace(html, r"&(?!(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)", "&amp;")
+
+
 @cache
 def _phrases():
     return F.udf(lambda t: P.keyphrases(t), "array<string>", useArrow=True)
