@@ -37,3 +37,10 @@ def _titled(spark):
 
 def test_cut_references_of_anchor_counts(spark, tmp_path):
     assert (1, "Cut &amp") in {r[1:] for r in _equals_sql(spark, tmp_path, "anchor_counts", {"pages": _titled(spark)})}
+
+
+def test_candidates_once(spark, tmp_path):
+    """Two pages whose URLs differ by their last slash are one candidate."""
+    urls = ("https://h.example/", "https://h.example/de/1", "https://h.example/de/1/", "https://h.example/fr/2", "https://h.example/en/3?utm_source=x")
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert _equals_sql(spark, tmp_path, "crawl_candidates", {"pages": pages}) == [("https://h.example/de/1",)]

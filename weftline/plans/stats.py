@@ -115,7 +115,7 @@ def crawl_candidates(spark, d):
     f = _found(spark, d)
     visited = f.withColumn("url", F.when(F.pmod("page_id", F.lit(3)) == 0, F.col("url")))
     keep = U.in_scope(F.col("url"), "x", internal_only=False) & U.filter_reason(F.col("url"), blocked_names=["utm_source"]).isNull()
-    return C.worth_crawling(f, visited.filter("url is not null"), _rules(f), keep).select("url")
+    return C.worth_crawling(f, visited.filter("url is not null"), _rules(f), keep).select("url").distinct()
 
 
 def skipped_paths(spark, d):
