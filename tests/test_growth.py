@@ -1,6 +1,7 @@
 """What queries hold at once doesn't grow with their tables, and odd rows of larger tables don't change results."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators.extract import extract
@@ -48,3 +49,12 @@ def test_candidates_once(spark, tmp_path):
 
 def test_cut_references_of_page_content(spark, tmp_path):
     assert "Cut &amp" in {r[1] for r in _equals_sql(spark, tmp_path, "page_content", {"pages": _titled(spark)})}
+
+
+@pytest.mark.parametrize("name", ["images_in_context", "page_meta", "structured_data", "typed_items", "page_images"])
+def test_pages_of_one_file_are_spread(spark, tmp_path, name):
+    """A small file of many parts isn't a single task's Python."""
+    part = spark.range(9).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.lit("b").alias("p_brand"), F.lit(40).alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "RepartitionByExpression" in plan[plan.index("ArrowEvalPython"):]

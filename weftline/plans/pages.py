@@ -10,7 +10,7 @@ from weftline.operators import contracts as K
 from weftline.operators import report as R
 from weftline.operators.extract import extract, extract_many, keyphrases
 from weftline.plans.content import QUERIES as _CONTENT
-from weftline.plans.rendered import _page
+from weftline.plans.rendered import _many, _page
 from weftline.sources.sinks import error_text, with_error, whole
 from weftline.sources.tables import table
 
@@ -104,14 +104,14 @@ def typed_items(spark, d):
     """Items of two types and a list of types on each part's page."""
     k = F.col("p_partkey")
     html = _page("<script type='application/ld+json'>[{\"@type\":\"Product\",\"sku\":", k, "},{\"@type\":[\"Thing\",\"Offer\"],\"n\":1}]</script><div itemscope itemtype='https://schema.org/Offer'><b itemprop=price>", F.col("p_size"), "</b></div>")
-    s = _t(spark, d, "part").select("p_partkey", extract("structured", html).alias("s"))
+    s = _many(spark, d, "part", "p_partkey").select("p_partkey", extract("structured", html).alias("s"))
     return s.select("p_partkey", F.get_json_object(F.get(R.by_type(F.col("s"), "Product"), F.lit(0)), "$.sku").cast("long").alias("sku"), F.size(R.by_type(F.col("s"), "Offer")).alias("offers"), R.has_type(F.col("s"), "Thing").alias("thing"), R.has_type(F.col("s"), "Event").alias("event"), F.array_join("s.types", ",").alias("types"))
 
 
 def form_choice(spark, d):
     k = F.col("s_suppkey")
     f = extract("forms", _page("<form id=a action=/x><input name=q></form><form id=f", k, " action=/y/", k, " method=post><input name=n type=file></form>"), F.lit("https://h.example/"))
-    return _t(spark, d, "supplier").select("s_suppkey", k.cast("string").alias("k"), f.alias("f")).select("s_suppkey", R.form_by_id(F.col("f"), "a")["action"].alias("a"), R.form_by_id(F.col("f"), "absent")["action"].alias("absent"), F.size(F.filter("f", lambda x: x["action"].contains("/y/"))).alias("posts"), F.col("f")[1]["has_file"].alias("file"))
+    return _many(spark, d, "supplier", "s_suppkey").select("s_suppkey", k.cast("string").alias("k"), f.alias("f")).select("s_suppkey", R.form_by_id(F.col("f"), "a")["action"].alias("a"), R.form_by_id(F.col("f"), "absent")["action"].alias("absent"), F.size(F.filter("f", lambda x: x["action"].contains("/y/"))).alias("posts"), F.col("f")[1]["has_file"].alias("file"))
 
 
 def failed_artifacts(spark, d):

@@ -16,6 +16,11 @@ def _t(spark, d, name):
     return table(spark, d, name)
 
 
+def _many(spark, d, name, key):
+    """A table whose rows become pages, over all cores."""
+    return spread(_t(spark, d, name), key)
+
+
 def _page(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -47,7 +52,7 @@ def page_meta(spark, d):
     html = F.concat(F.lit("<html lang=pt-BR><head>"), without(0, "<title> P ", k, " </title>"), without(1, "<meta name=Description content='about ", k, "'>"), without(2, "<meta name=keywords content='a, b ,c", k, "'>"), without(3, "<link rel='x canonical' href=/c/", k, ">"),
                     without(4, "<meta http-equiv=Last-Modified content=m", k, ">"), F.lit("</head><body>"), without(5, "<h1>one</h1><h2> two <b>", k, "</b></h2>"), without(6, "<h6>six</h6>"), F.lit("<time itemprop=dateModified datetime=2020-01-01>x</time><h2>last</h2></body></html>"))
     c = F.col("c")
-    p = _t(spark, d, "part").select("p_partkey", extract("content", html, F.lit("https://h/")).alias("c"))
+    p = _many(spark, d, "part", "p_partkey").select("p_partkey", extract("content", html, F.lit("https://h/")).alias("c"))
     return p.select("p_partkey", c["title"].alias("title"), c["description"].alias("description"), F.array_join(c["keywords"], "|").alias("keywords"), c["canonical"].alias("canonical"), c["language"].alias("language"), c["last_modified"].alias("last_modified"),
                     F.array_join(F.transform(c["headings"], lambda h: F.concat(h["level"].cast("string"), h["text"])), "|").alias("headings"))
 
@@ -76,7 +81,7 @@ def header_values(spark, d):
 
 
 def page_images(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", _page("<div><img src='/img/", F.col("p_partkey"), ".png' alt='", F.when(F.pmod("p_partkey", F.lit(3)) > 0, F.col("p_name")).otherwise(""), "' width=", F.col("p_size"), " height=abc><iframe><img src=x></iframe><img src=' '><img class='inline-icon' src=/i.png width=8></div>").alias("html"))
+    p = _many(spark, d, "part", "p_partkey").select("p_partkey", _page("<div><img src='/img/", F.col("p_partkey"), ".png' alt='", F.when(F.pmod("p_partkey", F.lit(3)) > 0, F.col("p_name")).otherwise(""), "' width=", F.col("p_size"), " height=abc><iframe><img src=x></iframe><img src=' '><img class='inline-icon' src=/i.png width=8></div>").alias("html"))
     i = p.select("p_partkey", F.explode(extract("images", F.col("html"))).alias("i"))
     return i.select("p_partkey", F.col("i.src").alias("src"), F.col("i.width_int").alias("width"), F.col("i.height_int").alias("height"), F.col("i.decorative").alias("decorative"), F.col("i.parent_tag").alias("parent"))
 
@@ -85,7 +90,7 @@ def page_forms(spark, d):
     k = F.col("s_suppkey")
     login = _page("<form id='f", k, "' method=post action='/login?s=", k, "'><label for=u>User</label><input id=u name=user value='", F.col("s_name"), "' maxlength=20 required><input type=password name=pw><input type=hidden name=csrf_token value='t", k, "'><input type=submit value=Go></form>")
     search = F.when(F.pmod(k, F.lit(2)) == 0, F.lit("<form action=/find><input name=q><select name=s><option value=a>A<option value=b selected>B</select></form>")).otherwise(F.lit(""))
-    f = _t(spark, d, "supplier").select("s_suppkey", extract("forms", F.concat(login, search), F.lit("https://h.example/x")).alias("f"))
+    f = _many(spark, d, "supplier", "s_suppkey").select("s_suppkey", extract("forms", F.concat(login, search), F.lit("https://h.example/x")).alias("f"))
     a = F.col("f")[0]
     return f.select("s_suppkey", F.size("f").alias("forms"), a["action"].alias("action"), a["method"].alias("method"), a["has_csrf"].alias("csrf"), F.size(a["fields"]).alias("fields"), a["fields"][0]["value"].alias("user"), a["fields"][0]["label"].alias("label"),
                     a["fields"][0]["maxlength"].alias("maxlength"), a["submit_text"].alias("submit"), F.size(X.login_forms(F.col("f"))).alias("logins"), F.size(X.search_forms(F.col("f"))).alias("searches"))
@@ -93,14 +98,14 @@ def page_forms(spark, d):
 
 def structured_data(spark, d):
     k = F.col("p_partkey")
-    p = _t(spark, d, "part").select("p_partkey", extract("structured", _page("<meta property='og:title' content='", F.col("p_name"), "'><meta name='twitter:card' content=c><meta name=Author content=a", k, "><script type='application/ld+json'>{\"@graph\":[{\"@type\":\"Product\",\"sku\":", k,
+    p = _many(spark, d, "part", "p_partkey").select("p_partkey", extract("structured", _page("<meta property='og:title' content='", F.col("p_name"), "'><meta name='twitter:card' content=c><meta name=Author content=a", k, "><script type='application/ld+json'>{\"@graph\":[{\"@type\":\"Product\",\"sku\":", k,
                 "}]}</script><div itemscope itemtype='https://schema.org/Offer'><span itemprop=price>", F.col("p_size"), "</span></div><div vocab='https://schema.org/' typeof=Brand><b property=name>", F.col("p_brand"), "</b></div>")).alias("s"))
     return p.select("p_partkey", F.col("s.open_graph")["title"].alias("title"), F.col("s.twitter")["card"].alias("card"), F.col("s.meta")["author"].alias("author"), F.get_json_object(F.col("s.json_ld")[0], "$.sku").cast("long").alias("sku"),
                     F.get_json_object(F.col("s.microdata")[0], "$.price").cast("int").alias("price"), F.get_json_object(F.col("s.rdfa")[0], "$.name").alias("brand"), F.array_join("s.types", ",").alias("types"))
 
 
 def embedded_json(spark, d):
-    p = _t(spark, d, "orders").select("o_orderkey", extract("embedded_json", _page("<script>window.__INITIAL_STATE__ = {\"order\": ", F.col("o_orderkey"), ", \"s\": \"", F.col("o_orderstatus"), "\"};</script><script type='application/json' id=x>{\"c\":", F.col("o_custkey"), "}</script><script type='application/json'>bad</script>")).alias("j"))
+    p = _many(spark, d, "orders", "o_orderkey").select("o_orderkey", extract("embedded_json", _page("<script>window.__INITIAL_STATE__ = {\"order\": ", F.col("o_orderkey"), ", \"s\": \"", F.col("o_orderstatus"), "\"};</script><script type='application/json' id=x>{\"c\":", F.col("o_custkey"), "}</script><script type='application/json'>bad</script>")).alias("j"))
     return p.select("o_orderkey", F.get_json_object(F.col("j")["__INITIAL_STATE__"], "$.s").alias("status"), F.get_json_object(F.col("j")["x"], "$.c").cast("long").alias("custkey"), F.size("j").alias("blocks"))
 
 
@@ -116,7 +121,7 @@ def csrf_tokens(spark, d):
     cases += [_page("<script>var csrf_token = 'j", k, "'; csrf_token = 'later';</script>"), _page('<script>{"a": 1, csrfToken: "j', k, '"}</script>'), _page("<script>authenticity_token='j", k, "'</script>"), _page("<script>XSRFTOKEN : 'j", k, "'</script>"),
               _page("<div data-csrf-token=d", k, "></div>"), _page("<form><input type=hidden name=data-token value=f></form><div data-token=d", k, "></div>")]
     html = F.get(F.array(*cases), F.pmod(k, F.lit(n)).cast("int"))
-    p = _t(spark, d, "customer").select("c_custkey", extract("csrf_tokens", html).alias("t"))
+    p = _many(spark, d, "customer", "c_custkey").select("c_custkey", extract("csrf_tokens", html).alias("t"))
     return p.select("c_custkey", F.explode("t").alias("name", "token"))
 
 
@@ -129,7 +134,7 @@ def page_traps(spark, d):
     k = F.pmod("c_custkey", F.lit(len(_TRAPS))).cast("int")
     html = F.repeat(F.get(F.array(*[F.lit(h) for h, _, _ in _TRAPS]), k), F.when(F.pmod(F.floor(F.col("c_custkey") / 8), F.lit(4)) == 0, 5).otherwise(1))
     h = F.col("h")
-    p = _t(spark, d, "customer").select("c_custkey", extract("honeypots", html).alias("h"))
+    p = _many(spark, d, "customer", "c_custkey").select("c_custkey", extract("honeypots", html).alias("h"))
     return p.select("c_custkey", F.get(h["found"], F.lit(0))["kind"].alias("kind"), F.get(h["found"], F.lit(0))["confidence"].alias("confidence"), h["count"].alias("n"), h["risk"].alias("risk"), F.size(h["advice"]).alias("advice"))
 
 
@@ -141,7 +146,7 @@ _PROOFS = [("<div class='g-recaptcha'></div>", "reCAPTCHA", 2), ("<script src='h
 def page_proofs(spark, d):
     """Every kind of CAPTCHA in turn, and pages without."""
     html = F.get(F.array(*[F.lit(h) for h, _, _ in _PROOFS]), F.pmod("c_custkey", F.lit(len(_PROOFS))).cast("int"))
-    p = _t(spark, d, "customer").select("c_custkey", extract("captcha", html).alias("c"))
+    p = _many(spark, d, "customer", "c_custkey").select("c_custkey", extract("captcha", html).alias("c"))
     return p.select("c_custkey", F.col("c.detected").alias("captcha"), F.array_join("c.types", ",").alias("types"), F.col("c.confidence").alias("confidence"))
 
 
@@ -150,7 +155,7 @@ def images_in_context(spark, d):
     k = F.col("p_partkey")
     html = _page("<body><h2>Parts</h2><img src=plain.png><section><p>Before ", k, "</p><figure itemprop=image><img src='", k, ".png' alt='", F.col("p_name"), "' title=t id=i", k, " class='a b'><figcaption> Caption ", k, " </figcaption></figure></section>",
                  "<a href=/next>n</a><div><a href=/p", k, "><img src=linked.png alt='only alt' aria-label=lab></a></div></body>")
-    i = _t(spark, d, "part").select("p_partkey", F.posexplode(extract("images_in_context", html)).alias("rank", "i"))
+    i = _many(spark, d, "part", "p_partkey").select("p_partkey", F.posexplode(extract("images_in_context", html)).alias("rank", "i"))
     return i.select("p_partkey", "rank", F.col("i.src").alias("src"), F.col("i.position").alias("position"), F.col("i.caption").alias("caption"), F.col("i.context").alias("context"), F.col("i.relevance").alias("relevance"), F.col("i.itemprop").alias("itemprop"),
                     F.array_join(F.transform("i.nearby_headings", lambda h: h["text"]), "|").alias("headings"), F.array_join(F.transform("i.related_links", lambda x: F.concat(x["relationship"], F.lit(":"), x["href"])), "|").alias("links"), F.array_join("i.class", " ").alias("classes"))
 
