@@ -58,3 +58,11 @@ def test_pages_of_one_file_are_spread(spark, tmp_path, name):
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     plan = registry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "RepartitionByExpression" in plan[plan.index("ArrowEvalPython"):]
+
+
+def test_keywords_of_pages_are_one_python_step(spark, tmp_path):
+    spark.createDataFrame([(1, "<title>red apples</title><p>" + "green pears " * 9)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    k = registry.queries()["page_keywords"](spark, str(tmp_path))
+    plan = k._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    assert [(r["rank"], r["keyword"], r["n"]) for r in k.collect()] == [(1, "green", 9), (2, "pears", 9), (3, "red", 3), (4, "apples", 3)]

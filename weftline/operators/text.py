@@ -22,18 +22,24 @@ def tokens(text: Column, least: int = 3) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(*stop) & ~w.rlike("^[0-9]+$"))
 
 
-def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 20, least: int = 3) -> DataFrame:
+#: Python holds so many texts at a time, however many come in a batch.
+_TEXTS = 64
+
+
+def keywords(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = 20, least: int = 3, of=None) -> DataFrame:
     """id, rank, keyword, n, score: each text's most frequent tokens, ties by first occurrence; none for texts of fewer than ten words.
 
-    A text's tokens are counted where the text is: nothing is shuffled.
+    A text's tokens are counted where the text is: nothing is shuffled. of: a function that gives the text of what the column holds,
+    such as pages, in the same Python.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for r in batches:
+        for r in (x.slice(i, _TEXTS) for x in batches for i in range(0, x.num_rows, _TEXTS)):
             at, rows = [], []
-            for i, t in enumerate(r.column("text").to_pylist()):
-                for k in keywords_of(t, top, least):
+            for i, t in enumerate(r.column("text")):
+                t = t.as_py()
+                for k in keywords_of(of(t) if of else t, top, least):
                     at.append(i)
                     rows.append(k)
             rank, last = [], None
